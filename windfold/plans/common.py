@@ -48,3 +48,18 @@ def scored(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None)
 def labelled_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.hops(spark, sf_dir).join(
         roles.labels(spark, sf_dir).where("valid").select("clip_id", "hop_idx", "gt_hr_bpm"), ["clip_id", "hop_idx"])
+
+
+def historical(spark: SparkSession, sf_dir: str, arms: Sequence[int] | None = None) -> DataFrame:
+    """Fixed arms replayed on the historical hops, scored against today's labels."""
+    from windfold.operators.score import score
+
+    chosen = [rp.fixed_selector(a) for a in (range(len(roles.CHANNELS)) if arms is None else arms)]
+    return score(rp.replay(roles.historical_hops(spark, sf_dir), chosen), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])
+
+
+def score_rows(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Replayed hops joined to labels, without the clip dimension."""
+    from windfold.operators.score import score
+
+    return score(replayed(spark, sf_dir, names), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])

@@ -31,3 +31,407 @@ def run_rows(spark, sf):
         F.sum("clips").alias("clips"), F.sum("hops").alias("hops"),
         r6(F.sum(F.col("mae") * F.col("clips")) / F.sum("clips")).alias("equal_clip_mae"),
         F.count(F.lit(1)).alias("subjects"), r6(F.avg("mae")).alias("equal_subject_mae"))
+
+
+@query("a02_line_subject_rows", """SELECT method_id, subject_id, clips, round(mae, 6) AS equal_clip_mae FROM v_line_subject""")
+def line_subject(spark, sf):
+    return line_clip(spark, sf).groupBy("method_id", "subject_id").agg(
+        F.count(F.lit(1)).alias("clips"), r6(F.avg("mae")).alias("equal_clip_mae"))
+
+
+@query("j01_hop_label_join", """SELECT method_id, subject_id, clip_id, hop_idx, round(gt_hr_bpm, 6) AS gt_hr_bpm, round(abs_error_bpm, 6) AS abs_error_bpm
+  FROM v_scored WHERE method_id = 'max_ppr'""")
+def hop_labels(spark, sf):
+    s = common.scored(spark, sf, ["max_ppr"])
+    return s.select("method_id", "subject_id", "clip_id", "hop_idx", r6("gt_hr_bpm").alias("gt_hr_bpm"), r6("abs_error_bpm").alias("abs_error_bpm"))
+
+
+@query("j01_label_gaps", """SELECT coalesce(h.clip_id, l.clip_id) AS clip_id, coalesce(h.hop_idx, l.hop_idx) AS hop_idx, h.clip_id IS NOT NULL AS in_hops, l.clip_id IS NOT NULL AS in_labels
+  FROM (SELECT DISTINCT clip_id, hop_idx FROM v_hist_in) h FULL JOIN (SELECT * FROM v_labels WHERE valid) l ON l.clip_id = h.clip_id AND l.hop_idx = h.hop_idx
+  WHERE h.clip_id IS NULL OR l.clip_id IS NULL""")
+def label_gaps(spark, sf):
+    return sc.label_gaps(roles.historical_hops(spark, sf), roles.labels(spark, sf), sc.HOP)
+
+
+# --- clip, subject and method levels over the replayed hops -------------------------
+
+view("v_hopx", """SELECT *, lag(executed_action) OVER w AS pe, lag(proposed_action) OVER w AS pp, lag(selected_hr_bpm) OVER w AS ph, lag(post_belief_hr_bpm) OVER w AS pb
+  FROM v_scored WINDOW w AS (PARTITION BY method_id, clip_id ORDER BY hop_idx)""")
+view("v_clip_rows", """SELECT method_id, family, seed, subject_id, view, condition, clip_id, avg(abs_error_bpm) AS mae_bpm, count(*) AS hop_count,
+  count(*) FILTER (NOT selected_valid) AS invalid_selected_count, count(*) FILTER (executed_action <> pe) AS switch_count,
+  count(*) FILTER (proposed_action <> pp) AS proposed_switch_count, count(*) FILTER (NOT legal) AS override_count,
+  avg(post_hold_count) AS hold_mean, max(post_hold_count) AS hold_max, coalesce(avg(abs(executed_action - pe)), 0) AS roi_index_jump_mean_abs,
+  coalesce(avg(abs(selected_hr_bpm - ph)), 0) AS selected_hr_jump_mean_abs_bpm, coalesce(avg(abs(post_belief_hr_bpm - pb)), 0) AS belief_jump_mean_abs_bpm,
+  sum(coalesce(abs(selected_hr_bpm - ph), 0)) AS hr_jump_sum, sum(coalesce(abs(post_belief_hr_bpm - pb), 0)) AS belief_jump_sum,
+  sum(CASE WHEN executed_action <> pe THEN abs(executed_action - pe) END) AS switch_distance_sum,
+  count(*) FILTER (executed_action = 0) AS action_count_00, count(*) FILTER (executed_action = 1) AS action_count_01, count(*) FILTER (executed_action = 2) AS action_count_02,
+  count(*) FILTER (executed_action = 3) AS action_count_03, count(*) FILTER (executed_action = 4) AS action_count_04
+  FROM v_hopx GROUP BY ALL""")
+CLIP_KEYS = ["method_id", "family", "seed", "subject_id", "view", "condition", "clip_id"]
+ACTIONS = [f"action_count_{i:02d}" for i in range(CH)]
+SEED_NULL = {"seed": -1}
+
+
+def clip_table(spark, sf, names=None):
+    """Clip rows of the replayed methods; a null seed is kept as null."""
+    rows = common.scored(spark, sf, names)
+    # family, seed and the clip dimension depend on (method, clip), so the shuffle key stays small.
+    dims = ["family", "seed", "subject_id", "view", "condition"]
+    out = sc.clip_rows(rows.withColumn("__d", F.struct(*dims)), ["method_id", "clip_id", "__d"], CH)
+    return out.select("method_id", "clip_id", *[F.col(f"__d.{d}").alias(d) for d in dims], *[c for c in out.columns if c not in ("method_id", "clip_id", "__d")])
+
+
+@query("a01_clip_rows", """SELECT method_id, subject_id, view, condition, clip_id, round(mae_bpm, 6) AS mae_bpm, hop_count, invalid_selected_count, switch_count, proposed_switch_count,
+  override_count, action_count_00, action_count_01, action_count_02, action_count_03, action_count_04 FROM v_clip_rows""")
+def clip_rows(spark, sf):
+    return clip_table(spark, sf).select("method_id", "subject_id", "view", "condition", "clip_id", r6("mae_bpm").alias("mae_bpm"), "hop_count",
+                                        "invalid_selected_count", "switch_count", "proposed_switch_count", "override_count", *ACTIONS)
+
+
+@query("a02_subject_rows", """SELECT method_id, subject_id, count(*) AS clip_count, round(avg(mae_bpm), 6) AS equal_clip_mae_bpm FROM v_clip_rows GROUP BY 1, 2""")
+def subject_rows(spark, sf):
+    hops = common.scored(spark, sf).groupBy("method_id", "subject_id", "clip_id").agg(F.avg("abs_error_bpm").alias("mae_bpm"))
+    return hops.groupBy("method_id", "subject_id").agg(F.count(F.lit(1)).alias("clip_count"), r6(F.avg("mae_bpm")).alias("equal_clip_mae_bpm"))
+
+
+@query("a04_clip_summary", """SELECT method_id, clip_id, round(hold_mean, 6) AS hold_mean, hold_max, round(switch_count / hop_count, 6) AS switches_per_hop,
+  round(roi_index_jump_mean_abs, 6) AS roi_index_jump_mean_abs, round(selected_hr_jump_mean_abs_bpm, 6) AS selected_hr_jump_mean_abs_bpm,
+  round(belief_jump_mean_abs_bpm, 6) AS belief_jump_mean_abs_bpm FROM v_clip_rows""")
+def clip_summary(spark, sf):
+    c = clip_table(spark, sf)
+    return c.select("method_id", "clip_id", r6("hold_mean").alias("hold_mean"), "hold_max", r6(F.col("switch_count") / F.col("hop_count")).alias("switches_per_hop"),
+                    *[r6(x).alias(x) for x in ("roi_index_jump_mean_abs", "selected_hr_jump_mean_abs_bpm", "belief_jump_mean_abs_bpm")])
+
+
+view("v_subject_rows", """SELECT method_id, subject_id, count(*) AS clip_count, avg(mae_bpm) AS equal_clip_mae_bpm, sum(override_count) AS override_count,
+  sum(invalid_selected_count) AS invalid_selected_count, avg(hold_mean) AS hold_mean, max(hold_max) AS hold_max, avg(switch_count / hop_count) AS switches_per_hop,
+  avg(roi_index_jump_mean_abs) AS roi_index_jump_mean_abs, avg(selected_hr_jump_mean_abs_bpm) AS selected_hr_jump_mean_abs_bpm,
+  avg(belief_jump_mean_abs_bpm) AS belief_jump_mean_abs_bpm FROM v_clip_rows GROUP BY 1, 2""")
+
+
+def subject_level(clips):
+    return clips.groupBy("method_id", "subject_id").agg(
+        F.count(F.lit(1)).alias("clip_count"), F.avg("mae_bpm").alias("equal_clip_mae_bpm"), F.sum("override_count").alias("override_count"),
+        F.sum("invalid_selected_count").alias("invalid_selected_count"), F.avg("hold_mean").alias("hold_mean"), F.max("hold_max").alias("hold_max"),
+        F.avg(F.col("switch_count") / F.col("hop_count")).alias("switches_per_hop"),
+        *[F.avg(c).alias(c) for c in ("roi_index_jump_mean_abs", "selected_hr_jump_mean_abs_bpm", "belief_jump_mean_abs_bpm")])
+
+
+@query("a04_subject_summary", """SELECT method_id, subject_id, clip_count, round(equal_clip_mae_bpm, 6) AS equal_clip_mae_bpm, override_count, invalid_selected_count,
+  round(hold_mean, 6) AS hold_mean, hold_max, round(switches_per_hop, 6) AS switches_per_hop, round(roi_index_jump_mean_abs, 6) AS roi_index_jump_mean_abs,
+  round(selected_hr_jump_mean_abs_bpm, 6) AS selected_hr_jump_mean_abs_bpm, round(belief_jump_mean_abs_bpm, 6) AS belief_jump_mean_abs_bpm FROM v_subject_rows""")
+def subject_summary(spark, sf):
+    s = subject_level(clip_table(spark, sf))
+    return s.select("method_id", "subject_id", "clip_count", "override_count", "invalid_selected_count", "hold_max", *[r6(c).alias(c) for c in (
+        "equal_clip_mae_bpm", "hold_mean", "switches_per_hop", "roi_index_jump_mean_abs", "selected_hr_jump_mean_abs_bpm", "belief_jump_mean_abs_bpm")])
+
+
+view("v_method_rows", """SELECT method_id, family, seed, count(*) AS clip_count, count(DISTINCT subject_id) AS subject_count, sum(hop_count) AS hop_count,
+  avg(mae_bpm) AS equal_clip_mae_bpm, sum(override_count) AS override_count, sum(switch_count) / sum(hop_count) AS switches_per_hop,
+  sum(hold_mean * hop_count) / sum(hop_count) AS hold_mean, max(hold_max) AS hold_max,
+  sum(roi_index_jump_mean_abs * greatest(hop_count - 1, 0)) / greatest(sum(greatest(hop_count - 1, 0)), 1) AS roi_index_jump_mean_abs,
+  sum(invalid_selected_count) AS invalid_selected_count FROM v_clip_rows GROUP BY 1, 2, 3""")
+
+
+def method_level(clips):
+    gaps = F.greatest(F.col("hop_count") - 1, F.lit(0))
+    return clips.groupBy("method_id", "family", "seed").agg(
+        F.count(F.lit(1)).alias("clip_count"), F.countDistinct("subject_id").alias("subject_count"), F.avg("mae_bpm").alias("equal_clip_mae_bpm"),
+        F.sum("override_count").alias("override_count"), (F.sum("switch_count") / F.sum("hop_count")).alias("switches_per_hop"),
+        (F.sum(F.col("hold_mean") * F.col("hop_count")) / F.sum("hop_count")).alias("hold_mean"), F.max("hold_max").alias("hold_max"),
+        (F.sum(F.col("roi_index_jump_mean_abs") * gaps) / F.greatest(F.sum(gaps), F.lit(1))).alias("roi_index_jump_mean_abs"),
+        F.sum("invalid_selected_count").alias("invalid_selected_count"), F.sum("hop_count").alias("hop_count"))
+
+
+@query("a04_method_summary", """SELECT m.method_id, m.family, m.seed, m.clip_count, m.subject_count, m.hop_count, round(m.equal_clip_mae_bpm, 6) AS equal_clip_mae_bpm,
+  round(s.mae, 6) AS equal_subject_mae_bpm, m.override_count, round(m.switches_per_hop, 6) AS switches_per_hop, round(m.hold_mean, 6) AS hold_mean, m.hold_max,
+  round(m.roi_index_jump_mean_abs, 6) AS roi_index_jump_mean_abs, m.invalid_selected_count
+  FROM v_method_rows m JOIN (SELECT method_id, avg(equal_clip_mae_bpm) AS mae FROM v_subject_rows GROUP BY 1) s ON s.method_id = m.method_id""")
+def method_summary(spark, sf):
+    c = clip_table(spark, sf)
+    # One pass: carry subject sums upward instead of joining two aggregates of the same replay.
+    gaps = F.greatest(F.col("hop_count") - 1, F.lit(0))
+    s = c.groupBy("method_id", "family", "seed", "subject_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("mae_bpm").alias("mae"), F.sum("override_count").alias("ov"), F.sum("switch_count").alias("sw"),
+        F.sum("hop_count").alias("h"), F.sum(F.col("hold_mean") * F.col("hop_count")).alias("hold"), F.max("hold_max").alias("hold_max"),
+        F.sum(F.col("roi_index_jump_mean_abs") * gaps).alias("jump"), F.sum(gaps).alias("gaps"), F.sum("invalid_selected_count").alias("inv"))
+    return s.groupBy("method_id", "family", "seed").agg(
+        F.sum("n").alias("clip_count"), F.count(F.lit(1)).alias("subject_count"), F.sum("h").alias("hop_count"),
+        r6(F.sum("mae") / F.sum("n")).alias("equal_clip_mae_bpm"), r6(F.avg(F.col("mae") / F.col("n"))).alias("equal_subject_mae_bpm"),
+        F.sum("ov").alias("override_count"), r6(F.sum("sw") / F.sum("h")).alias("switches_per_hop"), r6(F.sum("hold") / F.sum("h")).alias("hold_mean"),
+        F.max("hold_max").alias("hold_max"), r6(F.sum("jump") / F.greatest(F.sum("gaps"), F.lit(1))).alias("roi_index_jump_mean_abs"),
+        F.sum("inv").alias("invalid_selected_count"))
+
+
+@query("a05_view_condition_cells", """SELECT method_id, view, condition, count(*) AS clip_count, sum(hop_count) AS hop_count, round(avg(mae_bpm), 6) AS equal_clip_mae_bpm,
+  round(sum(switch_count) / sum(hop_count), 6) AS switches_per_hop FROM v_clip_rows
+  GROUP BY GROUPING SETS ((method_id, view), (method_id, condition), (method_id, view, condition))""")
+def cells(spark, sf):
+    c = clip_table(spark, sf)
+    return c.groupingSets([["method_id", "view"], ["method_id", "condition"], ["method_id", "view", "condition"]], "method_id", "view", "condition").agg(
+        F.count(F.lit(1)).alias("clip_count"), F.sum("hop_count").alias("hop_count"), r6(F.avg("mae_bpm")).alias("equal_clip_mae_bpm"),
+        r6(F.sum("switch_count") / F.sum("hop_count")).alias("switches_per_hop"))
+
+
+@query("a06_family_seeds", """SELECT family, round(avg(equal_clip_mae_bpm), 6) AS seed_mean, round(min(equal_clip_mae_bpm), 6) AS seed_min, round(max(equal_clip_mae_bpm), 6) AS seed_max
+  FROM v_method_rows WHERE seed IS NOT NULL GROUP BY family HAVING count(DISTINCT seed) = 3""")
+def family_seeds(spark, sf):
+    m = common.scored(spark, sf, [x[0] for x in common.METHODS if x[2] is not None])
+    clip = m.groupBy("family", "seed", "clip_id").agg(F.avg("abs_error_bpm").alias("mae"))
+    run = clip.groupBy("family", "seed").agg(F.avg("mae").alias("mae"))
+    return run.groupBy("family").agg(F.countDistinct("seed").alias("seeds"), r6(F.avg("mae")).alias("seed_mean"), r6(F.min("mae")).alias("seed_min"),
+                                     r6(F.max("mae")).alias("seed_max")).where("seeds = 3").drop("seeds")
+
+
+@query("a10_action_distribution", """SELECT method_id, clip_id, string_agg(a || ':' || n, ',' ORDER BY a) AS executed_actions, CASE WHEN max(np) = 1 THEN max(p) END AS proposed_action
+  FROM (SELECT method_id, clip_id, executed_action AS a, count(*) AS n FROM v_replay GROUP BY ALL)
+  JOIN (SELECT method_id, clip_id, count(DISTINCT proposed_action) AS np, max(proposed_action) AS p FROM v_replay GROUP BY ALL) USING (method_id, clip_id) GROUP BY 1, 2""")
+def action_distribution(spark, sf):
+    r = common.replayed(spark, sf)
+    g = r.groupBy("method_id", "clip_id").agg(
+        *sc.action_counts("executed_action", CH), F.min("proposed_action").alias("lo"), F.max("proposed_action").alias("hi"))
+    return g.select("method_id", "clip_id", action_text().alias("executed_actions"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("proposed_action"))
+
+
+def action_map():
+    """Histogram columns as a map of the actions that occur."""
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(i) for i in range(CH)]), F.array(*[F.col(c) for c in ACTIONS])), lambda k, v: v > 0)
+
+
+def action_text():
+    return F.array_join(F.transform(F.array_sort(F.map_entries(action_map())), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+
+
+@query("r09_action_histogram", """SELECT method_id, action_count_00, action_count_01, action_count_02, action_count_03, action_count_04 FROM
+  (SELECT method_id, count(*) FILTER (executed_action = 0) AS action_count_00, count(*) FILTER (executed_action = 1) AS action_count_01, count(*) FILTER (executed_action = 2) AS action_count_02,
+   count(*) FILTER (executed_action = 3) AS action_count_03, count(*) FILTER (executed_action = 4) AS action_count_04 FROM v_replay GROUP BY 1)""")
+def histogram(spark, sf):
+    return common.replayed(spark, sf).groupBy("method_id").agg(*sc.action_counts("executed_action", CH))
+
+
+@query("a11_headroom", """SELECT m.method_id, count(*) AS clip_count, round(avg(m.mae), 6) AS equal_clip_mae_bpm,
+  round((any_value(f.v) - avg(m.mae)) / (any_value(f.v) - any_value(o.v)) * 100, 6) AS headroom_captured_percent
+  FROM (SELECT method_id, clip_id, avg(abs_error_bpm) AS mae FROM v_scored GROUP BY 1, 2) m,
+  (SELECT avg(mae) AS v FROM (SELECT clip_id, avg(abs_error_bpm) AS mae FROM v_scored WHERE method_id = 'arm_0' GROUP BY 1)) f,
+  (SELECT avg(mae) AS v FROM (SELECT clip_id, avg(err) AS mae FROM v_greedy WHERE hop_idx >= 0 GROUP BY 1)) o GROUP BY m.method_id""")
+def headroom(spark, sf):
+    from windfold.operators import replay as rp
+    clip = common.scored(spark, sf).groupBy("method_id", "clip_id").agg(F.avg("abs_error_bpm").alias("mae"))
+    best = rp.greedy(common.labelled_hops(spark, sf)).groupBy("clip_id").agg(F.avg("abs_error_bpm").alias("mae")).select(F.lit("greedy").alias("method_id"), "clip_id", "mae")
+    run = clip.unionByName(best).groupBy("method_id").agg(F.count(F.lit(1)).alias("clip_count"), F.avg("mae").alias("mae"))
+    # One row per method: a frame over all of them is a handful of rows.
+    from pyspark.sql import Window
+    every = Window.partitionBy(F.lit(1))
+    at = lambda m: F.max(F.when(F.col("method_id") == m, F.col("mae"))).over(every)
+    return run.select("method_id", "clip_count", r6("mae").alias("equal_clip_mae_bpm"),
+                      r6(sc.headroom(F.col("mae"), at("greedy"), at("arm_0"))).alias("headroom_captured_percent")).where("method_id <> 'greedy'")
+
+
+@query("a12_behaviour_rates", """SELECT method_id, round(count(*) FILTER (executed_action <> pe) / count(pe), 6) AS switch_rate, round(count(*) FILTER (NOT legal) / count(*), 6) AS min_hold_override_rate,
+  round(count(*) FILTER (NOT selected_valid) / count(*), 6) AS invalid_selected_rate FROM v_hopx GROUP BY 1""")
+def behaviour(spark, sf):
+    r = sc.neighbour(common.replayed(spark, sf), ["method_id", "clip_id"], "hop_idx", ["executed_action"])
+    n = F.count(F.lit(1))
+    rate = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    return r.groupBy("method_id").agg(
+        r6(rate(F.col("executed_action") != F.col("prev_executed_action")) / F.count("prev_executed_action")).alias("switch_rate"),
+        r6(rate(~F.col("legal")) / n).alias("min_hold_override_rate"), r6(rate(~F.col("selected_valid")) / n).alias("invalid_selected_rate"))
+
+
+@query("a13_shard_merge", """SELECT method_id, subject_id, clip_id, round(sum(abs_error), 6) AS total_abs_error, count(*) AS hop_count FROM v_line GROUP BY ALL""")
+def shard_merge(spark, sf):
+    """Accumulators per ship month (the shard), merged per clip: sums only, so the merge is exact."""
+    s = roles.line_scores(spark, sf)
+    part = s.groupBy("method_id", "subject_id", "clip_id", "view").agg(F.sum("abs_error").alias("t"), F.count(F.lit(1)).alias("n"))
+    return part.groupBy("method_id", "subject_id", "clip_id").agg(r6(F.sum("t")).alias("total_abs_error"), F.sum("n").alias("hop_count"))
+
+
+@query("a14_hop_weighted_group", """SELECT method_id, round(avg(clip_mae), 6) AS equal_clip_mae, round(any_value(sm), 6) AS equal_subject_mae FROM
+  (SELECT method_id, clip_id, subject_id, avg(abs_error_bpm) AS clip_mae FROM v_scored GROUP BY 1, 2, 3)
+  JOIN (SELECT method_id, avg(smae) AS sm FROM (SELECT method_id, subject_id, avg(abs_error_bpm) AS smae FROM v_scored GROUP BY 1, 2) GROUP BY 1) USING (method_id) GROUP BY 1""")
+def hop_weighted(spark, sf):
+    clip = common.scored(spark, sf).groupBy("method_id", "subject_id", "clip_id").agg(F.avg("abs_error_bpm").alias("mae"), F.count(F.lit(1)).alias("n"))
+    subject = clip.groupBy("method_id", "subject_id").agg(
+        (F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("smae"), F.sum("mae").alias("s"), F.count(F.lit(1)).alias("c"))
+    return subject.groupBy("method_id").agg(r6(F.sum("s") / F.sum("c")).alias("equal_clip_mae"), r6(F.avg("smae")).alias("equal_subject_mae"))
+
+
+# --- searches: greedy against beam -----------------------------------------------------
+
+view("v_search", """SELECT 'greedy' AS method_id, clip_id, hop_idx, prev AS executed_action, err AS abs_error_bpm FROM v_greedy WHERE hop_idx >= 0
+  UNION ALL SELECT 'beam', clip_id, hop_idx, action, abs_error_bpm FROM v_beam_best""")
+
+
+def searches(spark, sf):
+    from windfold.operators import replay as rp
+    hops = common.labelled_hops(spark, sf)
+    cols = ["clip_id", "hop_idx", "executed_action", "abs_error_bpm"]
+    return rp.greedy(hops).select(F.lit("greedy").alias("method_id"), *cols).unionByName(rp.beam(hops, 8).select(F.lit("beam").alias("method_id"), *cols))
+
+
+@query("a07_search_summary", """SELECT method_id, count(*) AS clip_count, sum(hops) AS total_hops, sum(switches) AS total_switches, round(avg(mae), 6) AS equal_clip_mae_bpm FROM (
+  SELECT method_id, clip_id, count(*) AS hops, avg(abs_error_bpm) AS mae, count(*) FILTER (executed_action <> pe) AS switches FROM (
+    SELECT *, lag(executed_action) OVER (PARTITION BY method_id, clip_id ORDER BY hop_idx) AS pe FROM v_search) GROUP BY 1, 2) GROUP BY 1""")
+def search_summary(spark, sf):
+    s = sc.neighbour(searches(spark, sf), ["method_id", "clip_id"], "hop_idx", ["executed_action"])
+    clip = s.groupBy("method_id", "clip_id").agg(F.count(F.lit(1)).alias("hops"), F.avg("abs_error_bpm").alias("mae"),
+        F.sum(F.coalesce(F.col("executed_action") != F.col("prev_executed_action"), F.lit(False)).cast("bigint")).alias("switches"))
+    return clip.groupBy("method_id").agg(F.count(F.lit(1)).alias("clip_count"), F.sum("hops").alias("total_hops"), F.sum("switches").alias("total_switches"), r6(F.avg("mae")).alias("equal_clip_mae_bpm"))
+
+
+@query("a07_search_gap", """SELECT subject_id, round(avg(g), 6) AS greedy, round(avg(b), 6) AS beam, round(avg(g) - avg(b), 6) AS gap FROM (
+  SELECT clip_id, avg(abs_error_bpm) FILTER (method_id = 'greedy') AS g, avg(abs_error_bpm) FILTER (method_id = 'beam') AS b FROM v_search GROUP BY 1) JOIN v_clips USING (clip_id) GROUP BY 1""")
+def search_gap(spark, sf):
+    clip = searches(spark, sf).groupBy("clip_id").pivot("method_id", ["greedy", "beam"]).agg(F.avg("abs_error_bpm"))
+    s = clip.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("subject_id").agg(F.avg("greedy").alias("g"), F.avg("beam").alias("b"))
+    return s.select("subject_id", r6("g").alias("greedy"), r6("b").alias("beam"), r6(F.col("g") - F.col("b")).alias("gap"))
+
+
+@query("j10_search_alignment", """SELECT g.clip_id, g.hop_idx, g.executed_action AS greedy_action, b.executed_action AS beam_action, round(g.abs_error_bpm - b.abs_error_bpm, 6) AS error_delta
+  FROM v_search g JOIN v_search b ON b.method_id = 'beam' AND b.clip_id = g.clip_id AND b.hop_idx = g.hop_idx WHERE g.method_id = 'greedy' AND g.executed_action <> b.executed_action""")
+def search_alignment(spark, sf):
+    from windfold.operators import replay as rp
+    hops = common.labelled_hops(spark, sf)
+    side = lambda df, p: df.select("clip_id", "hop_idx", F.col("executed_action").alias(p + "_action"), F.col("abs_error_bpm").alias(p))
+    j = side(rp.greedy(hops), "greedy").join(side(rp.beam(hops, 8), "beam"), ["clip_id", "hop_idx"])
+    return j.where("greedy_action <> beam_action").select("clip_id", "hop_idx", "greedy_action", "beam_action", r6(F.col("greedy") - F.col("beam")).alias("error_delta"))
+
+
+# --- historical against current ---------------------------------------------------------
+
+view("v_parity", """SELECT coalesce(h.clip_id, c.clip_id) AS clip_id, coalesce(h.hop_idx, c.hop_idx) AS hop_idx,
+  CASE WHEN h.clip_id IS NULL THEN 'right_only' WHEN c.clip_id IS NULL THEN 'left_only' ELSE 'joined' END AS presence,
+  h.abs_error_bpm AS historical_abs_error, c.abs_error_bpm AS current_abs_error, c.abs_error_bpm - h.abs_error_bpm AS error_delta,
+  c.selected_hr_bpm - h.selected_hr_bpm AS hr_delta, c.post_belief_hr_bpm - h.post_belief_hr_bpm AS belief_delta,
+  CASE WHEN h.clip_id IS NULL THEN 'hop_current_only' WHEN c.clip_id IS NULL THEN 'hop_historical_only' WHEN h.gt_hr_bpm <> c.gt_hr_bpm THEN 'gt_value_difference'
+    WHEN (h.selected_hr_bpm IS NOT NULL AND coalesce(h.selected_confidence, 0) > 0) <> c.selected_valid THEN 'validity_difference'
+    WHEN h.selected_hr_bpm IS NOT NULL AND h.selected_confidence > 0 AND h.selected_hr_bpm IS DISTINCT FROM c.selected_hr_bpm THEN 'measurement_value_difference'
+    WHEN coalesce(h.selected_confidence, 0) <> coalesce(c.selected_confidence, 0) THEN 'confidence_difference'
+    WHEN h.post_belief_hr_bpm <> c.post_belief_hr_bpm THEN 'belief_value_difference'
+    WHEN h.selected_hr_bpm IS NOT DISTINCT FROM c.selected_hr_bpm THEN 'exact_observed_match' ELSE 'numerical_difference' END AS category
+  FROM (SELECT * FROM v_hist_scored WHERE method_id = 'arm_0') h FULL JOIN (SELECT * FROM v_scored WHERE method_id = 'arm_0') c ON c.clip_id = h.clip_id AND c.hop_idx = h.hop_idx""")
+# Discrepancy categories in precedence order.
+CATEGORIES = ("hop_historical_only", "hop_current_only", "gt_value_difference", "validity_difference", "measurement_value_difference",
+              "confidence_difference", "belief_value_difference", "exact_observed_match", "numerical_difference")
+PARITY = ["selected_hr_bpm", "selected_confidence", "selected_valid", "post_belief_hr_bpm", "gt_hr_bpm", "abs_error_bpm"]
+
+
+def parity(spark, sf):
+    h = common.historical(spark, sf, [0]).select("clip_id", "hop_idx", *PARITY)
+    c = common.scored(spark, sf, ["arm_0"]).select("clip_id", "hop_idx", *PARITY)
+    both = sc.compare(h, c, sc.HOP)
+    L, R = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
+    usable = L("selected_hr_bpm").isNotNull() & (F.coalesce(L("selected_confidence"), F.lit(0.0)) > 0)
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    category = (F.when(F.col("presence") == "right_only", "hop_current_only").when(F.col("presence") == "left_only", "hop_historical_only")
+                .when(L("gt_hr_bpm") != R("gt_hr_bpm"), "gt_value_difference").when(usable != R("selected_valid"), "validity_difference")
+                .when(usable & ~L("selected_hr_bpm").eqNullSafe(R("selected_hr_bpm")), "measurement_value_difference")
+                .when(zero(L("selected_confidence")) != zero(R("selected_confidence")), "confidence_difference")
+                .when(L("post_belief_hr_bpm") != R("post_belief_hr_bpm"), "belief_value_difference")
+                .when(L("selected_hr_bpm").eqNullSafe(R("selected_hr_bpm")), "exact_observed_match").otherwise("numerical_difference"))
+    return both.select(
+        "clip_id", "hop_idx", "presence", L("abs_error_bpm").alias("historical_abs_error"), R("abs_error_bpm").alias("current_abs_error"),
+        (R("abs_error_bpm") - L("abs_error_bpm")).alias("error_delta"), (R("selected_hr_bpm") - L("selected_hr_bpm")).alias("hr_delta"),
+        (R("post_belief_hr_bpm") - L("post_belief_hr_bpm")).alias("belief_delta"), category.alias("category"))
+
+
+@query("j02_trajectory_compare", """SELECT clip_id, hop_idx, presence, category, round(historical_abs_error, 6) AS historical_abs_error, round(current_abs_error, 6) AS current_abs_error,
+  round(error_delta, 6) + 0 AS error_delta, round(hr_delta, 6) + 0 AS hr_delta, round(belief_delta, 6) + 0 AS belief_delta FROM v_parity""")
+def trajectory_compare(spark, sf):
+    p = parity(spark, sf)
+    return p.select("clip_id", "hop_idx", "presence", "category", *[(r6(c) + 0).alias(c) for c in ("historical_abs_error", "current_abs_error", "error_delta", "hr_delta", "belief_delta")])
+
+
+@query("a08_discrepancy_summary", "SELECT d.category, count(p.category) AS hop_count, round(avg(p.historical_abs_error), 6) AS historical_mae, round(avg(p.current_abs_error), 6) AS current_mae, "
+       "round(avg(p.error_delta), 6) AS joined_mae_delta FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]) AS category) d LEFT JOIN v_parity p ON p.category = d.category GROUP BY 1")
+def discrepancy_summary(spark, sf):
+    names = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    found = parity(spark, sf).groupBy("category").agg(
+        F.count(F.lit(1)).alias("hop_count"), r6(F.avg("historical_abs_error")).alias("historical_mae"), r6(F.avg("current_abs_error")).alias("current_mae"),
+        r6(F.avg("error_delta")).alias("joined_mae_delta"))
+    return names.join(found, "category", "left").withColumn("hop_count", F.coalesce("hop_count", F.lit(0)))
+
+
+@query("j03_two_sided_mismatch", """SELECT method_id, count(*) FILTER (h.clip_id IS NULL) AS current_only, count(*) FILTER (c.clip_id IS NULL) AS historical_only,
+  count(*) FILTER (h.gt_hr_bpm <> c.gt_hr_bpm) AS gt_mismatch FROM v_hist_scored h FULL JOIN (SELECT * FROM v_scored WHERE family = 'fixed') c USING (method_id, clip_id, hop_idx) GROUP BY 1""")
+def two_sided(spark, sf):
+    arms = [m[0] for m in common.METHODS if m[1] == "fixed"]
+    h = common.historical(spark, sf).select("method_id", "clip_id", "hop_idx", "gt_hr_bpm")
+    c = common.scored(spark, sf, arms).select("method_id", "clip_id", "hop_idx", "gt_hr_bpm")
+    both = sc.compare(h, c, ["method_id", "clip_id", "hop_idx"])
+    n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("bigint"))
+    return both.groupBy("method_id").agg(n(F.col("presence") == "right_only").alias("current_only"), n(F.col("presence") == "left_only").alias("historical_only"),
+                                         n(F.col("l.gt_hr_bpm") != F.col("r.gt_hr_bpm")).alias("gt_mismatch"))
+
+
+view("v_hist_clip", """SELECT method_id, clip_id, avg(abs_error_bpm) AS mae, count(*) FILTER (NOT selected_valid) AS invalid, count(*) AS hops FROM v_hist_scored GROUP BY 1, 2""")
+view("v_crossover", """SELECT c.method_id AS arm_id, c.subject_id, c.clip_id, h.mae AS historical_mae, c.mae_bpm AS current_mae, c.mae_bpm - h.mae AS delta,
+  h.invalid AS historical_invalid, c.invalid_selected_count AS current_invalid FROM v_clip_rows c JOIN v_hist_clip h ON h.method_id = c.method_id AND h.clip_id = c.clip_id WHERE c.family = 'fixed'""")
+
+
+def crossover(spark, sf):
+    """Clip by arm rows.  The arms are a column of the replay, not a cross join."""
+    arms = [m[0] for m in common.METHODS if m[1] == "fixed"]
+    clip = lambda df, p: df.groupBy("method_id", "clip_id").agg(
+        F.avg("abs_error_bpm").alias(p + "_mae"), F.sum((~F.col("selected_valid")).cast("bigint")).alias(p + "_invalid"))
+    h = clip(common.historical(spark, sf), "historical")
+    c = clip(common.score_rows(spark, sf, arms), "current")
+    return (h.join(c, ["method_id", "clip_id"]).join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id")
+            .withColumn("delta", F.col("current_mae") - F.col("historical_mae")).withColumnRenamed("method_id", "arm_id"))
+
+
+@query("j07_clip_arm_rows", """SELECT arm_id, subject_id, clip_id, round(historical_mae, 6) AS historical_mae, round(current_mae, 6) AS current_mae, round(delta, 6) + 0 AS delta,
+  historical_invalid, current_invalid FROM v_crossover""")
+def clip_arm_rows(spark, sf):
+    return crossover(spark, sf).select("arm_id", "subject_id", "clip_id", r6("historical_mae").alias("historical_mae"), r6("current_mae").alias("current_mae"),
+                                       (r6("delta") + 0).alias("delta"), "historical_invalid", "current_invalid")
+
+
+@query("a09_crossover_arms", """SELECT arm_id, sum(clips) AS clip_count, count(*) AS subject_count, round(avg(h), 6) AS historical_equal_clip_mae, round(avg(c), 6) AS current_equal_clip_mae,
+  round(avg(c) - avg(h), 6) AS current_minus_historical, sum(hi) AS invalid_historical, sum(ci) AS invalid_current FROM (
+  SELECT arm_id, subject_id, count(*) AS clips, avg(historical_mae) AS h, avg(current_mae) AS c, sum(historical_invalid) AS hi, sum(current_invalid) AS ci FROM v_crossover GROUP BY 1, 2) GROUP BY 1""")
+def crossover_arms(spark, sf):
+    s = crossover(spark, sf).groupBy("arm_id", "subject_id").agg(
+        F.count(F.lit(1)).alias("clips"), F.avg("historical_mae").alias("h"), F.avg("current_mae").alias("c"),
+        F.sum("historical_invalid").alias("hi"), F.sum("current_invalid").alias("ci"))
+    return s.groupBy("arm_id").agg(F.sum("clips").alias("clip_count"), F.count(F.lit(1)).alias("subject_count"), r6(F.avg("h")).alias("historical_equal_clip_mae"),
+                                   r6(F.avg("c")).alias("current_equal_clip_mae"), r6(F.avg("c") - F.avg("h")).alias("current_minus_historical"),
+                                   F.sum("hi").alias("invalid_historical"), F.sum("ci").alias("invalid_current"))
+
+
+@query("a09_merged_action_stats", """SELECT c.method_id, sum(hop_count) AS hops, sum(switch_count) AS switch_count, round(coalesce(sum(switch_distance_sum) / sum(switch_count), 0), 6) AS roi_index_jump_mean_abs,
+  round(sum(hr_jump_sum) / sum(hop_count), 6) AS hr_jump_mean_abs_bpm, round(sum(belief_jump_sum) / sum(hop_count), 6) AS belief_jump_mean_abs_bpm, any_value(d.t) AS executed_actions
+  FROM v_clip_rows c JOIN (SELECT method_id, string_agg(a || ':' || n, ',' ORDER BY a) AS t FROM (SELECT method_id, executed_action AS a, count(*) AS n FROM v_replay GROUP BY ALL) GROUP BY 1) d ON d.method_id = c.method_id GROUP BY 1""")
+def merged_stats(spark, sf):
+    """Hop-weighted recombination of clip statistics and a merge of the clip histograms."""
+    c = clip_table(spark, sf)
+    m = c.groupBy("method_id").agg(
+        F.sum("hop_count").alias("hops"), F.sum("switch_count").alias("switch_count"),
+        r6(F.coalesce(F.sum("switch_distance_sum") / F.nullif(F.sum("switch_count"), F.lit(0)), F.lit(0.0))).alias("roi_index_jump_mean_abs"),
+        r6(F.sum("hr_jump_sum_zero_filled") / F.sum("hop_count")).alias("hr_jump_mean_abs_bpm"),
+        r6(F.sum("belief_jump_sum_zero_filled") / F.sum("hop_count")).alias("belief_jump_mean_abs_bpm"), *[F.sum(a).alias(a) for a in ACTIONS])
+    return m.withColumn("executed_actions", action_text()).drop(*ACTIONS)
+
+
+# --- window forms ----------------------------------------------------------------------
+
+@query("w01_zero_filled_jumps", """SELECT method_id, clip_id, hop_idx, round(coalesce(abs(selected_hr_bpm - ph), 0), 6) AS hr_jump, round(coalesce(abs(post_belief_hr_bpm - pb), 0), 6) AS belief_jump
+  FROM v_hopx WHERE family = 'tabled'""")
+def jumps(spark, sf):
+    r = sc.neighbour(common.replayed(spark, sf, [f"tabled_seed{s}" for s in roles.RANDOM_SEEDS]), ["method_id", "clip_id"], "hop_idx", ["selected_hr_bpm", "post_belief_hr_bpm"])
+    jump = lambda c: r6(F.coalesce(F.abs(F.col(c) - F.col("prev_" + c)), F.lit(0.0)))
+    return r.select("method_id", "clip_id", "hop_idx", jump("selected_hr_bpm").alias("hr_jump"), jump("post_belief_hr_bpm").alias("belief_jump"))
+
+
+@query("w02_null_skipping_jumps", """SELECT method_id, round(avg(abs(selected_hr_bpm - ph)), 6) AS hr_jump, count(abs(selected_hr_bpm - ph)) AS pairs FROM v_hopx GROUP BY 1""")
+def jumps_skip(spark, sf):
+    r = sc.neighbour(common.replayed(spark, sf), ["method_id", "clip_id"], "hop_idx", ["selected_hr_bpm"])
+    d = F.abs(F.col("selected_hr_bpm") - F.col("prev_selected_hr_bpm"))
+    return r.groupBy("method_id").agg(r6(F.avg(d)).alias("hr_jump"), F.count(d).alias("pairs"))
+
+
+@query("w03_switch_count", """SELECT user_id AS clip_id, count(*) FILTER (event_type <> p) AS switch_count FROM
+  (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1""")
+def switches(spark, sf):
+    f = sc.neighbour(roles.frames(spark, sf).select("clip_id", "frame_idx", "roi_index"), ["clip_id"], "frame_idx", ["roi_index"])
+    return f.groupBy("clip_id").agg(F.sum(F.coalesce(F.col("roi_index") != F.col("prev_roi_index"), F.lit(False)).cast("bigint")).alias("switch_count"))

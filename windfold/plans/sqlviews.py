@@ -18,6 +18,12 @@ view("v_lattice", "SELECT clip_id, unnest(generate_series(0, n_hops - 1)) AS hop
 view("v_daily", """
 SELECT s.clip_id, s.day - p.first_day AS day_idx, roi_index, count(*) AS n, sum(cents) AS c, sum(k) AS k
 FROM v_samples s JOIN v_span p USING (clip_id) GROUP BY 1, 2, 3""")
+view("v_hop_sums", """
+SELECT l.clip_id, l.hop_idx, r.roi_index, CAST(coalesce(sum(d.n), 0) AS DOUBLE) AS n,
+  CAST(coalesce(sum(d.c), 0) AS DOUBLE) AS c, CAST(coalesce(sum(d.k), 0) AS DOUBLE) AS k
+FROM v_lattice l CROSS JOIN (SELECT CAST(range AS INTEGER) AS roi_index FROM range(5)) r
+LEFT JOIN v_daily d ON d.clip_id = l.clip_id AND d.roi_index = r.roi_index AND d.day_idx BETWEEN l.hop_idx AND l.hop_idx + 2
+GROUP BY 1, 2, 3""")
 view("v_meas", """
 SELECT clip_id, hop_idx, roi_index,
   CASE WHEN n > 0 THEN c / (100.0::DOUBLE * n) END AS hr_bpm,
@@ -25,12 +31,12 @@ SELECT clip_id, hop_idx, roi_index,
   CASE WHEN n > 0 THEN k / (100.0::DOUBLE * n) END AS ppr,
   n / (n + 1.0::DOUBLE) AS coverage, n > 0 AS valid,
   CASE WHEN n = 0 THEN 'missing_required_samples' END AS invalid_reason
-FROM (
-  SELECT l.clip_id, l.hop_idx, r.roi_index, CAST(coalesce(sum(d.n), 0) AS DOUBLE) AS n,
-    CAST(coalesce(sum(d.c), 0) AS DOUBLE) AS c, CAST(coalesce(sum(d.k), 0) AS DOUBLE) AS k
-  FROM v_lattice l CROSS JOIN (SELECT CAST(range AS INTEGER) AS roi_index FROM range(5)) r
-  LEFT JOIN v_daily d ON d.clip_id = l.clip_id AND d.roi_index = r.roi_index AND d.day_idx BETWEEN l.hop_idx AND l.hop_idx + 2
-  GROUP BY 1, 2, 3)""")
+FROM v_hop_sums""")
+view("v_hist_meas", """
+SELECT s.clip_id, s.hop_idx, s.roi_index, CASE WHEN n >= 2 THEN floor(c / n) / 100.0::DOUBLE END AS hr_bpm,
+  CASE WHEN n >= 2 THEN (floor(k / n) / 100.0::DOUBLE) * (n / (n + 1.0::DOUBLE)) END AS confidence,
+  CASE WHEN n >= 2 THEN floor(k / n) / 100.0::DOUBLE END AS ppr, n / (n + 1.0::DOUBLE) AS coverage
+FROM v_hop_sums s JOIN v_span p ON p.clip_id = s.clip_id WHERE s.hop_idx < p.n_hops - 1""")
 view("v_labels", """
 SELECT l.clip_id, l.hop_idx, CASE WHEN sum(d.n) > 0 THEN CAST(sum(d.c) AS DOUBLE) / (100.0::DOUBLE * sum(d.n)) END AS gt_hr_bpm,
   coalesce(sum(d.n), 0) > 0 AS valid,
@@ -69,15 +75,15 @@ SELECT w.clip_id, w.hop_idx, m.m, m.method_id, w.hr, w.conf, w.ppr, w.cov,
     WHEN 'tabled' THEN CASE WHEN d.pdraw % 4 = 0 THEN (d.pdraw // 4) % 5 ELSE d.best END END AS given, m.family,
   CASE WHEN m.family = 'simple_selector' THEN list_max(list_transform(list_zip(w.hr, w.ppr), lambda z: CASE WHEN z[1] IS NOT NULL THEN z[2] END)) END AS top
 FROM v_wide w CROSS JOIN v_methods m LEFT JOIN v_draws d ON d.clip_id = w.clip_id AND d.hop_idx = w.hop_idx AND d.seed = m.seed""")
-view("v_steps", """
+STEPS = """
 SELECT clip_id, m, CAST(-1 AS BIGINT) AS hop_idx, CAST(NULL AS BIGINT) AS proposed, CAST(-1 AS BIGINT) AS executed, CAST(NULL AS BIGINT) AS previous,
   CAST(0 AS BIGINT) AS pre_hold, CAST(0 AS BIGINT) AS hold, TRUE AS legal, CAST(NULL AS DOUBLE) AS hr, CAST(NULL AS DOUBLE) AS conf,
   70.0::DOUBLE AS pre_mean, 70.0::DOUBLE AS mean, 0.0::DOUBLE AS velocity, 400.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.0::DOUBLE AS p10, 25.0::DOUBLE AS p11,
   CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS pre_since, 0.0::DOUBLE AS pre_velocity, 400.0::DOUBLE AS pre_p00, 0.0::DOUBLE AS pre_p01, 0.0::DOUBLE AS pre_p10, 25.0::DOUBLE AS pre_p11
-FROM (SELECT DISTINCT clip_id, m FROM v_replay_in)
+FROM (SELECT DISTINCT clip_id, m FROM {given})
 UNION ALL
 SELECT clip_id, m, hop_idx, proposed, executed, CASE WHEN prev >= 0 THEN prev END, hold0, CASE WHEN executed = prev THEN hold0 + 1 ELSE 1 END,
-  free OR proposed = prev, z, CASE WHEN ok THEN c END, mean0, x + g0 * y, velocity0 + g1 * y, q00 - g0 * q00, q01 - g0 * q01, q10 - g1 * q00, q11 - g1 * q01,
+  free OR proposed = prev, z, c, mean0, x + g0 * y, velocity0 + g1 * y, q00 - g0 * q00, q01 - g0 * q01, q10 - g1 * q00, q11 - g1 * q01,
   CASE WHEN ok AND c >= 0.2::DOUBLE THEN 0 ELSE since0 + 1 END, since0, velocity0, p00, p01, p10, p11
 FROM (SELECT *, CASE WHEN ok THEN q00 / (q00 + 200.0::DOUBLE / greatest(c, 1e-6::DOUBLE)) ELSE 0.0::DOUBLE END AS g0,
         CASE WHEN ok THEN q10 / (q00 + 200.0::DOUBLE / greatest(c, 1e-6::DOUBLE)) ELSE 0.0::DOUBLE END AS g1,
@@ -93,7 +99,8 @@ FROM (SELECT *, CASE WHEN ok THEN q00 / (q00 + 200.0::DOUBLE / greatest(c, 1e-6:
         FROM (SELECT i.clip_id, i.m, i.hop_idx, i.family, i.given, i.top, i.hr AS hrs, i.conf AS confs, i.ppr AS pprs,
                 s.executed AS prev, s.hold AS hold0, (s.executed < 0 OR s.hold >= 2) AS free, s.mean AS mean0, s.velocity AS velocity0,
                 s.p00, s.p01, s.p10, s.p11, s.since AS since0
-          FROM v_steps s JOIN v_replay_in i ON i.clip_id = s.clip_id AND i.m = s.m AND i.hop_idx = s.hop_idx + 1)))))""")
+          FROM {steps} s JOIN {given} i ON i.clip_id = s.clip_id AND i.m = s.m AND i.hop_idx = s.hop_idx + 1)))))"""
+view("v_steps", STEPS.format(given="v_replay_in", steps="v_steps"))
 view("v_replay", """
 SELECT t.method_id, t.family, t.seed, s.clip_id, s.hop_idx, s.proposed AS proposed_action, s.executed AS executed_action, s.previous AS previous_action,
   s.pre_hold AS pre_hold_count, s.hold AS post_hold_count, s.legal, CASE WHEN NOT s.legal THEN 'minimum_hold' END AS override_reason,
@@ -104,3 +111,15 @@ FROM v_steps s JOIN v_methods t ON t.m = s.m WHERE s.hop_idx >= 0""")
 view("v_scored", """
 SELECT r.*, c.subject_id, c.view, c.condition, l.gt_hr_bpm, abs(r.post_belief_hr_bpm - l.gt_hr_bpm) AS abs_error_bpm
 FROM v_replay r JOIN v_labels l ON l.clip_id = r.clip_id AND l.hop_idx = r.hop_idx AND l.valid JOIN v_clips c ON c.clip_id = r.clip_id""")
+
+view("v_hist_in", """
+SELECT w.clip_id, w.hop_idx, m.m, m.method_id, w.hr, w.conf, w.ppr, w.cov, m.m AS given, m.family, CAST(NULL AS DOUBLE) AS top
+FROM (SELECT clip_id, hop_idx, list(hr_bpm ORDER BY roi_index) AS hr, list(confidence ORDER BY roi_index) AS conf,
+        list(ppr ORDER BY roi_index) AS ppr, list(coverage ORDER BY roi_index) AS cov FROM v_hist_meas GROUP BY 1, 2) w
+CROSS JOIN v_methods m WHERE m.family = 'fixed'""")
+view("v_hist_steps", STEPS.format(given="v_hist_in", steps="v_hist_steps"))
+view("v_hist_scored", """
+SELECT t.method_id, s.clip_id, s.hop_idx, s.proposed AS proposed_action, s.executed AS executed_action, s.hold AS post_hold_count, s.legal,
+  s.hr AS selected_hr_bpm, s.conf AS selected_confidence, s.hr IS NOT NULL AS selected_valid, s.mean AS post_belief_hr_bpm,
+  l.gt_hr_bpm, abs(s.mean - l.gt_hr_bpm) AS abs_error_bpm
+FROM v_hist_steps s JOIN v_methods t ON t.m = s.m JOIN v_labels l ON l.clip_id = s.clip_id AND l.hop_idx = s.hop_idx AND l.valid WHERE s.hop_idx >= 0""")

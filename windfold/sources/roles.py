@@ -96,6 +96,22 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def historical_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hops under an older rule: a channel needs two samples, means are
+    cut to whole cents and points, and the last hop of a clip is missing."""
+    d = daily(spark, sf_dir)
+    lattice = _lattice(d.withColumn("n_days", F.col("n_days") - 1))
+    w = _sums_by_hop(hop_windows(d, "day_idx", F.col("n_days"), SIZE, STEP), _lattice(d)).join(lattice, ["clip_id", "hop_idx"], "left_semi")
+    each = range(len(CHANNELS))
+    n = [F.col(f"n{i}") for i in each]
+    whole = lambda p, i: F.when(n[i] >= 2, F.floor(F.col(f"{p}{i}") / F.nullif(n[i], F.lit(0))) / 100.0)
+    cover = [n[i] / (n[i] + 1.0) for i in each]
+    return w.select(
+        "clip_id", "hop_idx", F.array(*[whole("c", i) for i in each]).alias("hr"),
+        F.array(*[whole("k", i) * cover[i] for i in each]).alias("confidence"),
+        F.array(*[whole("k", i) for i in each]).alias("ppr"), F.array(*cover).alias("coverage"))
+
+
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row per (clip, hop, channel), invalid rows with a reason."""
     h = hops(spark, sf_dir)
