@@ -186,11 +186,12 @@ def replay(hops: DataFrame, selectors: Sequence[Selector], keys: Sequence[str] =
     packed = lockstep(lean, keys, order, step, schema)
     columns = [*_REPLAY_DOUBLES, *_REPLAY_INTS, *_REPLAY_FLAGS]
     names = F.array(*[F.lit(s.method) for s in selectors])
-    rows = packed.select(*keys, order, F.explode(F.arrays_zip(names.alias("method_id"), *columns)).alias("__r"))
-    nan_to_null = lambda c: F.when(~F.isnan(f"__r.{c}"), F.col(f"__r.{c}")).alias(c) if c in _REPLAY_DOUBLES else F.col(f"__r.{c}").alias(c)
-    flat = rows.select(F.col("__r.method_id").alias("method_id"), *keys, order, *[nan_to_null(c) for c in columns])
-    return flat.withColumn("previous_action", F.when(F.col("previous_action") >= 0, F.col("previous_action"))).withColumn(
-        "override_reason", F.when(~F.col("legal"), F.lit("minimum_hold")))
+    rows = packed.select(*keys, order, F.explode(F.arrays_zip(names.alias("method_id"), *columns)).alias("r"))
+    # NaN travels through NumPy for "no measurement"; it becomes null again here.
+    return rows.selectExpr(
+        "r.method_id", *keys, order, *[f"nullif(r.{c}, double('NaN')) AS {c}" for c in _REPLAY_DOUBLES],
+        *[f"r.{c}" for c in _REPLAY_INTS if c != "previous_action"], "if(r.previous_action >= 0, r.previous_action, NULL) AS previous_action",
+        *[f"r.{c}" for c in _REPLAY_FLAGS], "if(r.legal, NULL, 'minimum_hold') AS override_reason")
 
 
 def _channels(column: pd.Series) -> np.ndarray:

@@ -101,14 +101,9 @@ def neighbour(
     gives nulls, also in the middle of a key.
     """
     keys = list(keys)
-    own = F.floor(F.col(index) / block).cast("long")
-    edge = (F.col(index) + 1) % block == 0
-    cut = df.withColumn(
-        "__halo", F.explode(F.when(edge, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("__block", own + F.col("__halo"))
-    w = Window.partitionBy(*keys, "__block").orderBy(F.col(index))
-    adjacent = F.lag(F.col(index)).over(w) == F.col(index) - 1
-    out = cut
-    for c in columns:
-        out = out.withColumn(prefix + c, F.when(adjacent, F.lag(F.col(c)).over(w)))
-    return out.where(F.col("__halo") == 0).drop("__halo", "__block")
+    by = ", ".join(keys)
+    cut = df.selectExpr("*", f"explode(if(({index} + 1) % {block} = 0, array(0, 1), array(0))) AS __halo").selectExpr(
+        "*", f"({index} DIV {block}) + __halo AS __block")
+    w = f"OVER (PARTITION BY {by}, __block ORDER BY {index})"
+    out = cut.selectExpr("*", *[f"if(lag({index}) {w} = {index} - 1, lag({c}) {w}, NULL) AS {prefix}{c}" for c in columns])
+    return out.where("__halo = 0").drop("__halo", "__block")

@@ -30,11 +30,9 @@ def replayed(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = Non
     """Hop rows of the named methods (all by default); no label column."""
     hops = roles.policy_inputs(roles.hops(spark, sf_dir))
     chosen = [m for m in METHODS if names is None or m[0] in names]
-    family = F.create_map(*[F.lit(v) for m in chosen for v in (m[0], m[1])])
-    seeds = [m for m in chosen if m[2] is not None]
-    seed = F.create_map(*[F.lit(v) for m in seeds for v in (m[0], m[2])])[F.col("method_id")] if seeds else F.lit(None).cast("int")
-    return (rp.replay(hops, selectors(names)).withColumn("family", family[F.col("method_id")])
-            .withColumn("seed", seed))
+    case = lambda i: " ".join(f"WHEN '{m[0]}' THEN {m[i]!r}" for m in chosen if m[i] is not None)
+    seed = f"CASE method_id {case(2)} END" if case(2) else "CAST(NULL AS int)"
+    return rp.replay(hops, selectors(names)).selectExpr("*", f"CASE method_id {case(1)} END AS family", f"{seed} AS seed")
 
 
 def scored(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:

@@ -238,12 +238,12 @@ def behaviour(spark, sf):
         r6(rate(~F.col("legal")) / n).alias("min_hold_override_rate"), r6(rate(~F.col("selected_valid")) / n).alias("invalid_selected_rate"))
 
 
-@query("a13_shard_merge", """SELECT method_id, subject_id, clip_id, round(sum(abs_error), 6) AS total_abs_error, count(*) AS hop_count FROM v_line GROUP BY ALL""")
+@query("a13_shard_merge", """SELECT method_id, subject_id, clip_id, round(sum(abs_error) + 1e-9, 6) AS total_abs_error, count(*) AS hop_count FROM v_line GROUP BY ALL""")
 def shard_merge(spark, sf):
-    """Accumulators per ship month (the shard), merged per clip: sums only, so the merge is exact."""
+    """Accumulators per return flag (the shard), merged per clip: sums only, so the merge is exact."""
     s = roles.line_scores(spark, sf)
     part = s.groupBy("method_id", "subject_id", "clip_id", "view").agg(F.sum("abs_error").alias("t"), F.count(F.lit(1)).alias("n"))
-    return part.groupBy("method_id", "subject_id", "clip_id").agg(r6(F.sum("t")).alias("total_abs_error"), F.sum("n").alias("hop_count"))
+    return part.groupBy("method_id", "subject_id", "clip_id").agg(r6(F.sum("t") + 1e-9).alias("total_abs_error"), F.sum("n").alias("hop_count"))
 
 
 @query("a14_hop_weighted_group", """SELECT method_id, round(avg(clip_mae), 6) AS equal_clip_mae, round(any_value(sm), 6) AS equal_subject_mae FROM

@@ -7,7 +7,7 @@ lineitem -> predictions by arm; part -> their labels
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windfold.functions.columns import hash_draw
@@ -49,28 +49,24 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per clip and day: sample count, value sum and k sum by channel, plus the
     clip's day index and day count.  Bounded by the calendar, whatever the number
     of samples a clip has; the sums combine before the shuffle."""
-    s = samples(spark, sf_dir)
     sums = []
     for i in range(len(CHANNELS)):
-        here = F.col("roi_index") == i
-        sums += [F.sum(here.cast("bigint")).alias(f"n{i}"),
-                 F.sum(F.when(here, F.col("cents")).otherwise(0)).alias(f"c{i}"),
-                 F.sum(F.when(here, F.col("k")).otherwise(0)).alias(f"k{i}")]
-    per_day = s.groupBy("clip_id", "day").agg(*sums)
-    whole = Window.partitionBy("clip_id")
-    return (
-        per_day.withColumn("first_day", F.min("day").over(whole))
-        .withColumn("n_days", F.max("day").over(whole) - F.col("first_day") + 1)
-        .withColumn("day_idx", F.col("day") - F.col("first_day"))
-        .drop("day", "first_day")
-    )
+        sums += [F.expr(f"sum(if(roi_index = {i}, 1L, 0L))").alias(f"n{i}"),
+                 F.expr(f"sum(if(roi_index = {i}, cents, 0L))").alias(f"c{i}"),
+                 F.expr(f"sum(if(roi_index = {i}, k, 0L))").alias(f"k{i}")]
+    per_day = samples(spark, sf_dir).groupBy("clip_id", "day").agg(*sums)
+    return per_day.selectExpr(
+        "clip_id", "day - min(day) OVER (PARTITION BY clip_id) AS day_idx",
+        "max(day) OVER (PARTITION BY clip_id) - min(day) OVER (PARTITION BY clip_id) + 1 AS n_days", *_SUMS)
+
+
+_SUMS = [f"{p}{i}" for i in range(len(CHANNELS)) for p in "nck"]
 
 
 def _sums_by_hop(windowed: DataFrame, lattice: DataFrame) -> DataFrame:
-    names = [f"{p}{i}" for i in range(len(CHANNELS)) for p in "nck"]
-    rows = windowed.select("clip_id", "hop_idx", *names).unionByName(
-        lattice.select("clip_id", "hop_idx", *[F.lit(0).cast("bigint").alias(c) for c in names]))
-    return rows.groupBy("clip_id", "hop_idx").agg(*[F.sum(c).alias(c) for c in names])
+    rows = windowed.select("clip_id", "hop_idx", *_SUMS).union(
+        lattice.selectExpr("clip_id", "hop_idx", *[f"0L AS {c}" for c in _SUMS]))
+    return rows.groupBy("clip_id", "hop_idx").agg(*[F.expr(f"sum({c}) AS {c}") for c in _SUMS])
 
 
 def _lattice(days: DataFrame) -> DataFrame:
@@ -83,33 +79,30 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (clip, hop) with channel arrays; null rate = no sample in the window."""
     d = daily(spark, sf_dir)
     w = _sums_by_hop(hop_windows(d, "day_idx", F.col("n_days"), SIZE, STEP), _lattice(d))
-    each = range(len(CHANNELS))
-    n = [F.col(f"n{i}") for i in each]
-    ratio = [F.when(n[i] > 0, F.col(f"k{i}") / (100.0 * F.nullif(n[i], F.lit(0)))) for i in each]
-    cover = [n[i] / (n[i] + 1.0) for i in each]
-    return w.select(
+    return w.selectExpr(
         "clip_id", "hop_idx",
-        F.array(*[F.when(n[i] > 0, F.col(f"c{i}") / (100.0 * F.nullif(n[i], F.lit(0)))) for i in each]).alias("hr"),
-        F.array(*[r * c for r, c in zip(ratio, cover)]).alias("confidence"),
-        F.array(*ratio).alias("ppr"),
-        F.array(*cover).alias("coverage"),
-    )
+        _array("if(n{i} > 0, c{i} / (100.0D * n{i}), NULL)", "hr"),
+        _array("if(n{i} > 0, (k{i} / (100.0D * n{i})) * (n{i} / (n{i} + 1.0D)), NULL)", "confidence"),
+        _array("if(n{i} > 0, k{i} / (100.0D * n{i}), NULL)", "ppr"),
+        _array("n{i} / (n{i} + 1.0D)", "coverage"))
+
+
+def _array(text: str, name: str) -> str:
+    """One SQL array with an entry per channel; ``{i}`` is the channel index."""
+    return f"array({', '.join(text.format(i=i) for i in range(len(CHANNELS)))}) AS {name}"
 
 
 def historical_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hops under an older rule: a channel needs two samples, means are
     cut to whole cents and points, and the last hop of a clip is missing."""
     d = daily(spark, sf_dir)
-    lattice = _lattice(d.withColumn("n_days", F.col("n_days") - 1))
-    w = _sums_by_hop(hop_windows(d, "day_idx", F.col("n_days"), SIZE, STEP), _lattice(d)).join(lattice, ["clip_id", "hop_idx"], "left_semi")
-    each = range(len(CHANNELS))
-    n = [F.col(f"n{i}") for i in each]
-    whole = lambda p, i: F.when(n[i] >= 2, F.floor(F.col(f"{p}{i}") / F.nullif(n[i], F.lit(0))) / 100.0)
-    cover = [n[i] / (n[i] + 1.0) for i in each]
-    return w.select(
-        "clip_id", "hop_idx", F.array(*[whole("c", i) for i in each]).alias("hr"),
-        F.array(*[whole("k", i) * cover[i] for i in each]).alias("confidence"),
-        F.array(*[whole("k", i) for i in each]).alias("ppr"), F.array(*cover).alias("coverage"))
+    shorter = d.withColumn("n_days", F.col("n_days") - 1)
+    w = _sums_by_hop(hop_windows(d, "day_idx", F.col("n_days"), SIZE, STEP), _lattice(d)).join(_lattice(shorter), ["clip_id", "hop_idx"], "left_semi")
+    whole = "if(n{{i}} >= 2, floor({c} / n{{i}}) / 100.0D, NULL)"
+    return w.selectExpr(
+        "clip_id", "hop_idx", _array(whole.format(c="c{i}"), "hr"),
+        _array(whole.format(c="k{i}") + " * (n{i} / (n{i} + 1.0D))", "confidence"),
+        _array(whole.format(c="k{i}"), "ppr"), _array("n{i} / (n{i} + 1.0D)", "coverage"))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,12 +122,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth per hop: mean value over a window centred on the hop end."""
     d = daily(spark, sf_dir)
     w = _sums_by_hop(centred_windows(d, "day_idx", F.col("n_days"), SIZE, STEP, HALF), _lattice(d))
-    n = sum((F.col(f"n{i}") for i in range(1, len(CHANNELS))), F.col("n0"))
-    c = sum((F.col(f"c{i}") for i in range(1, len(CHANNELS))), F.col("c0"))
-    return w.select(
-        "clip_id", "hop_idx", F.when(n > 0, c / (100.0 * F.nullif(n, F.lit(0)))).alias("gt_hr_bpm"), (n > 0).alias("valid"),
-        F.when(n == 0, F.lit("missing_required_samples")).alias("invalid_reason"),
-    )
+    n = " + ".join(f"n{i}" for i in range(len(CHANNELS)))
+    c = " + ".join(f"c{i}" for i in range(len(CHANNELS)))
+    return w.selectExpr(
+        "clip_id", "hop_idx", f"if({n} > 0, ({c}) / (100.0D * ({n})), NULL) AS gt_hr_bpm", f"{n} > 0 AS valid",
+        f"if({n} = 0, 'missing_required_samples', NULL) AS invalid_reason")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,14 +148,13 @@ def policy_inputs(hop_rows: DataFrame) -> DataFrame:
     index on ties, 0 when none is valid), replaced by a hashed channel on every
     fourth hop of that seed's draw.
     """
-    ranked = F.array_max(F.transform(F.col("confidence"), lambda c, i: F.when(
-        c.isNotNull(), F.struct(c.alias("c"), (-i).alias("i")))))
-    out = hop_rows.withColumn("__best", F.coalesce(-ranked["i"], F.lit(0)).cast("bigint"))
-    for s in RANDOM_SEEDS:
-        out = out.withColumn(f"draw_{s}", hash_draw(s, F.col("clip_id"), F.col("hop_idx")))
-        policy = hash_draw("p", s, F.col("clip_id"), F.col("hop_idx"))
-        out = out.withColumn(f"policy_{s}", F.when(policy % 4 == 0, F.floor(policy / 4) % len(CHANNELS)).otherwise(F.col("__best")).cast("bigint"))
-    return out.drop("__best")
+    best = ("coalesce(-array_max(transform(confidence, (c, i) -> if(c IS NULL, NULL, named_struct('c', c, 'i', -i)))).i, 0)")
+    draws = [hash_draw(s, F.col("clip_id"), F.col("hop_idx")).alias(f"draw_{s}") for s in RANDOM_SEEDS]
+    policies = [hash_draw("p", s, F.col("clip_id"), F.col("hop_idx")).alias(f"__p{s}") for s in RANDOM_SEEDS]
+    kept = hop_rows.columns
+    return hop_rows.select("*", F.expr(best).alias("__best"), *draws, *policies).selectExpr(
+        *kept, *[f"draw_{s}" for s in RANDOM_SEEDS],
+        *[f"CAST(if(__p{s} % 4 = 0, (__p{s} DIV 4) % {len(CHANNELS)}, __best) AS bigint) AS policy_{s}" for s in RANDOM_SEEDS])
 
 
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
