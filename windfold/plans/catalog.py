@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from windfold.plans import checks, sqlviews, replays, scores  # noqa: F401
+from windfold.plans import branching, checks, sqlviews, replays, scores  # noqa: F401
 from windfold.plans.registry import ORACLES, QUERIES, full_sql
 
 

@@ -33,15 +33,16 @@ def view(name: str, sql: str) -> None:
 
 
 def full_sql(body: str) -> str:
-    """Prefix ``body`` with the views it uses, in definition order."""
-    wanted: set[str] = set()
+    """Prefix ``body`` with the views it uses, each after the views it needs."""
+    wanted: dict[str, str] = {}
+    seen: set[str] = set()
 
     def collect(text: str) -> None:
-        for name in VIEWS:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                wanted.add(name)
+        for name in re.findall(r"\bv_\w+", text):
+            if name in VIEWS and name not in seen:
+                seen.add(name)
                 collect(VIEWS[name])
+                wanted[name] = VIEWS[name].strip()
 
     collect(body)
-    parts = [f"{name} AS ({VIEWS[name].strip()})" if "(" not in name else name for name in VIEWS if name in wanted]
-    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({t})' for n, t in wanted.items())} {body}" if wanted else body
