@@ -129,17 +129,29 @@ def branch_labels(spark, sf):
     return scored_branches(spark, sf).groupBy("clip_id", "anchor", "branch_action").agg(r6(F.avg("abs_error_bpm")).alias("mean_abs_error"))
 
 
-view("v_branch_score", "SELECT b.clip_id, b.anchor, h.horizon, b.branch_action, sum(err) FILTER (off < h.horizon) / h.horizon AS mean_error FROM v_branch b CROSS JOIN (VALUES (1), (3), (6)) h(horizon) WHERE off >= 0 GROUP BY ALL")
-view("v_regret", """SELECT s.clip_id, s.anchor, s.horizon, any_value(a.factual_action) AS factual_action, arg_min(s.branch_action, (s.mean_error, s.branch_action)) AS best_action,
-  max(s.mean_error) FILTER (s.branch_action = a.factual_action) AS factual_error, min(s.mean_error) AS best_error FROM v_branch_score s JOIN v_anchor a ON a.clip_id = s.clip_id AND a.anchor = s.anchor GROUP BY 1, 2, 3""")
+view("v_branch_errs", "SELECT clip_id, anchor, branch_action, list(err ORDER BY off) AS berrs FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3")
+view("v_branch_score", "SELECT clip_id, anchor, h.horizon, branch_action, list_reduce(berrs[1:h.horizon], lambda x, y: x + y) / h.horizon AS mean_error FROM v_branch_errs CROSS JOIN (VALUES (1), (3), (6)) h(horizon)")
+view("v_regret", """SELECT s.clip_id, s.anchor, s.horizon, a.factual_action, s.branch_action AS best_action, f.mean_error AS factual_error, s.mean_error AS best_error
+  FROM (SELECT * FROM v_branch_score QUALIFY row_number() OVER (PARTITION BY clip_id, anchor, horizon ORDER BY mean_error, branch_action) = 1) s JOIN v_anchor a ON a.clip_id = s.clip_id AND a.anchor = s.anchor
+  JOIN v_branch_score f ON f.clip_id = s.clip_id AND f.anchor = s.anchor AND f.horizon = s.horizon AND f.branch_action = a.factual_action""")
+
+
+def branch_errors(spark, sf, seed=0):
+    """Errors of each branch as an array over the WINDOW offsets; summed in offset order,
+    so that equal branches tie exactly."""
+    return scored_branches(spark, sf, seed).groupBy("clip_id", "anchor", "branch_action").agg(
+        F.array_sort(F.collect_list(F.struct("offset", "abs_error_bpm"))).alias("w")).select(
+        "clip_id", "anchor", F.col("branch_action").cast("bigint").alias("branch_action"), F.col("w.abs_error_bpm").alias("berrors"))
+
+
+ADD = "aggregate({}, 0D, (s, x) -> s + x)"
 
 
 def regrets(spark, sf, seed=0):
     """Horizon means per branch, then factual minus best per anchor."""
-    b = scored_branches(spark, sf, seed)
-    means = b.groupBy("clip_id", "anchor", "branch_action").agg(
-        *[(F.sum(F.when(F.col("offset") < h, F.col("abs_error_bpm"))) / h).alias(f"h{h}") for h in HORIZONS])
-    by_h = means.select("clip_id", "anchor", "branch_action", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("mean_error")) for h in HORIZONS])).alias("m")).select(
+    b = branch_errors(spark, sf, seed)
+    by_h = b.select("clip_id", "anchor", "branch_action", F.explode(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.expr(f"{ADD.format(f'slice(berrors, 1, {h})')} / {h}").alias("mean_error")) for h in HORIZONS])).alias("m")).select(
         "clip_id", "anchor", "branch_action", "m.*")
     factual = trace(spark, sf, seed).select("clip_id", F.col("hop_idx").alias("anchor"), F.col("executed_action").alias("factual_action"))
     g = by_h.join(factual, ["clip_id", "anchor"]).groupBy("clip_id", "anchor", "horizon", "factual_action").agg(
@@ -258,10 +270,10 @@ def recovery(spark, sf):
     return repeated_paths(spark, sf).select("clip_id", "anchor", se.recovery_class(F.col("gains")).alias("recovery"))
 
 
-view("v_singles", f"""SELECT a.clip_id, a.anchor, o.i AS off, b.branch_action, (CASE WHEN o.i = 0 THEN 0 ELSE list_sum(f.errs[1:o.i]) END) + sum(b.err) FILTER (b.off < {WINDOW} - o.i) AS total,
-  max(b.err) FILTER (b.off = {WINDOW - 1} - o.i) AS endpoint
-  FROM v_anchor a CROSS JOIN (SELECT range AS i FROM range({WINDOW})) o JOIN v_factual f ON f.clip_id = a.clip_id AND f.anchor = a.anchor JOIN v_branch b ON b.clip_id = a.clip_id AND b.anchor = a.anchor + o.i AND b.off >= 0
-  WHERE b.branch_action <> f.acts[o.i + 1] GROUP BY a.clip_id, a.anchor, o.i, b.branch_action, f.errs""")
+view("v_singles", f"""SELECT a.clip_id, a.anchor, o.i AS off, b.branch_action, b.berrs[{WINDOW} - o.i] AS endpoint,
+  (CASE WHEN o.i = 0 THEN 0.0::DOUBLE ELSE list_reduce(f.errs[1:o.i], lambda x, y: x + y) END) + list_reduce(b.berrs[1:{WINDOW} - o.i], lambda x, y: x + y) AS total
+  FROM v_anchor a CROSS JOIN (SELECT range AS i FROM range({WINDOW})) o JOIN v_factual f ON f.clip_id = a.clip_id AND f.anchor = a.anchor JOIN v_branch_errs b ON b.clip_id = a.clip_id AND b.anchor = a.anchor + o.i
+  WHERE b.branch_action <> f.acts[o.i + 1]""")
 
 
 @query("j11_best_single_correction", """SELECT s.clip_id, s.anchor, s.off AS best_offset, s.branch_action AS best_action, round(s.total, 6) AS best_total, round(s.endpoint, 6) AS endpoint, round(list_sum(f.errs) - s.total, 6) + 0 AS gain
@@ -274,17 +286,15 @@ def best_single(spark, sf):
 def singles(spark, sf):
     """Best one-time correction inside each anchor's window: factual errors before it,
     branch errors from it on; an equi-join on (clip, anchor + offset)."""
-    b = scored_branches(spark, sf).groupBy("clip_id", F.col("anchor").alias("at"), "branch_action").agg(F.array_sort(F.collect_list(F.struct("offset", "abs_error_bpm"))).alias("w"))
-    b = b.select("clip_id", "at", "branch_action", F.col("w.abs_error_bpm").alias("berrors"))
+    b = branch_errors(spark, sf).withColumnRenamed("anchor", "at")
     f = factual_windows(spark, sf).select("*", F.posexplode("factions").alias("off", "taken")).withColumn("at", F.col("anchor") + F.col("off"))
     j = f.join(b, ["clip_id", "at"]).where("branch_action <> taken")
-    add = "aggregate({}, 0D, (s, x) -> s + x)"
-    total = F.expr(f"{add.format('slice(ferrors, 1, off)')} + {add.format(f'slice(berrors, 1, {WINDOW} - off)')}")
+    total = F.expr(f"{ADD.format('slice(ferrors, 1, off)')} + {ADD.format(f'slice(berrors, 1, {WINDOW} - off)')}")
     endpoint = F.expr(f"element_at(berrors, {WINDOW} - off)")
     return j.groupBy("clip_id", "anchor").agg(
         F.min(F.struct(total.alias("total"), endpoint.alias("endpoint"), "off", F.col("branch_action").cast("bigint").alias("branch_action"))).alias("best"),
         F.min(F.when(F.col("off") == 0, F.struct(total.alias("total"), endpoint.alias("endpoint"), F.col("branch_action").cast("bigint").alias("branch_action"), F.element_at("berrors", 1).alias("immediate")))).alias("same"),
-        F.first(F.expr(add.format("ferrors"))).alias("factual_total"), F.first(F.element_at("ferrors", 1)).alias("factual_first"))
+        F.first(F.expr(ADD.format("ferrors"))).alias("factual_total"), F.first(F.element_at("ferrors", 1)).alias("factual_first"))
 
 
 @query("a17_anchor_analysis", f"""SELECT b.clip_id, b.anchor, b.off AS best_single_offset, round((list_sum(f.errs) - b.total) / {WINDOW}, 6) + 0 AS best_single_gain, s.branch_action AS same_anchor_action,
