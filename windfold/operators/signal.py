@@ -137,6 +137,11 @@ def _windows(block: np.ndarray, size: int, step: int) -> np.ndarray:
     return np.moveaxis(view, -1, 1)
 
 
+def _no_window(pdf: pd.DataFrame, keys: Sequence[str], columns: Sequence[str]) -> pd.DataFrame:
+    """A block too short for a window: one marker row (hop -1), filtered out after the map."""
+    return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "hop_idx": -1, **dict.fromkeys(columns)}])
+
+
 def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",), hops_per_block: int = 60) -> DataFrame:
     """Per (key, hop, channel): rate, confidence, ratio, coverage or an invalid reason.
 
@@ -157,7 +162,7 @@ def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip
         if (idx != block * hops_per_block * step + np.arange(len(idx))).any():
             raise ValueError("frame index is not contiguous")
         if len(idx) < size:
-            return pd.DataFrame({c: [] for c in [*keys, "hop_idx", "roi_index", "hr_bpm", "confidence", "ppr", "coverage", "valid", "invalid_reason"]})
+            return _no_window(pdf, keys, ["roi_index", "hr_bpm", "confidence", "ppr", "coverage", "valid", "invalid_reason"])
         cube = np.stack([np.vstack(pdf[c].to_numpy()).astype(float) for c in names], axis=2)
         w = _windows(cube, size, step)[:hops_per_block]
         hops, _, rois, _ = w.shape
@@ -173,7 +178,7 @@ def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
     out = blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, roi_index int, hr_bpm double, confidence double, ppr double, coverage double, valid boolean, invalid_reason string")
-    return out.select(*keys, "hop_idx", "roi_index", *[F.expr(f"nullif({c}, double('NaN')) AS {c}") for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
+    return out.where("hop_idx >= 0").select(*keys, "hop_idx", "roi_index", *[F.expr(f"nullif({c}, double('NaN')) AS {c}") for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
 
 
 def hop_labels(truth: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",), hop_count: int | None = None, hops_per_block: int = 60) -> DataFrame:
@@ -231,7 +236,7 @@ def _per_window(df: DataFrame, keys, order, columns, size, step, hops_per_block,
         pdf = pdf.sort_values(order)
         block = int(pdf["block"].iloc[0])
         if len(pdf) < size:
-            return pd.DataFrame({c: [] for c in [*keys, "hop_idx", *[f.split()[0] for f in schema.split(", ")]]})
+            return _no_window(pdf, keys, [f.split()[0] for f in schema.split(", ")])
         w = _windows(pdf[list(columns)].to_numpy(dtype=float), size, step)[:hops_per_block]
         out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "hop_idx": block * hops_per_block + np.arange(len(w))})
         for c, v in compute(w).items():
@@ -239,7 +244,7 @@ def _per_window(df: DataFrame, keys, order, columns, size, step, hops_per_block,
         return out
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    return blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, {schema}")
+    return blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, {schema}").where("hop_idx >= 0")
 
 
 def project_windows(df: DataFrame, keys: Sequence[str], order: str, rgb: Sequence[str], fps: float, size: int, step: int, hops_per_block: int = 256) -> DataFrame:
