@@ -26,6 +26,7 @@ def selectors(names: Sequence[str] | None = None) -> list[rp.Selector]:
     return [s for s in out if names is None or s.method in names]
 
 
+@roles.reuse_plan
 def replayed(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:
     """Hop rows of the named methods (all by default); no label column."""
     hops = roles.policy_inputs(roles.hops(spark, sf_dir))
@@ -35,6 +36,7 @@ def replayed(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = Non
     return rp.replay(hops, selectors(names)).selectExpr("*", f"CASE method_id {case(1)} END AS family", f"{seed} AS seed")
 
 
+@roles.reuse_plan
 def scored(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:
     """Replayed hops joined to labels, then to the clip dimension."""
     from windfold.operators.score import score
@@ -43,11 +45,13 @@ def scored(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None)
     return rows.join(roles.clips(spark, sf_dir).drop("c_acctbal"), "clip_id")
 
 
+@roles.reuse_plan
 def labelled_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.hops(spark, sf_dir).join(
         roles.labels(spark, sf_dir).where("valid").select("clip_id", "hop_idx", "gt_hr_bpm"), ["clip_id", "hop_idx"])
 
 
+@roles.reuse_plan
 def historical(spark: SparkSession, sf_dir: str, arms: Sequence[int] | None = None) -> DataFrame:
     """Fixed arms replayed on the historical hops, scored against today's labels."""
     from windfold.operators.score import score
@@ -56,6 +60,7 @@ def historical(spark: SparkSession, sf_dir: str, arms: Sequence[int] | None = No
     return score(rp.replay(roles.historical_hops(spark, sf_dir), chosen), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])
 
 
+@roles.reuse_plan
 def score_rows(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:
     """Replayed hops joined to labels, without the clip dimension."""
     from windfold.operators.score import score

@@ -45,4 +45,6 @@ def full_sql(body: str) -> str:
                 wanted[name] = VIEWS[name].strip()
 
     collect(body)
+    if body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return f"WITH RECURSIVE {', '.join(f'{n} AS ({t})' for n, t in wanted.items())} {body}" if wanted else body

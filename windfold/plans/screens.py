@@ -54,10 +54,10 @@ def observations(spark, sf):
     return r.select("clip_id", "hop_idx", obs.alias("obs"), "hr", "executed_action")
 
 
-@query("r05_observations", "SELECT clip_id, hop_idx, pos, round(v, 3) + 0 AS v FROM v_obs_long")
+@query("r05_observations", "SELECT clip_id, hop_idx, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) + 0 AS v FROM v_obs_long")
 def observation_rows(spark, sf):
     o = observations(spark, sf).select("clip_id", "hop_idx", F.posexplode("obs").alias("pos", "v"))
-    return o.select("clip_id", "hop_idx", F.col("pos").cast("bigint").alias("pos"), (F.round(F.col("v").cast("double"), 3) + 0).alias("v"))
+    return o.select("clip_id", "hop_idx", F.col("pos").cast("bigint").alias("pos"), (F.round(F.col("v").cast("double"), 6) + 0).alias("v"))
 
 
 def features(spark, sf):
@@ -67,12 +67,12 @@ def features(spark, sf):
     return o.selectExpr("*", f"explode(sequence(0, {CH - 1})) AS roi_index").where("hr[roi_index] IS NOT NULL").selectExpr("clip_id", "hop_idx", "roi_index", own)
 
 
-@query("r06_candidate_features", f"""SELECT m.clip_id, m.hop_idx, m.roi_index, CAST({7 + CH + 5 + CH} AS BIGINT) AS width, round(s.total, 2) + 0 AS feature_sum FROM v_meas m JOIN (
-  SELECT m.clip_id, m.hop_idx, m.roi_index, sum(o.v) + 1 AS total FROM v_meas m JOIN v_obs_long o ON o.clip_id = m.clip_id AND o.hop_idx = m.hop_idx AND (o.pos BETWEEN 7 * m.roi_index AND 7 * m.roi_index + 6 OR o.pos >= 35) GROUP BY 1, 2, 3) s
+@query("r06_candidate_features", f"""SELECT m.clip_id, m.hop_idx, m.roi_index, CAST({7 + CH + 5 + CH} AS BIGINT) AS width, round(s.total, 4) + 0 AS feature_sum FROM v_meas m JOIN (
+  SELECT m.clip_id, m.hop_idx, m.roi_index, sum(CAST(CAST(o.v AS FLOAT) AS DOUBLE)) + 1 AS total FROM v_meas m JOIN v_obs_long o ON o.clip_id = m.clip_id AND o.hop_idx = m.hop_idx AND (o.pos BETWEEN 7 * m.roi_index AND 7 * m.roi_index + 6 OR o.pos >= 35) GROUP BY 1, 2, 3) s
   ON s.clip_id = m.clip_id AND s.hop_idx = m.hop_idx AND s.roi_index = m.roi_index WHERE m.valid""")
 def candidate_features(spark, sf):
     f = features(spark, sf)
-    return f.select("clip_id", "hop_idx", "roi_index", F.size("features").cast("bigint").alias("width"), (F.round(F.expr("aggregate(features, 0D, (s, x) -> s + x)"), 2) + 0).alias("feature_sum"))
+    return f.select("clip_id", "hop_idx", "roi_index", F.size("features").cast("bigint").alias("width"), (F.round(F.expr("aggregate(features, 0D, (s, x) -> s + x)"), 4) + 0).alias("feature_sum"))
 
 
 view("v_rel", """SELECT clip_id, hop_idx, roi_index, CASE WHEN n > 1 THEN (pr - 1) / (n - 1) ELSE 0 END AS ppr_rank, CASE WHEN sp < 1e-9 THEN 0 ELSE (ppr - mp) / sp END AS ppr_z, CASE WHEN sh < 1e-9 THEN 0 ELSE (hr_bpm - mh) / sh END AS hr_z,

@@ -20,6 +20,7 @@ SUB = 4
 NFFT = 64
 
 
+@roles.reuse_plan
 def frames(spark, sf):
     """Frames with three positive channels."""
     return roles.frames(spark, sf).selectExpr("clip_id", "frame_idx", "value + 1D AS r", "k + 1D AS g", "roi_index * 10 + 5D AS b", "value", "k", "roi_index")

@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 from windfold.functions.columns import hash_draw
 from windfold.operators.windows import centred_windows, hop_count, hop_windows, index_rows
 
+def reuse_plan(fn):
+    """Build the plan of a derived table once per application and folder.
+
+    Only the logical plan is kept, never data: every query still reads its tables.
+    """
+    plans: dict = {}
+
+    def cached(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, *[tuple(a) if isinstance(a, list) else a for a in args])
+        if key not in plans:
+            plans[key] = fn(spark, sf_dir, *args)
+        return plans[key]
+
+    cached.__doc__ = fn.__doc__
+    return cached
+
+
 # Channel order of the event role, window geometry in days.
 CHANNELS = ("click", "error", "purchase", "signup", "view")
 SIZE, STEP, HALF = 3, 1, 4
@@ -39,12 +56,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@reuse_plan
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with a dense frame index per clip (time order, id breaks ties)."""
     s = samples(spark, sf_dir)
     return index_rows(s, ["clip_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
 
 
+@reuse_plan
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per clip and day: sample count, value sum and k sum by channel, plus the
     clip's day index and day count.  Bounded by the calendar, whatever the number
@@ -75,6 +94,7 @@ def _lattice(days: DataFrame) -> DataFrame:
     return days.where("day_idx = 0").where(n > 0).select("clip_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("hop_idx"))
 
 
+@reuse_plan
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (clip, hop) with channel arrays; null rate = no sample in the window."""
     d = daily(spark, sf_dir)
@@ -92,6 +112,7 @@ def _array(text: str, name: str) -> str:
     return f"array({', '.join(text.format(i=i) for i in range(len(CHANNELS)))}) AS {name}"
 
 
+@reuse_plan
 def historical_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hops under an older rule: a channel needs two samples, means are
     cut to whole cents and points, and the last hop of a clip is missing."""
@@ -105,6 +126,7 @@ def historical_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
         _array(whole.format(c="k{i}"), "ppr"), _array("n{i} / (n{i} + 1.0D)", "coverage"))
 
 
+@reuse_plan
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row per (clip, hop, channel), invalid rows with a reason."""
     h = hops(spark, sf_dir)
@@ -118,6 +140,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@reuse_plan
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth per hop: mean value over a window centred on the hop end."""
     d = daily(spark, sf_dir)
@@ -129,6 +152,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"if({n} = 0, 'missing_required_samples', NULL) AS invalid_reason")
 
 
+@reuse_plan
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clip dimension."""
     c = table(spark, sf_dir, "customer")
