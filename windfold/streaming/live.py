@@ -33,7 +33,7 @@ class BeliefProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("belief", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = STATE.replace(" double", "").replace(" bigint", "").split(", ")
         if self.state.exists():
             s = dict(zip(names, self.state.get()))
@@ -53,10 +53,10 @@ class BeliefProcessor(StatefulProcessor):
         self.state.update(tuple(s[k] for k in names))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter([])
 
@@ -75,7 +75,7 @@ class IndexMonitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("index", "rows bigint, duplicates bigint, out_of_order bigint, gaps bigint, last_index bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, dup, back, gaps, last = self.state.get() if self.state.exists() else (0, 0, 0, 0, -1)
         for frame in rows:
             for i in frame.sort_values("arrival")["frame_idx"]:
