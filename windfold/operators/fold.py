@@ -21,6 +21,16 @@ State = dict[str, np.ndarray]
 Step = Callable[[State | None, pd.DataFrame, int], tuple[State, dict[str, object]]]
 
 
+def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Hash-partition for a Python stage, with the session's partition count.
+
+    Python work costs far more per byte than a shuffle read, so these partitions
+    must not be merged by size; a stated count keeps AQE from doing it.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 def lockstep(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,8 +50,7 @@ def lockstep(
     """
     keys, carry = list(keys), list(carry)
     key = F.col(keys[0]) if len(keys) == 1 else F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    n = [partitions] if partitions else []
-    laid = df.withColumn("__key", key).repartition(*n, *[F.col(k) for k in keys]).sortWithinPartitions(order, "__key")
+    laid = spread(df.withColumn("__key", key), keys, partitions).sortWithinPartitions(order, "__key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         position = -1

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windfold.operators.fold import spread
 from windfold.operators.windows import hop_blocks
 
 # Fixed values of the pulse signal chain.
@@ -177,7 +178,7 @@ def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip
             "valid": ok, "invalid_reason": reasons[code]})
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    out = blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, roi_index int, hr_bpm double, confidence double, ppr double, coverage double, valid boolean, invalid_reason string")
+    out = spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, roi_index int, hr_bpm double, confidence double, ppr double, coverage double, valid boolean, invalid_reason string")
     return out.where("hop_idx >= 0").select(*keys, "hop_idx", "roi_index", *[F.expr(f"nullif({c}, double('NaN')) AS {c}") for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
 
 
@@ -220,7 +221,7 @@ def hop_labels(truth: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",),
         return out
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    out = blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, gt_hr_bpm double, invalid_reason string, valid boolean")
+    out = spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, gt_hr_bpm double, invalid_reason string, valid boolean")
     return out.selectExpr(*keys, "hop_idx", f"(hop_idx * {step} + {size}) / {float(fps)}D AS hop_time_s", "nullif(gt_hr_bpm, double('NaN')) AS gt_hr_bpm", "valid", "invalid_reason")
 
 
@@ -244,7 +245,7 @@ def _per_window(df: DataFrame, keys, order, columns, size, step, hops_per_block,
         return out
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    return blocked.groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, {schema}").where("hop_idx >= 0")
+    return spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, {schema}").where("hop_idx >= 0")
 
 
 def project_windows(df: DataFrame, keys: Sequence[str], order: str, rgb: Sequence[str], fps: float, size: int, step: int, hops_per_block: int = 256) -> DataFrame:

@@ -65,7 +65,7 @@ view("v_sublocal", "SELECT *, mix - avg(mix) OVER (PARTITION BY clip_id, start)
 @query("g01_pulse_projection", f"""SELECT h.clip_id, h.hop_idx, l.frame_idx - h.hop_idx * {STEP} AS pos, round(sum(l.local), 6) + 0 AS pulse FROM v_fhops h
   JOIN v_sublocal l ON l.clip_id = h.clip_id AND l.start >= h.hop_idx * {STEP} AND l.start + {SUB} <= h.hop_idx * {STEP} + {SIZE} GROUP BY 1, 2, 3""")
 def pulse(spark, sf):
-    p = sg.project_windows(frames(spark, sf), ["clip_id"], "frame_idx", ["r", "g", "b"], FPS, SIZE, STEP, hops_per_block=8)
+    p = sg.project_windows(frames(spark, sf), ["clip_id"], "frame_idx", ["r", "g", "b"], FPS, SIZE, STEP)
     return p.select("clip_id", "hop_idx", F.posexplode("pulse").alias("pos", "v")).select("clip_id", "hop_idx", F.col("pos").cast("bigint").alias("pos"), (r6("v") + 0).alias("pulse"))
 
 
@@ -86,7 +86,7 @@ view("v_filtered3", filtered_sql(3, True))
 
 @query("g02_bandpass_standardise", """SELECT clip_id, hop_idx, pos, round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) + 0 AS filtered FROM v_filtered1 WINDOW w AS (PARTITION BY clip_id, hop_idx)""")
 def band(spark, sf):
-    b = sg.bandpass(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, 1, SIZE, STEP, hops_per_block=8)
+    b = sg.bandpass(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, 1, SIZE, STEP)
     return b.select("clip_id", "hop_idx", F.posexplode("filtered").alias("pos", "v")).select("clip_id", "hop_idx", F.col("pos").cast("bigint").alias("pos"), (r6("v") + 0).alias("filtered"))
 
 
@@ -103,7 +103,7 @@ view("v_natural", density_sql(SIZE))
 @query("g03_dominant_frequency", """SELECT p.clip_id, p.hop_idx, round(p.rate, 6) AS rate, round(n.ratio, 6) AS ratio FROM (SELECT clip_id, hop_idx, arg_max(freq, power) * 60 AS rate FROM v_padded GROUP BY 1, 2) p
   JOIN (SELECT clip_id, hop_idx, max(power) / sum(power) AS ratio FROM v_natural GROUP BY 1, 2) n ON n.clip_id = p.clip_id AND n.hop_idx = p.hop_idx""")
 def dominant(spark, sf):
-    d = sg.dominant_frequency(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, SIZE, STEP, min_fft=NFFT, hops_per_block=8)
+    d = sg.dominant_frequency(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, SIZE, STEP, min_fft=NFFT)
     return d.select("clip_id", "hop_idx", r6("rate").alias("rate"), r6("ratio").alias("ratio"))
 
 
@@ -119,13 +119,13 @@ RATE = 7.0
 
 @query("g04_hop_measurements")
 def measurements(spark, sf):
-    return sg.hop_measurements(roi_frames(spark, sf), RATE, hops_per_block=2).select("clip_id", "hop_idx", "roi_index", *[r6(c).alias(c) for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
+    return sg.hop_measurements(roi_frames(spark, sf), RATE).select("clip_id", "hop_idx", "roi_index", *[r6(c).alias(c) for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
 
 
 @query("g05_hop_labels")
 def label_rates(spark, sf):
     truth = counted(frames(spark, sf)).select("clip_id", "frame_idx", "n_frames", F.col("value").alias("gt_ppg"))
-    return sg.hop_labels(truth, RATE, hops_per_block=2).select("clip_id", "hop_idx", r6("hop_time_s").alias("hop_time_s"), r6("gt_hr_bpm").alias("gt_hr_bpm"), "valid", "invalid_reason")
+    return sg.hop_labels(truth, RATE).select("clip_id", "hop_idx", r6("hop_time_s").alias("hop_time_s"), r6("gt_hr_bpm").alias("gt_hr_bpm"), "valid", "invalid_reason")
 
 
 @query("g06_second_label_rule")
@@ -135,6 +135,6 @@ def second_labels(spark, sf):
     rules = spark.createDataFrame([("rate-7", 7.0), ("rate-8", 8.0)], "rule_id string, fps double")
     out = None
     for r in ((rid, fps) for rid, fps in [("rate-7", 7.0), ("rate-8", 8.0)]):
-        part = sg.hop_labels(truth, r[1], hops_per_block=2).select(F.lit(r[0]).alias("rule_id"), "clip_id", "hop_idx", r6("gt_hr_bpm").alias("gt_hr_bpm"), "valid", "invalid_reason")
+        part = sg.hop_labels(truth, r[1]).select(F.lit(r[0]).alias("rule_id"), "clip_id", "hop_idx", r6("gt_hr_bpm").alias("gt_hr_bpm"), "valid", "invalid_reason")
         out = part if out is None else out.unionByName(part)
     return out.join(rules, "rule_id")

@@ -24,10 +24,11 @@ def sliding_hops(samples: DataFrame, window: str = "8 seconds", slide: str = "1
 
 
 class BeliefProcessor(StatefulProcessor):
-    """Belief and minimum hold per clip; hops must arrive in order, a clip's state
-    expires with its timer."""
+    """Belief and minimum hold per clip; hops must arrive in order.  With ``idle_ms``
+    the state of a clip that stays silent that long is dropped by a timer."""
 
-    idle_ms = 60_000
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,9 +52,10 @@ class BeliefProcessor(StatefulProcessor):
             s = {k: v[0].item() for k, v in new.items()} | {"next_hop": int(r.hop_idx) + 1}
             out.append((key[0], r.hop_idx, r.proposed_action, int(executed[0]), int(hold[0]), bool(legal[0]), float(new["mean"][0])))
         self.state.update(tuple(s[k] for k in names))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -64,9 +66,14 @@ class BeliefProcessor(StatefulProcessor):
         pass
 
 
-def live_belief(hops: DataFrame) -> DataFrame:
-    """Replay of proposed actions per clip on a stream of hop rows."""
-    return hops.groupBy("clip_id").transformWithStateInPandas(BeliefProcessor(), STEP_SCHEMA, "Append", "ProcessingTime")
+def live_belief(hops: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Replay of proposed actions per clip on a stream of hop rows.
+
+    A query with processing-time timers never runs out of work, so leave
+    ``idle_ms`` unset for a run over finite input.
+    """
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return hops.groupBy("clip_id").transformWithStateInPandas(BeliefProcessor(idle_ms), STEP_SCHEMA, "Append", mode)
 
 
 class IndexMonitor(StatefulProcessor):
