@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windfold.session import ship
+
 State = dict[str, np.ndarray]
 Step = Callable[[State | None, pd.DataFrame, int], tuple[State, dict[str, object]]]
 
@@ -27,6 +29,7 @@ def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) ->
     Python work costs far more per byte than a shuffle read, so these partitions
     must not be merged by size; a stated count keeps AQE from doing it.
     """
+    ship(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(k) for k in keys])
 

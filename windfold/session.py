@@ -7,6 +7,7 @@ exists for tests, the benchmark and notebooks.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers import it to run the folds and window functions; on a cluster, or
+    when the driver starts elsewhere, it is not on their path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "windfold_package")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), "windfold"))
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 

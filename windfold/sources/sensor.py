@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from windfold.operators.constraints import ConstraintError, one_sided, require_none
 from windfold.operators.windows import hop_count
+from windfold.session import ship
 
 # Region order, camera dimension, file suffixes.
 ROIS = ("full_face", "forehead_left", "forehead_right", "temple_left", "temple_right", "nose", "cheek_upper_left", "cheek_upper_right",
@@ -154,6 +155,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"clip_id": str(z["stem"]), "fs": float(z["fs"]), "hop_idx": np.arange(n), "hr": list(z["hr_meas"]), "confidence": list(z["conf"]),
                                         "ppr": list(z["ppr"]), "coverage": list(z["cov"]), "gt_hr_bpm": z["gt_hr"]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path)
     raw = files.select("content").mapInPandas(load, schema)
     null = lambda c: F.transform(c, lambda v: F.when(~F.isnan(v), v)).alias(c)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from windfold.operators.replay import advance, settle, start_state
+from windfold.session import ship
 
 STATE = "mean double, velocity double, p00 double, p01 double, p10 double, p11 double, since_confident bigint, previous bigint, hold bigint, next_hop bigint"
 STEP_SCHEMA = "clip_id bigint, hop_idx bigint, proposed_action bigint, executed_action bigint, post_hold_count bigint, legal boolean, post_belief_hr_bpm double"
@@ -72,6 +73,7 @@ def live_belief(hops: DataFrame, idle_ms: int | None = None) -> DataFrame:
     A query with processing-time timers never runs out of work, so leave
     ``idle_ms`` unset for a run over finite input.
     """
+    ship(hops.sparkSession)
     mode = "None" if idle_ms is None else "ProcessingTime"
     return hops.groupBy("clip_id").transformWithStateInPandas(BeliefProcessor(idle_ms), STEP_SCHEMA, "Append", mode)
 
@@ -104,6 +106,7 @@ class IndexMonitor(StatefulProcessor):
 
 def monitor(samples: DataFrame) -> DataFrame:
     """Running constraint counts; ``arrival`` orders the rows of a micro-batch."""
+    ship(samples.sparkSession)
     return samples.groupBy("clip_id").transformWithStateInPandas(IndexMonitor(), MONITOR_SCHEMA, "Update", "None")
 
 
