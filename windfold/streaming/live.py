@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from windfold.operators import replay
 from windfold.operators.replay import advance, settle, start_state
 from windfold.session import ship
 
+# A stateful query first starts one worker on the driver that does not see shipped
+# packages, so the processors travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(replay)
+
 STATE = "mean double, velocity double, p00 double, p01 double, p10 double, p11 double, since_confident bigint, previous bigint, hold bigint, next_hop bigint"
 STEP_SCHEMA = "clip_id bigint, hop_idx bigint, proposed_action bigint, executed_action bigint, post_hold_count bigint, legal boolean, post_belief_hr_bpm double"
 MONITOR_SCHEMA = "clip_id bigint, rows bigint, duplicates bigint, out_of_order bigint, gaps bigint, last_index bigint"
