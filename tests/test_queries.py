@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from windfold.plans import catalog
 from tools.check import TABLES, table
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ SAMPLE = ["a03_run_rows", "k05_rule_selector_replay", "k09_beam_replay", "k12_re
 
 
 def test_registry_is_consistent():
-    q, o = entry.queries(), entry.oracle_sql()
+    q, o = catalog.queries(), catalog.oracle_sql()
     assert set(o) <= set(q) and len(q) > 100
     assert not any(re.search("pipeline|^op\\d", n) for n in q)
 
