@@ -56,9 +56,13 @@ def carried(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def blocks_for(df: DataFrame, bytes_each: int, text_col: str = "_text") -> int:
-    """Number of blocks of about ``bytes_each`` that the texts of ``df`` make, at least four times the shuffle partitions."""
+    """Number of blocks that the texts of ``df`` make.
+
+    A block has about ``bytes_each`` bytes; of a larger input it has more, up to
+    64 MiB, so that what passes between every two blocks stays worth a row.
+    """
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(int(total // bytes_each) + 1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return int(total // max(bytes_each, min(64 << 20, int((total * (16 << 10)) ** 0.5)))) + 1
 
 
 # --- bytes and words of Arrow text columns -------------------------------------------------

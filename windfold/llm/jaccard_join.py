@@ -335,7 +335,7 @@ def _elements(n: int):
     return elements
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), bucket_bytes: int = 12 << 20, family: int = FAMILY) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), bucket_bytes: int = 4 << 20, family: int = FAMILY) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
     A document's set are its distinct shingles of ``n`` words, lower-cased A to

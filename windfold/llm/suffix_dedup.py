@@ -294,7 +294,7 @@ def _cleaned(size: int):
     return cleaned
 
 
-def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, bucket_bytes: int = 12 << 20) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, bucket_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, spans, kept``.
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the bytes that stay.

@@ -92,7 +92,7 @@ def _cleaned(n: int):
     return cleaned
 
 
-def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_words, spans, kept``.
 
     ``spans`` are the maximal intervals of removed words, ``kept`` the words that
