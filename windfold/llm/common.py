@@ -14,7 +14,7 @@ from windfold.session import cut_lineage, ship
 #: A null id counts as this one inside an operator and is null again in its result.
 NULL_ID = -(2**63)
 #: Bytes of text handled by one NumPy step.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that a mapper gathers before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 SENT = "bucket long, ids binary, keys binary, more binary"
 FOUND = "block int, ids binary, keys binary"

@@ -24,6 +24,8 @@ from windfold.llm.window_dedup import runs
 
 #: Bytes of a gram.
 GRAM = 32
+#: Bytes of pieces that one suffix array holds, about.
+TEXT = 1 << 19
 #: An anchor with at least so many places is common; at most so many of the commonest are known to all tasks (a list of fixed size).
 COMMON, COMMON_LIST = 2_000, 1 << 15
 
@@ -219,6 +221,22 @@ def _twice(parts: pa.Array, anchor: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sorted_out(data, begin, ids, starts, n, some, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated strings of ``some`` pieces, by their suffix array: identifiers, starts, lengths and hashes of their runs."""
+    some = some[np.lexsort((starts[some], ids[some]))]
+    sz, wn = n[some] + size - 1, n[some]
+    text = data[np.repeat(begin[some], sz) + c.spread(sz)]
+    at = np.repeat(np.cumsum(sz) - sz, wn) + c.spread(wn)
+    owner = np.repeat(np.arange(len(some)), wn)
+    start = starts[some][owner] + c.spread(wn)
+    order = np.lexsort((start, ids[some][owner]))
+    i, s = ids[some][owner][order], start[order]
+    when = np.empty(len(at), np.int64)
+    when[order] = np.cumsum(np.concatenate(([0], (i[1:] != i[:-1]) | (s[1:] != s[:-1]))))
+    a, b = runs(longest_previous(text, at, when, size) >= size, np.cumsum(wn) - wn)
+    return ids[some][owner[a]], start[a], b - a, _hash_of(_bytes_of(text, at[a], b - a + size - 1))
+
+
 def _settled(size: int, buckets: int, blocks: int):
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -238,21 +256,13 @@ def _settled(size: int, buckets: int, blocks: int):
         twice[first] = _twice(parts.take(pa.array(first)), anchor[first])
         _, where, many = np.unique(anchor[first], return_inverse=True, return_counts=True)
         first = first[(many[where] > 1) | twice[first]]
-        first = first[np.lexsort((starts[first], ids[first]))]
-        if len(first):
-            sz, wn = sizes[first], n[first]
-            text = data[np.repeat(begin[first], sz) + c.spread(sz)]
-            base = np.cumsum(sz) - sz
-            at = np.repeat(base, wn) + c.spread(wn)
-            owner = np.repeat(np.arange(len(first)), wn)
-            start = starts[first][owner] + c.spread(wn)
-            order = np.lexsort((start, ids[first][owner]))
-            i, s = ids[first][owner][order], start[order]
-            when = np.empty(len(at), np.int64)
-            when[order] = np.cumsum(np.concatenate(([0], (i[1:] != i[:-1]) | (s[1:] != s[:-1]))))
-            gone = longest_previous(text, at, when, size) >= size
-            a, b = runs(gone, np.cumsum(wn) - wn)
-            rows += _told(ids[first][owner[a]], start[a], b - a, _hash_of(_bytes_of(text, at[a], b - a + size - 1)), blocks)
+        # strings with different anchors differ: texts of about TEXT bytes, each with all pieces of its anchors
+        first = first[np.argsort(anchor[first], kind="stable")]
+        head = occ._cuts(anchor[first])
+        load = np.concatenate(([0], np.cumsum(sizes[first])))[head]
+        cuts = head[np.unique(np.concatenate((np.searchsorted(load, np.arange(0, load[-1], TEXT)), [len(head) - 1])))]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rows += _told(*_sorted_out(data, begin, ids, starts, n, first[lo:hi], size), blocks)
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int32()] + [pa.binary()] * 4)], names=["block", "ids", "starts", "lengths", "hashes"])
 
