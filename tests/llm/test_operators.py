@@ -144,9 +144,10 @@ def test_longest_previous():
         assert got.tolist() == want
 
 
-def test_jaccard(spark):
+def test_jaccard(spark, monkeypatch):
     for df, rows in both(spark):
-        for options in ({}, {"family": 6}):
+        for options, parts in (({}, 1024), ({"family": 6}, 40)):
+            monkeypatch.setattr(jaccard_join, "PARTS", parts)
             out = jaccard_join.similar_documents(df, n=4, similarity=(85, 100), **options).collect()
             assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute.jaccard(rows)
         kept = jaccard_join.one_of_each(df, n=5, similarity=(80, 100))

@@ -30,9 +30,13 @@ from windfold.llm import common as c
 from windfold.llm import occurrences as occ
 from windfold.llm.components import Union, components, forest
 
-#: Counters of the element frequencies, which only order the elements: any counts give right results.
-SKETCH = 1 << 20
-_CHUNK = 1 << 12
+#: Counters of word and of shingle frequencies, which only order the elements: any counts give right results.
+WORDS, SHINGLES = 1 << 20, 1 << 24
+_CHUNK = 1 << 14
+#: Bits of the filter of documents whose sets are needed again.
+FILTER = 1 << 24
+#: Sets from this size on are listed by groups of elements: long texts share passages, and with them single elements, without being similar.
+PARTS = 1024
 #: Largest size that can be light, cost of a list entry in subsets, and sets of a family that one task verifies.
 LIGHT_MOST, LIST_COST, FAMILY = 24, 8, 4096
 
@@ -61,24 +65,33 @@ def boundary(histogram: dict[int, int], num: int, den: int) -> int:
     return min(range(LIGHT_MOST + 1), key=cost)
 
 
-def _sets(n: int, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, ascending in a row, and where each row's begin."""
+def _sets(n: int, data: np.ndarray, offs: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, ascending in a row, and where each row's begin; the hashes of all words.
+
+    With a ``weight`` by word counter, the last is the sum of the weights of each shingle's words instead.
+    """
     starts, ends, first = c.words(data, offs)
     hashes = c.word_hashes(data, starts, ends, c.BYTE_LOWER)
-    keys, _, counts = c.windows(hashes, first, n)
+    keys, at, counts = c.windows(hashes, first, n)
+    row, until = np.repeat(np.arange(len(counts)), counts), at + n
     short = np.flatnonzero((np.diff(first) > 0) & (counts == 0))
     if len(short):
         sums, down = c.rolling(hashes)
         a, b = first[short], first[short + 1]
-        row = np.concatenate((np.repeat(np.arange(len(counts)), counts), short))
+        row, at, until = np.concatenate((row, short)), np.concatenate((at, a)), np.concatenate((until, b))
         keys = np.concatenate((keys, c.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))))
-    else:
-        row = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((keys, row))
     keys, row = keys[order], row[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    return keys[new], np.searchsorted(row[new], np.arange(len(counts) + 1))
+    if weight is not None:
+        total = np.concatenate(([0], np.cumsum(weight[_counter(hashes, WORDS)], dtype=np.int64)))
+        hashes = (total[until] - total[at])[order][new]
+    return keys[new], np.searchsorted(row[new], np.arange(len(counts) + 1)), hashes
+
+
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
 def _class_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,35 +104,78 @@ def _class_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _counted(n: int):
-    """Counts of elements by counter, in chunks, and the sizes of small sets."""
+    """Counts of words and of shingles by counter, in chunks, and the sizes of small sets (chunk -1)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(SKETCH, np.int64), Counter()
+        counts, sizes, held = np.zeros(WORDS + SHINGLES, np.uint16), Counter(), []
+
+        def add() -> None:
+            if held:
+                at, more = np.unique(np.concatenate(held), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 65535)
+                held.clear()
+
         for batch in batches:
             for _, _, data, offs in c.slices(batch.column(1)):
-                keys, at = _sets(n, data, offs)
-                counts += np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                keys, at, hashes = _sets(n, data, offs)
+                held += [_counter(hashes, WORDS), WORDS + _counter(keys, SHINGLES)]
+                if len(held) >= 16:
+                    add()
                 size = np.diff(at)
                 sizes.update(size[(size > 0) & (size <= 2 * LIGHT_MOST)].tolist())
-        chunk = [k for k in range(SKETCH // _CHUNK) if counts[k * _CHUNK : (k + 1) * _CHUNK].any()]
+        add()
+        parts = counts.reshape(-1, _CHUNK)
+        chunk = np.flatnonzero(parts.any(1))
         small = np.array([sizes[s] for s in range(2 * LIGHT_MOST + 1)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *chunk], pa.int32()), pa.array([small.tobytes(), *(occ.squeezed(counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in chunk)], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, chunk), pa.int32()), pa.array([occ.squeezed(small), *(occ.squeezed(parts[k].astype(np.int64)) for k in chunk)], pa.binary())], names=["chunk", "counts"])
 
     return counted
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
-    chunk = key[0].as_py()
-    parts = [np.frombuffer(b, np.int64) if chunk < 0 else occ.unsqueezed(b, np.int64) for b in table.column("counts").to_pylist()]
-    total = np.sum(parts, axis=0)
-    out = total.tobytes() if chunk < 0 else np.round(6 * np.log2(1 + total)).astype(np.uint8).tobytes()
-    return pa.table([pa.array([chunk], pa.int32()), pa.array([out], pa.binary())], names=["chunk", "counts"])
+    total = np.sum([occ.unsqueezed(b, np.int64) for b in table.column("counts").to_pylist()], axis=0)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())]), pa.array([occ.squeezed(total)], pa.binary())], names=["chunk", "total", "counts"])
+
+
+def _levelled(mean: float):
+    """One byte for each counter: of words, eighths of a logarithm; of shingles, how far it stands out from ``mean``."""
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                seen = occ.unsqueezed(blob, np.int64)
+                if chunk * _CHUNK < WORDS:
+                    level = np.minimum(8 * np.log2(1 + seen), 255)
+                else:
+                    level = np.floor(np.log2(np.maximum((seen - mean) / (8 * np.sqrt(mean) + 1), 0.5))) + 1
+                out.append(occ.squeezed(level.astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "levels"])
+
+    return levelled
+
+
+def frequencies(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Weight of each word counter, level of each shingle counter, and how many small sets have each size.
+
+    Shingles of rare words are to come first; those whose counter stands out (a
+    passage that many documents share) last, the commonest at the very end.  The
+    tables have a fixed size.
+    """
+    sums = c.settled(rows.mapInArrow(_counted(n), "chunk int, counts binary").groupBy("chunk").applyInArrow(_added, "chunk int, total long, counts binary"))
+    mean = (sums.where(F.col("chunk") * _CHUNK >= WORDS).agg(F.sum("total")).first()[0] or 0) / SHINGLES
+    level = np.zeros(WORDS + SHINGLES, np.uint8)
+    for r in sums.where("chunk >= 0").mapInArrow(_levelled(mean), "chunk int, levels binary").collect():
+        level[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = occ.unsqueezed(bytes(r["levels"]), np.uint8)
+    small = sums.where("chunk = -1").select("counts").first()
+    histogram = {s: int(v) for s, v in enumerate(occ.unsqueezed(bytes(small[0]), np.int64)) if v} if small else {}
+    return level[:WORDS], level[WORDS:], histogram
 
 
 def _named(n: int):
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_sets(n, data, offs) for _, _, data, offs in c.slices(batch.column(1))]
+            out = [_sets(n, data, offs)[:2] for _, _, data, offs in c.slices(batch.column(1))]
             size = np.concatenate([np.diff(at) for _, at in out]) if out else np.zeros(0, np.int64)
             name = np.concatenate([_class_of(k, at) for k, at in out]) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name)], names=["_id", "size", "cls"])
@@ -137,6 +193,43 @@ def _subsets(keys: np.ndarray, bound: int, num: int, den: int) -> Iterator[int]:
             yield (((total - sum(out)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFF00) ^ (o << 40) & 0xFFFFFFFFFFFFFF00) | o
 
 
+def classes_of_size(num: int, den: int) -> np.ndarray:
+    """First size of each size class: sets that can be similar are in one class or in neighbouring ones."""
+    first = [1]
+    while first[-1] < 1 << 40:
+        first.append(first[-1] * den // num + 1)
+    return np.array(first)
+
+
+def _part_keys(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, q: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of the element groups of ``rows``, as class ``q`` (of the larger set of a pair) cuts them.
+
+    Sets of class ``q`` or below differ in at most d elements if they are
+    similar, hence in at most d of m > d groups by range of hash: some group is
+    equal.  A group's key names its elements.  Empty groups are keys of their own
+    (lowest bit 1): they matter only for a set with so many of them that all its
+    equal groups may be empty, which is told by the second bit.
+    """
+    d = 2 * (first[q + 1] - 1) * (den - num) // (num + den)
+    spare = np.maximum(8, d * 19 // 100)
+    m = d + 1 + spare
+    size = at[rows + 1] - at[rows]
+    r = np.repeat(np.arange(len(rows)), size)
+    e = keys[np.repeat(at[rows], size) + c.spread(size)]
+    base = np.cumsum(m) - m
+    group = base[r] + ((e >> np.uint64(32)) * m[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cuts = occ._cuts(group)[:-1]
+    name = lambda row, g: c.mixed((g - base[row]).astype(np.uint64) ^ (q[row].astype(np.uint64) << np.uint64(40)) ^ np.uint64(0x2545F4914F6CDD1D))
+    there = c.mixed(np.add.reduceat(c.mixed(e), cuts) ^ name(r[cuts], group[cuts])) & ~np.uint64(3)
+    empty = np.ones(int(m.sum()), bool)
+    empty[group] = False
+    gone = np.flatnonzero(empty)
+    row = np.searchsorted(base, gone, "right") - 1
+    sparse = np.bincount(row, minlength=len(rows)) > spare
+    none = (name(row, gone) & ~np.uint64(3)) | np.where(sparse[row], np.uint64(3), np.uint64(1))
+    return np.concatenate((there, none)), rows[np.concatenate((r[cuts], row))]
+
+
 def _posted(n: int, num: int, den: int, bound: int, rarity, buckets: int):
     """Postings (key, class, size) packed by bucket: list entries first, subsets in the buckets behind."""
 
@@ -163,18 +256,27 @@ def _posted(n: int, num: int, den: int, bound: int, rarity, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "keys", "which", "names", "sizes"])
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = rarity.value
+        weight, level = rarity.value
+        first = classes_of_size(num, den)
+        long = int(np.searchsorted(first, PARTS))
         heavy, light, held = [], [], 0
         for batch in batches:
             for _, _, data, offs in c.slices(batch.column(1)):
-                keys, at = _sets(n, data, offs)
+                keys, at, rank = _sets(n, data, offs, weight)
                 size, names = np.diff(at), _class_of(keys, at)
                 row = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((keys, rank[(keys >> np.uint64(44)).astype(np.int64)], row))
-                listed = np.where((size > 0) & (den * size > num * bound), prefix(size, num, den), 0)
+                order = np.lexsort((keys, rank + (level[_counter(keys, SHINGLES)].astype(np.int64) << 32), row))
+                kind = np.searchsorted(first, size, "right") - 1
+                listed = np.where((size > 0) & (den * size > num * bound) & (kind < long), prefix(size, num, den), 0)
                 pick = order[np.repeat(at[:-1], listed) + c.spread(listed)]
-                heavy.append((keys[pick], names[row[pick]], size[row[pick]]))
+                heavy.append((keys[pick] & ~np.uint64(3), names[row[pick]], size[row[pick]]))
                 held += len(pick)
+                for up in (0, 1):
+                    some = np.flatnonzero((size > 0) & (kind + up >= long))
+                    if len(some):
+                        part, owner = _part_keys(keys, at, some, kind[some] + up, first, num, den)
+                        heavy.append((part, names[owner], size[owner]))
+                        held += len(part)
                 for k in np.flatnonzero((size > 0) & (size <= bound)).tolist():
                     sub = np.fromiter(_subsets(keys[at[k] : at[k + 1]], bound, num, den), np.uint64)
                     light.append((sub, np.full(len(sub), names[k]), np.full(len(sub), size[k])))
@@ -200,8 +302,15 @@ def _met(num: int, den: int, buckets: int):
             names.append(occ.unplanes(m, np.int64)[which])
             sizes.append(occ.unsqueezed(s, np.int64)[which])
         keys, names, sizes = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
-        order = np.lexsort((names, sizes, keys))
+        order = np.lexsort((names, sizes, keys if exact else keys >> np.uint64(2)))
         keys, names, sizes = keys[order], names[order], sizes[order]
+        if not exact:
+            # lists of an empty group count only if a sparse set is among them
+            cuts = occ._cuts(keys >> np.uint64(2))
+            flag = (keys & np.uint64(3)).astype(np.int64)
+            most = np.maximum.reduceat(flag, cuts[:-1])
+            ok = np.repeat((most == 0) | (most == 3), np.diff(cuts))
+            keys, names, sizes = keys[ok] >> np.uint64(2), names[ok], sizes[ok]
         if exact:
             # a list's smallest set links with each that the shared subset is large enough for, or none does
             cuts = occ._cuts(keys)
@@ -321,16 +430,35 @@ def _block_links(num: int, den: int, across: bool):
     return linked
 
 
-def _elements(n: int):
-    """``fam, cls, elements`` of rows ``fam, cls, _text`` whose text has that set."""
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (c.mixed(ids.view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER, bool)
+    for batch in batches:
+        bits[_bit(batch.column(0).to_numpy())] = True
+    parts = np.packbits(bits).reshape(64, -1)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([occ.squeezed(parts[k]) for k in some], pa.binary())], names=["chunk", "bits"])
+
+
+def _either(key: tuple, table: pa.Table) -> pa.Table:
+    both = np.bitwise_or.reduce([occ.unsqueezed(b, np.uint8) for b in table.column("bits").to_pylist()])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([occ.squeezed(both)], pa.binary())], names=["chunk", "bits"])
+
+
+def _elements(n: int, wanted):
+    """``_id, cls, elements`` of the rows whose identifier passes the filter."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            for lo, hi, data, offs in c.slices(batch.column(2)):
-                keys, at = _sets(n, data, offs)
-                same = np.flatnonzero(_class_of(keys, at) == batch.column(1).to_numpy()[lo:hi])
-                blobs = [keys[at[k] : at[k + 1]].tobytes() for k in same]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + same)), batch.column(1).take(pa.array(lo + same)), pa.array(blobs, pa.binary())], names=["fam", "cls", "elements"])
+            pick = batch.filter(pa.array(np.unpackbits(bits).view(bool)[_bit(batch.column(0).to_numpy())])) if batch.num_rows else batch
+            for lo, hi, data, offs in c.slices(pick.column(1)):
+                keys, at, _ = _sets(n, data, offs)
+                blobs = [keys[at[k] : at[k + 1]].tobytes() for k in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(_class_of(keys, at)), pa.array(blobs, pa.binary())], names=["_id", "cls", "elements"])
 
     return elements
 
@@ -351,15 +479,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = c.prepared(docs)
     rows = c.texts(docs, id_col, text_col)
     buckets = c.blocks_for(rows, bucket_bytes)
-    # fixed size: one byte for each counter, and a short histogram
-    told = {r["chunk"]: bytes(r["counts"]) for r in rows.mapInArrow(_counted(n), "chunk int, counts binary").groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()}
-    rank = np.zeros(SKETCH, np.uint8)
-    for k, b in told.items():
-        if k >= 0:
-            rank[k * _CHUNK : (k + 1) * _CHUNK] = np.frombuffer(b, np.uint8)
-    histogram = {s: int(v) for s, v in enumerate(np.frombuffer(told.get(-1, b""), np.int64)) if v}
+    weight, level, histogram = frequencies(rows, n)
     bound = boundary(histogram, num, den)
-    rarity = spark.sparkContext.broadcast(rank)
+    rarity = spark.sparkContext.broadcast((weight, level))
 
     named = rows.mapInArrow(_named(n), "_id long, size long, cls long").withColumn("slot", F.pmod(F.xxhash64("_id"), F.lit(64)).cast("int"))
     named = c.settled(named)
@@ -372,8 +494,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     large = members.groupBy("fam").agg(F.count("*").alias("m")).where(F.col("m") > family)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    # a filter of fixed size keeps most other sets off the shuffle; what it lets pass wrongly finds no member in the join
+    bits = np.zeros(FILTER // 8, np.uint8).reshape(64, -1)
+    for r in members.select("rep").mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInArrow(_either, "chunk int, bits binary").collect():
+        bits[r["chunk"]] = occ.unsqueezed(bytes(r["bits"]), np.uint8)
+    wanted = spark.sparkContext.broadcast(bits.ravel())
+
     def sets_of(some: DataFrame) -> DataFrame:
-        return rows.join(some, rows["_id"] == some["rep"]).select("fam", "cls", "_text").mapInArrow(_elements(n), "fam long, cls long, elements binary")
+        sets = rows.mapInArrow(_elements(n, wanted), "_id long, cls long, elements binary")
+        return sets.join(some.withColumnRenamed("rep", "_id"), ["_id", "cls"]).select("fam", "cls", "elements")
 
     links = edges.where("exact").select("a", "b")
     small = members.join(large, "fam", "left_anti")
