@@ -246,9 +246,10 @@ def _settled(size: int, buckets: int, blocks: int):
         ids, starts, n = (np.concatenate([occ.unsqueezed(b, np.int64) for b in table.column(x).to_pylist()]) for x in ("ids", "starts", "sizes"))
         anchor = np.concatenate([occ.unsqueezed(b, np.uint64) for b in table.column("anchors").to_pylist()])
         data = np.concatenate([occ.unsqueezed(b, np.uint8) for b in table.column("data").to_pylist()])
+        del table
         sizes = n + size - 1
         begin = np.cumsum(sizes) - sizes
-        parts = _bytes_of(data, begin, sizes)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)])
         first, later = _first_of_each(parts.dictionary_encode().indices.to_numpy(), ids, starts)
         rows = _told(ids[later], starts[later], n[later], _hash_of(parts.filter(pa.array(later))), blocks)
         # left: pieces whose anchor other texts have too, or that hold it twice
