@@ -409,7 +409,7 @@ def _families(num: int, den: int):
                     family, names, sets = fam, [], []
                 if name not in names[-1:]:
                     names.append(name)
-                    sets.append(np.frombuffer(blob, np.uint64))
+                    sets.append(occ.unplanes(blob, np.uint64))
             yield _table(out)
         if len(sets) > 1:
             yield _table(links(names, sets))
@@ -421,7 +421,7 @@ def _block_links(num: int, den: int, across: bool):
     def linked(key: tuple, table: pa.Table) -> pa.Table:
         names = table.column("cls").to_pylist()
         pick = [i for i, n in enumerate(names) if names.index(n) == i] if not across else range(len(names))
-        sets = [np.frombuffer(table.column("elements")[i].as_py(), np.uint64) for i in pick]
+        sets = [occ.unplanes(table.column("elements")[i].as_py(), np.uint64) for i in pick]
         groups = [table.column("comp")[i].as_py() for i in pick] if across else None
         apart = [table.column("side")[i].as_py() == 1 for i in pick] if across else None
         names = [names[i] for i in pick]
@@ -457,8 +457,9 @@ def _elements(n: int, wanted):
             pick = batch.filter(pa.array(np.unpackbits(bits).view(bool)[_bit(batch.column(0).to_numpy())])) if batch.num_rows else batch
             for lo, hi, data, offs in c.slices(pick.column(1)):
                 keys, at, _ = _sets(n, data, offs)
-                blobs = [keys[at[k] : at[k + 1]].tobytes() for k in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(_class_of(keys, at)), pa.array(blobs, pa.binary())], names=["_id", "cls", "elements"])
+                names, keys = _class_of(keys, at), keys >> np.uint64(16)
+                blobs = [occ.planes(keys[at[k] : at[k + 1]]) for k in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(names), pa.array(blobs, pa.binary())], names=["_id", "cls", "elements"])
 
     return elements
 
@@ -473,7 +474,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links reach.  Null texts are empty.  Repeated rows, and rows that share an
     identifier, are documents that may link.  A null identifier ranks first.  No
     rows give no rows; further columns are ignored.  Shingles and sets are known
-    by 64-bit hashes.
+    by 64-bit hashes; a pair is verified on 48 bits of each.
     """
     num, den = similarity
     spark = c.prepared(docs)
