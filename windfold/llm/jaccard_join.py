@@ -230,28 +230,30 @@ def _part_keys(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, q: np.ndarray
     return np.concatenate((there, none)), rows[np.concatenate((r[cuts], row))]
 
 
+def packed(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int, shift: int = 0) -> list[tuple]:
+    """Distinct postings as one row per bucket."""
+    order = np.lexsort((names, keys))
+    keys, names, sizes = keys[order], names[order], sizes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+    keys, names, sizes = keys[new], names[new], sizes[new]
+    bucket = occ.bucket_of(keys, buckets)
+    cuts = occ._cuts(bucket)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        here, head, which = np.unique(names[a:b], return_index=True, return_inverse=True)
+        rows.append((int(bucket[a]) + shift, occ.planes(keys[a:b]), occ.squeezed(which.astype(np.uint32)), occ.planes(here), occ.squeezed(sizes[a:b][head].astype(np.int64))))
+    return rows
+
+
 def _posted(n: int, num: int, den: int, bound: int, rarity, buckets: int):
     """Postings (key, class, size) packed by bucket: list entries first, subsets in the buckets behind."""
 
-    def pack(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, shift: int) -> list[tuple]:
-        order = np.lexsort((names, keys))
-        keys, names, sizes = keys[order], names[order], sizes[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
-        keys, names, sizes = keys[new], names[new], sizes[new]
-        bucket = occ.bucket_of(keys, buckets)
-        cuts = occ._cuts(bucket)
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            here, head, which = np.unique(names[a:b], return_index=True, return_inverse=True)
-            rows.append((int(bucket[a]) + shift, occ.planes(keys[a:b]), occ.squeezed(which.astype(np.uint32)), occ.planes(here), occ.squeezed(sizes[a:b][head].astype(np.int64))))
-        return rows
-
     def send(heavy: list, light: list) -> pa.RecordBatch:
         rows: list[tuple] = []
         for parts, shift in ((heavy, 0), (light, buckets)):
             if parts:
-                rows += pack(*(np.concatenate([p[i] for p in parts]) for i in range(3)), shift)
+                rows += packed(*(np.concatenate([p[i] for p in parts]) for i in range(3)), buckets, shift)
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "keys", "which", "names", "sizes"])
 
@@ -505,11 +507,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sets = rows.mapInArrow(_elements(n, wanted), "_id long, cls long, elements binary")
         return sets.join(some.withColumnRenamed("rep", "_id"), ["_id", "cls"]).select("fam", "cls", "elements")
 
-    links = edges.where("exact").select("a", "b")
-    small = members.join(large, "fam", "left_anti")
-    links = links.unionByName(sets_of(small).repartition(parts, "fam").sortWithinPartitions("fam", "cls").mapInArrow(_families(num, den), _LINK))
+    def verify(sets: DataFrame) -> DataFrame:
+        return sets.repartition(parts, "fam").sortWithinPartitions("fam", "cls").mapInArrow(_families(num, den), _LINK)
+
+    links = edges.where("exact").select("a", "b").unionByName(verify(sets_of(members.join(large, "fam", "left_anti"))))
     if not large.isEmpty():
-        links = links.unionByName(_large_families(sets_of(members.join(large.select("fam", "m"), "fam")), large, family, num, den))
+        # once more with exact knowledge of which elements a family's sets share
+        sets = c.settled(sets_of(members.join(large.select("fam"), "fam")).dropDuplicates(["cls"]))
+        members = c.settled(components(_refined(sets, bucket_bytes, num, den)).select(F.col("node").alias("cls"), F.col("root").alias("fam")))
+        large = members.groupBy("fam").agg(F.count("*").alias("m")).where(F.col("m") > family)
+        sets = sets.drop("fam").join(members, "cls").select("fam", "cls", "elements")
+        links = links.unionByName(verify(sets.join(large, "fam", "left_anti")))
+        if not large.isEmpty():
+            links = links.unionByName(_large_families(sets.join(large.select("fam"), "fam"), large, family, num, den))
     roots = components(links)
     whole = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component"))
@@ -519,6 +529,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumn("_component", F.coalesce("component", "_id")).select(c.id_back().alias("doc_id"), F.col("size").alias("n_shingles"), c.id_back("_component").alias("component_id"))
 
 
+def _wide(keys: np.ndarray) -> np.ndarray:
+    """The 48 bits of verification, spread over 64 again."""
+    return (keys << np.uint64(16)) & ~np.uint64(3)
+
+
+def _refined(sets: DataFrame, bucket_bytes: int, num: int, den: int) -> DataFrame:
+    """Chains (a, b) of the sets of large families, by lists of elements that more than one of these sets holds.
+
+    An element of one set alone comes first in the order of elements: a set with
+    enough of them needs no list at all.
+    """
+    rows = sets.select(F.col("cls").alias("_id"), "elements")
+    blocks = c.blocks_for(rows, bucket_bytes, "elements")
+
+    def held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for one, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = _wide(occ.unplanes(blob, np.uint64))
+            yield np.full(len(keys), one), keys
+
+    def listed(key: tuple, some: pa.Table, found: pa.Table) -> pa.Table:
+        shared = occ.Pairs(*occ.reported(found))
+        got = []
+        for one, blob in zip(some.column("_id").to_pylist(), some.column("elements").to_pylist()):
+            keys = _wide(occ.unplanes(blob, np.uint64))
+            both = np.intersect1d(keys, shared.of(one))
+            few = both[: max(0, int(prefix(np.int64(len(keys)), num, den)) - (len(keys) - len(both)))]
+            got.append((few, np.full(len(few), one), np.full(len(few), len(keys))))
+        out = packed(*(np.concatenate([g[i] for g in got]) for i in range(3)), blocks) if got else []
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "keys", "which", "names", "sizes"])
+
+    found = occ.repeated(rows, held, blocks, blocks, with_first=True)
+    lists = occ.blocked(rows, blocks).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(listed, "bucket long, keys binary, which binary, names binary, sizes binary")
+    return lists.groupBy("bucket").applyInArrow(_met(num, den, blocks), "a long, b long, exact boolean").select("a", "b")
+
+
 def _large_families(sets: DataFrame, large: DataFrame, family: int, num: int, den: int) -> DataFrame:
     """Links of families of more than ``family`` sets.
 
