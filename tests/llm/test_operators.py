@@ -99,6 +99,14 @@ def test_secrets(spark):
                 assert texts[r.doc_id][s.start : s.end] == s.value and len(s.value) >= secret_scan.RUN
 
 
+def test_secret_query(spark):
+    texts = {r.doc_id: brute.secrets(r.text or "") for r in given(spark).collect()}
+    for r in queries.queries()["op3_secret_scan"](spark, SF).collect():
+        base = texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == brute.sha(",".join(base)) and set(base) <= set(r.spans.split(",") if r.spans else [])
+
+
 def test_markov_tells_random_from_ordinary(spark):
     r = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

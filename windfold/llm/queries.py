@@ -21,7 +21,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, _, _ in secret_scan.KINDS]
+    # a lambda with a second parameter would get the index in it
+    kinds = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k, _, _ in secret_scan.KINDS]
     spans = secret_scan.spans_text(secret_scan.by_start(F.concat("base", "added")))
     return found.select("doc_id", *kinds, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
 
