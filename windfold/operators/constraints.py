@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from windfold.operators.windows import neighbour
 
 # Columns an observation may never contain.
-LABEL_COLUMNS = frozenset({"gt_hr_bpm", "gt_ppg", "label", "abs_error_bpm", "subject_id", "clip_id", "dataset_id", "split", "split_id", "condition", "view"})
+LABEL_COLUMNS = frozenset({"gt_ppg", "gt_hr", "gt_hr_bpm", "c_seq", "b_seq", "subject", "label", "abs_error_bpm", "subject_id", "clip_id", "dataset_id", "split", "split_id", "condition", "view"})
 
 
 class ConstraintError(ValueError):
@@ -77,7 +77,10 @@ def many_identities(df: DataFrame, keys: Sequence[str], identity: Sequence[str])
 
 
 def check_observation_names(names: Iterable[str]) -> None:
-    """Refuse observation columns that could leak a label or an identity."""
+    """Refuse observation columns that could leak a label or an identity, and an empty or repeated list."""
+    names = list(names)
+    if not names or len(set(names)) != len(names):
+        raise ConstraintError("observation columns must be a list of distinct names")
     bad = sorted(n for n in names if n in LABEL_COLUMNS or n.startswith("gt_"))
     if bad:
         raise ConstraintError(f"observation columns may not contain {bad}")
