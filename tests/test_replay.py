@@ -143,3 +143,39 @@ def test_recovery_classes(spark):
     df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in cases.items()], "name string, gains array<double>")
     for r in df.select("name", se.recovery_class(F.col("gains")).alias("c")).collect():
         assert r.c == r.name
+
+
+def test_scoring_refuses_gaps(spark):
+    from windfold.operators import score as sc
+    from windfold.operators.constraints import ConstraintError
+    hops = spark.createDataFrame([("a", 0, 70.0), ("a", 1, 71.0)], "clip_id string, hop_idx long, post_belief_hr_bpm double")
+    label = lambda *rows: spark.createDataFrame(rows, "clip_id string, hop_idx long, gt_hr_bpm double, valid boolean")
+    keys = ["clip_id", "hop_idx"]
+    whole = label(("a", 0, 72.0, True), ("a", 1, 71.0, True))
+    assert sorted(r.abs_error_bpm for r in sc.score(hops, whole, keys).collect()) == [0.0, 2.0]
+    for broken in (label(("a", 0, 72.0, True)), label(("a", 0, 72.0, True), ("a", 1, None, False)), whole.unionByName(label(("b", 0, 1.0, True)))):
+        with pytest.raises(ConstraintError):
+            sc.score(hops, broken, keys)
+    some = label(("a", 0, 72.0, True), ("a", 1, None, False))
+    assert sc.score(hops, some, keys, strict=False).count() == 1
+    assert [tuple(r) for r in sc.label_coverage(hops, some, keys, ["clip_id"]).collect()] == [("a", 2, 1)]
+
+
+def test_monitor_orders_all_frames_of_a_batch():
+    import pandas as pd
+    from windfold.streaming.live import IndexMonitor
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        def update(self, v): self.held = v
+
+    m = IndexMonitor()
+    m.state = Value()
+    frames = [pd.DataFrame({"arrival": [5, 1, 3], "frame_idx": [5, 0, 2]}), pd.DataFrame({"arrival": [0, 4, 2], "frame_idx": [0, 1, 1]})]
+    out = next(m.handleInputRows((7,), iter(frames), None))
+    # in order of arrival: 0 0 1 2 1 5
+    assert out.iloc[0].tolist() == [7, 6, 1, 1, 2, 5]
+    out = next(m.handleInputRows((7,), iter([pd.DataFrame({"arrival": [7, 6], "frame_idx": [8, 6]})]), None))
+    assert out.iloc[0].tolist() == [7, 8, 1, 1, 3, 8]

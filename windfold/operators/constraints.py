@@ -62,11 +62,11 @@ def all_or_none(columns: Sequence[str]) -> Column:
     return ~nulls.isin(0, len(columns))
 
 
-def missing_grid(df: DataFrame, keys: Sequence[str], values: Mapping[str, Iterable]) -> DataFrame:
-    """(key, value..) combinations that never occur; the grid per key is a fixed list."""
+def missing_grid(df: DataFrame, keys: Sequence[str], values: Mapping[str, Iterable | Column]) -> DataFrame:
+    """(key, value..) combinations that never occur; ``values`` gives each column's options, listed or as an array column."""
     grid = df.select(*keys).distinct()
     for name, options in values.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
+        grid = grid.withColumn(name, F.explode(options if isinstance(options, Column) else F.array(*[F.lit(o) for o in options])))
     return grid.join(df.select(*keys, *values).distinct(), [*keys, *values], "left_anti")
 
 

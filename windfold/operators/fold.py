@@ -52,7 +52,7 @@ def lockstep(
     columns ``step`` returns.  A gap or a duplicate in ``order`` fails the job.
     """
     keys, carry = list(keys), list(carry)
-    key = F.col(keys[0]) if len(keys) == 1 else F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
+    key = F.col(keys[0]) if len(keys) == 1 else F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
     laid = spread(df.withColumn("__key", key), keys, partitions).sortWithinPartitions(order, "__key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

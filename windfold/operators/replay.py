@@ -234,8 +234,10 @@ def beam(hops: DataFrame, width: int = 8, target: str = "gt_hr_bpm", keys: Seque
     ever held in memory.
     """
     keys = list(keys)
-    lean = hops.select(*keys, order, "hr", "confidence", target)
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.select(*keys, order).schema)
+    # the length of a key comes from the input, so that the forward pass has one reader
+    ends = hops.groupBy(*keys).agg(F.max(order).alias("__last"))
+    lean = hops.select(*keys, order, "hr", "confidence", target).join(ends, keys)
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.select(*keys, order, "__last").schema)
 
     def forward(state, rows, at):
         hr, conf = _channels(rows["hr"]), _channels(rows["confidence"])
@@ -274,9 +276,8 @@ def beam(hops: DataFrame, width: int = 8, target: str = "gt_hr_bpm", keys: Seque
         }
 
     trail = lockstep(lean, keys, order, forward, key_types + ", parent array<bigint>, action array<bigint>, error array<double>,"
-                     " pre_hold array<bigint>, post_hold array<bigint>, pre array<double>, post array<double>")
-    last = trail.groupBy(*keys).agg(F.max(order).alias("__last"))
-    back = trail.join(last, keys).withColumn("__back", F.col("__last") - F.col(order))
+                     " pre_hold array<bigint>, post_hold array<bigint>, pre array<double>, post array<double>", carry=["__last"])
+    back = trail.withColumn("__back", F.col("__last") - F.col(order))
 
     def backward(state, rows, at):
         rank = np.zeros(len(rows), dtype=np.int64) if state is None else state["rank"]

@@ -7,14 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windfold.operators.constraints import require_none
 from windfold.operators.windows import neighbour
 
 HOP = ["clip_id", "hop_idx"]
 
 
 def score(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], predicted: str = "post_belief_hr_bpm",
-          label: str = "gt_hr_bpm") -> DataFrame:
-    """Inner equi-join on the hop key; the label adds only itself and the error."""
+          label: str = "gt_hr_bpm", strict: bool = True) -> DataFrame:
+    """Equi-join on the hop key; the label adds only itself and the error.
+
+    A hop without a usable label, or a label without a hop, is refused.  With
+    ``strict=False`` such hops are left out; ``label_coverage`` counts them.
+    """
+    if strict:
+        require_none(label_gaps(predictions, labels, keys), "hops and usable labels differ")
     usable = labels.where("valid").select(*keys, label)
     return predictions.join(usable, list(keys)).withColumn("abs_error_bpm", F.abs(F.col(predicted) - F.col(label)))
 
@@ -28,6 +35,13 @@ def label_gaps(predictions: DataFrame, labels: DataFrame, keys: Sequence[str]) -
             .select(*keys, F.coalesce("in_hops", F.lit(False)).alias("in_hops"), F.coalesce("in_labels", F.lit(False)).alias("in_labels")))
 
 
+def label_coverage(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Hops per group, and how many of them have no usable label."""
+    usable = labels.where("valid").select(*keys, F.lit(True).alias("__usable"))
+    return predictions.select(*dict.fromkeys([*by, *keys])).join(usable, list(keys), "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("hops"), (F.count(F.lit(1)) - F.count("__usable")).alias("unlabelled"))
+
+
 def clip_rows(rows: DataFrame, by: Sequence[str], channels: int) -> DataFrame:
     """Clip level: error, counts, switches and the action histogram.
 

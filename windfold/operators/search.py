@@ -43,13 +43,13 @@ def anchors(trace: DataFrame, hop_counts: DataFrame, window: int = HORIZON) -> D
 
 
 def _windows(starts: DataFrame, hops: DataFrame, window: int) -> DataFrame:
-    """The ``window`` hops after each anchor; each hop is copied to the anchors it serves.
+    """The ``window`` hops from each anchor on.
 
-    An equi-join on (clip, anchor): no range join, and a long clip spreads over
-    its anchors.
+    An anchor lists the hops it needs, so that only eligible anchors copy
+    anything; an equi-join on (clip, hop), no range join.
     """
-    copies = hops.withColumn("anchor", F.explode(F.sequence(F.greatest(F.lit(0), F.col("hop_idx") - (window - 1)), F.col("hop_idx"))))
-    return copies.join(starts, ["clip_id", "anchor"]).withColumn("offset", F.col("hop_idx") - F.col("anchor"))
+    needs = starts.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(window - 1).cast("bigint")))).withColumn("hop_idx", F.col("anchor") + F.col("offset"))
+    return needs.join(hops, ["clip_id", "hop_idx"])
 
 
 def _start(rows, width: int) -> dict[str, np.ndarray]:

@@ -1,7 +1,4 @@
 """What-if queries: counterfactuals, interventions, repeated corrections (K7, K10-K13, A15-A18, T, W7, W8, V19).
-
-The role clips are about 28 hops long, so the registered queries look 6 hops
-ahead where recordings of minutes use 15.
 """
 
 from __future__ import annotations
@@ -20,8 +17,8 @@ from windfold.plans.replays import STEP_SQL
 from windfold.sources import roles
 
 CH = len(roles.CHANNELS)
-WINDOW = 6
-HORIZONS = (1, 3, 6)
+WINDOW = 15
+HORIZONS = (1, 5, 15)
 
 
 def trace(spark, sf, seed=0):
@@ -110,7 +107,7 @@ def branch_rows(spark, sf, seed=0):
 
 def scored_branches(spark, sf, seed=0):
     from windfold.operators.score import score
-    return score(branch_rows(spark, sf, seed), roles.labels(spark, sf), ["clip_id", "hop_idx"])
+    return score(branch_rows(spark, sf, seed), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
 
 
 @query("k11_interventions", """SELECT clip_id, anchor, branch_action, off AS "offset", proposed AS proposed_action, prev AS executed_action, round(mean, 6) AS post_belief_hr_bpm FROM v_branch WHERE off >= 0""")
@@ -130,7 +127,7 @@ def branch_labels(spark, sf):
 
 
 view("v_branch_errs", "SELECT clip_id, anchor, branch_action, list(err ORDER BY off) AS berrs FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3")
-view("v_branch_score", "SELECT clip_id, anchor, h.horizon, branch_action, list_reduce(berrs[1:h.horizon], lambda x, y: x + y) / h.horizon AS mean_error FROM v_branch_errs CROSS JOIN (VALUES (1), (3), (6)) h(horizon)")
+view("v_branch_score", "SELECT clip_id, anchor, h.horizon, branch_action, list_reduce(berrs[1:h.horizon], lambda x, y: x + y) / h.horizon AS mean_error FROM v_branch_errs CROSS JOIN (VALUES (1), (5), (15)) h(horizon)")
 view("v_regret", """SELECT s.clip_id, s.anchor, s.horizon, a.factual_action, s.branch_action AS best_action, f.mean_error AS factual_error, s.mean_error AS best_error
   FROM (SELECT * FROM v_branch_score QUALIFY row_number() OVER (PARTITION BY clip_id, anchor, horizon ORDER BY mean_error, branch_action) = 1) s JOIN v_anchor a ON a.clip_id = s.clip_id AND a.anchor = s.anchor
   JOIN v_branch_score f ON f.clip_id = s.clip_id AND f.anchor = s.anchor AND f.horizon = s.horizon AND f.branch_action = a.factual_action""")
@@ -247,7 +244,7 @@ view("v_repeated", f"""SELECT c.clip_id, c.anchor, c.total, c.errs, c.pol, c.cor
 def factual_windows(spark, sf):
     """Factual errors and actions over the window of each anchor (arrays of WINDOW entries)."""
     from windfold.operators.score import score
-    r = score(trace(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"])
+    r = score(trace(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
     counts = r.groupBy("clip_id").agg(F.max("hop_idx").alias("last"))
     free = r.where(se.free_choice()).join(counts, "clip_id").where(F.col("last") + 1 - F.col("hop_idx") >= WINDOW).select("clip_id", F.col("hop_idx").alias("anchor"))
     copies = r.selectExpr("clip_id", "hop_idx", "executed_action", "abs_error_bpm", "previous_action IS NULL OR pre_hold_count >= 2 AS is_free",

@@ -41,7 +41,7 @@ def scored(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None)
     """Replayed hops joined to labels, then to the clip dimension."""
     from windfold.operators.score import score
 
-    rows = score(replayed(spark, sf_dir, names), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])
+    rows = score(replayed(spark, sf_dir, names), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"], strict=False)
     return rows.join(roles.clips(spark, sf_dir).drop("c_acctbal"), "clip_id")
 
 
@@ -57,7 +57,7 @@ def historical(spark: SparkSession, sf_dir: str, arms: Sequence[int] | None = No
     from windfold.operators.score import score
 
     chosen = [rp.fixed_selector(a) for a in (range(len(roles.CHANNELS)) if arms is None else arms)]
-    return score(rp.replay(roles.historical_hops(spark, sf_dir), chosen), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])
+    return score(rp.replay(roles.historical_hops(spark, sf_dir), chosen), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"], strict=False)
 
 
 @roles.reuse_plan
@@ -65,4 +65,4 @@ def score_rows(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = N
     """Replayed hops joined to labels, without the clip dimension."""
     from windfold.operators.score import score
 
-    return score(replayed(spark, sf_dir, names), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"])
+    return score(replayed(spark, sf_dir, names), roles.labels(spark, sf_dir), ["clip_id", "hop_idx"], strict=False)

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from windfold.functions.columns import r6
 from windfold.operators import resample as rs
 from windfold.plans import common, scores
+from windfold.plans.branching import WINDOW as HORIZON
 from windfold.plans.branching import regrets
 from windfold.plans.registry import query, view
+from windfold.session import cut_lineage
 from windfold.sources import roles
 
-R = 400
+R = rs.REPLICATES
+ARM_R = 2_000
 
 view("v_boot_draws", f"""SELECT replicate, CAST('0x' || substr(md5('8101|' || replicate || '|' || slot), 1, 8) AS BIGINT) % n AS ix, count(*) AS times
   FROM (SELECT range AS replicate FROM range({R})), (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT p_brand) AS n FROM part)) GROUP BY 1, 2""")
-view("v_boot_subject", """SELECT method_id, subject_id, dense_rank() OVER (ORDER BY subject_id) - 1 AS ix, sum(mae) AS total, count(*) AS clips FROM v_line_clip GROUP BY 1, 2""")
+view("v_boot_subject", """SELECT method_id, subject_id, dense_rank() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, sum(mae) AS total, count(*) AS clips FROM v_line_clip GROUP BY 1, 2""")
 view("v_boot_clip", "SELECT method_id, replicate, sum(total * times) / sum(clips * times) AS est FROM v_boot_subject JOIN v_boot_draws USING (ix) GROUP BY 1, 2")
 view("v_boot_subj", "SELECT method_id, replicate, sum(total / clips * times) / sum(times) AS est FROM v_boot_subject JOIN v_boot_draws USING (ix) GROUP BY 1, 2")
 
@@ -47,35 +50,36 @@ def paired_bootstrap(spark, sf):
     return i.select("estimand", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
-view("v_reg_subject", """SELECT subject_id, avg(m) AS m, row_number() OVER (ORDER BY subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT clip_id, avg(factual_error - best_error) AS m FROM v_regret WHERE horizon = 6 GROUP BY 1) JOIN v_clips USING (clip_id) GROUP BY subject_id""")
+view("v_reg_subject", f"""SELECT subject_id, avg(m) AS m, row_number() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT clip_id, avg(factual_error - best_error) AS m FROM v_regret WHERE horizon = {HORIZON} GROUP BY 1) JOIN v_clips USING (clip_id) GROUP BY subject_id""")
 
 
 @query("b03_subject_mean_bootstrap", f"""SELECT round(any_value(point), 6) AS point_estimate, round(list_extract(list(est ORDER BY est), {int(0.025 * (R - 1)) + 1}), 6) AS lower, round(list_extract(list(est ORDER BY est), {int(0.975 * (R - 1)) + 1}), 6) AS upper
   FROM (SELECT replicate, avg(m) AS est FROM (SELECT r.range AS replicate, CAST('0x' || substr(md5('8101|' || r.range || '|' || s.ix), 1, 8) AS BIGINT) % s.n AS ix FROM range({R}) r CROSS JOIN v_reg_subject s) d JOIN v_reg_subject t ON t.ix = d.ix GROUP BY 1)
   CROSS JOIN (SELECT avg(m) AS point FROM v_reg_subject)""")
 def subject_means(spark, sf):
-    g = regrets(spark, sf).where("horizon = 6").groupBy("clip_id").agg(F.avg(F.col("factual_error") - F.col("best_error")).alias("m"))
+    g = regrets(spark, sf).where(f"horizon = {HORIZON}").groupBy("clip_id").agg(F.avg(F.col("factual_error") - F.col("best_error")).alias("m"))
     s = g.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("subject_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("clips")).withColumn("method_id", F.lit("p"))
     i = rs.sorted_interval(rs.bootstrap(s, R, rs.SEED, "equal_subject"), ["method_id"], "estimate", R)
     point = s.groupBy("method_id").agg(r6(F.avg(F.col("total") / F.col("clips"))).alias("point_estimate"))
     return point.join(i, "method_id").select("point_estimate", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
-view("v_cross_subject", """SELECT arm_id, subject_id, dense_rank() OVER (ORDER BY subject_id) - 1 AS ix, avg(current_mae) - avg(historical_mae) AS delta FROM v_crossover GROUP BY 1, 2""")
+view("v_cross_subject", """SELECT arm_id, subject_id, dense_rank() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, avg(current_mae) - avg(historical_mae) AS delta FROM v_crossover GROUP BY 1, 2""")
 
 
 @query("b05_arm_delta_bootstrap", f"""SELECT arm_id, round(avg(est), 6) AS mean_delta, round(quantile_cont(est, 0.025), 6) AS lower, round(quantile_cont(est, 0.975), 6) AS upper FROM (
   SELECT c.arm_id, d.replicate, avg(c.delta) AS est FROM (SELECT a.arm_id, r.range AS replicate, CAST('0x' || substr(md5((6101 + CAST(substr(a.arm_id, 5) AS BIGINT)) || '|' || r.range || '|' || s.slot), 1, 8) AS BIGINT) % s.n AS ix
-    FROM range({R}) r CROSS JOIN (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT subject_id) AS n FROM v_cross_subject)) s CROSS JOIN (SELECT DISTINCT arm_id FROM v_cross_subject) a) d
+    FROM range({ARM_R}) r CROSS JOIN (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT subject_id) AS n FROM v_cross_subject)) s CROSS JOIN (SELECT DISTINCT arm_id FROM v_cross_subject) a) d
   JOIN v_cross_subject c ON c.arm_id = d.arm_id AND c.ix = d.ix GROUP BY 1, 2) GROUP BY 1""")
 def arm_delta(spark, sf):
     """One seed per arm: base seed plus the arm's number."""
     from windfold.functions.columns import hash_draw
     s = scores.crossover(spark, sf).groupBy("arm_id", "subject_id").agg((F.avg("current_mae") - F.avg("historical_mae")).alias("delta"))
+    s = cut_lineage(s)
     ix = rs.number_subjects(s)
     s = s.join(ix, "subject_id")
     seed = F.substring("arm_id", 5, 9).cast("bigint") + 6101
-    d = s.select("arm_id", F.col("subject_ix").alias("slot"), "n_subjects", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("replicate"))
+    d = s.select("arm_id", F.col("subject_ix").alias("slot"), "n_subjects", F.explode(F.sequence(F.lit(0), F.lit(ARM_R - 1))).alias("replicate"))
     d = d.select("arm_id", "replicate", (hash_draw(seed, F.col("replicate"), F.col("slot")) % F.col("n_subjects")).alias("subject_ix")).groupBy("arm_id", "replicate", "subject_ix").agg(F.count(F.lit(1)).alias("times"))
     e = s.join(d, ["arm_id", "subject_ix"]).groupBy("arm_id", "replicate").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("est"))
     return e.groupBy("arm_id").agg(r6(F.avg("est")).alias("mean_delta"), rs.linear_interval(F.col("est")).alias("ci")).select("arm_id", "mean_delta", r6(F.col("ci")[0]).alias("lower"), r6(F.col("ci")[1]).alias("upper"))

@@ -157,7 +157,7 @@ def chance(spark, sf):
     return n.agg(r6(F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance"))
 
 
-REPEATS = 4
+REPEATS = 20
 
 
 @query("b10_shuffle_control", f"""SELECT repeat, round(avg(CASE WHEN best = pb THEN 1 ELSE 0 END), 6) AS agreement, round(avg(CASE WHEN best = pb AND abs(hop_idx - ph) = 1 THEN 1.0::DOUBLE WHEN abs(hop_idx - ph) = 1 THEN 0 END), 6) AS matched_agreement, count(*) AS pairs FROM (
@@ -224,11 +224,11 @@ def arm_report(spark, sf):
                                    F.sum("c0").alias("chosen_0"), F.sum("c4").alias("chosen_4"))
 
 
-BR = 200
+BR = rs.REPLICATES
 
 
 @query("b04_regret_bootstrap", f"""WITH s AS (SELECT arm, subject_id, sum(r) AS total, count(*) AS clips FROM (SELECT arm, clip_id, avg(regret) AS r FROM v_arms GROUP BY 1, 2) JOIN v_clips USING (clip_id) GROUP BY 1, 2),
-  n AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM s)),
+  n AS (SELECT subject_id, row_number() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM s)),
   d AS (SELECT r.range AS replicate, CAST('0x' || substr(md5('8101|' || r.range || '|' || n.ix), 1, 8) AS BIGINT) % n.n AS ix FROM range({BR}) r CROSS JOIN n),
   e AS (SELECT s.arm, d.replicate, sum(s.total) / sum(s.clips) AS est FROM d JOIN n ON n.ix = d.ix JOIN s ON s.subject_id = n.subject_id GROUP BY 1, 2)
   SELECT arm, round(quantile_cont(est, 0.025), 6) + 0 AS lower, round(quantile_cont(est, 0.975), 6) + 0 AS upper FROM e GROUP BY 1""")
@@ -260,7 +260,7 @@ def boosted_trees(spark, sf):
 # --- sharding, order, top-k, diagnostics ----------------------------------------------------
 
 
-@query("w09_subject_shards", "SELECT subject_id, (dense_rank() OVER (ORDER BY subject_id) - 1) % 4 AS shard FROM (SELECT DISTINCT subject_id FROM v_clips)")
+@query("w09_subject_shards", "SELECT subject_id, (dense_rank() OVER (ORDER BY md5(subject_id), subject_id) - 1) % 4 AS shard FROM (SELECT DISTINCT subject_id FROM v_clips)")
 def shards(spark, sf):
     return rs.number_subjects(roles.clips(spark, sf)).select("subject_id", (F.col("subject_ix") % 4).alias("shard"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -50,7 +51,6 @@ class BeliefProcessor(StatefulProcessor):
         else:
             s = {k: v[0] for k, v in start_state((1,)).items()} | {"next_hop": 0}
         out = []
-        import numpy as np
         for r in pd.concat(list(rows)).sort_values("hop_idx").itertuples():
             if r.hop_idx != s["next_hop"]:
                 raise ValueError(f"clip {key[0]}: hop {r.hop_idx} after {s['next_hop'] - 1}")
@@ -94,17 +94,14 @@ class IndexMonitor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, dup, back, gaps, last = self.state.get() if self.state.exists() else (0, 0, 0, 0, -1)
-        for frame in rows:
-            for i in frame.sort_values("arrival")["frame_idx"]:
-                n += 1
-                if i == last:
-                    dup += 1
-                elif i < last:
-                    back += 1
-                else:
-                    gaps += i - last - 1
-                    last = i
-        values = tuple(int(v) for v in (n, dup, back, gaps, last))
+        # a key's rows come in several frames; arrival orders all of them
+        batch = pd.concat([f[["arrival", "frame_idx"]] for f in rows]).sort_values("arrival", kind="stable")
+        seen = batch["frame_idx"].to_numpy()
+        highest = np.maximum.accumulate(np.append(last, seen))
+        ahead = seen - highest[:-1]
+        n, dup, back = n + len(seen), dup + (ahead == 0).sum(), back + (ahead < 0).sum()
+        gaps += (ahead[ahead > 0] - 1).sum()
+        values = tuple(int(v) for v in (n, dup, back, gaps, highest[-1]))
         self.state.update(values)
         yield pd.DataFrame([(key[0], *values)], columns=[c.split()[0] for c in MONITOR_SCHEMA.split(", ")])
 
