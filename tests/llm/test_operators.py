@@ -208,6 +208,23 @@ def test_quality(spark):
     assert quality_model.fitted(odd, labels.limit(0)).w["ob"][0] == 0
 
 
+def test_quality_sample_with_long_texts(spark):
+    base = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = base.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    want = {(r.text.encode(), r.doc_id % 2) for r in base.where(~quality_model.held_out()).collect()}
+    assert len(want) > 20
+    for k in (r.doc_id for r in base.where(~quality_model.held_out()).limit(3).collect()):
+        # longer than the whole former bound, wherever it stands in the order
+        docs = base.withColumn("text", F.when(F.col("doc_id") == k, F.expr("repeat('x', 17000000)")).otherwise(F.col("text")))
+        rows, got = quality_model.sample_rows(docs, labels)
+        assert len(rows) == len(want) and {x for x in zip(rows, got) if len(x[0]) < 99} == {x for x in want if x[0] != f"text {k}".encode()}
+        assert sorted(map(len, rows))[-1] == 17_000_000 and set(got) == {0, 1}
+    rows, got = quality_model.sample_rows(docs.unionByName(docs), labels, sample_bytes=2000)
+    assert len(rows) == len(want) and sum(map(len, rows)) <= 2000 and sorted(map(len, rows))[-1] > 1000
+    rows, got = quality_model.sample_rows(base.unionByName(base.withColumn("text", F.lit("again"))), labels, sample=4)
+    assert sorted(got) == [0] * 4 + [1] * 4
+
+
 def test_quality_gradients():
     net = quality_model.ByteNet(seed=3)
     data = np.random.default_rng(0).integers(0, 256, 900).astype(np.uint8)

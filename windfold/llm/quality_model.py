@@ -21,8 +21,10 @@ from windfold.llm import common as c
 
 #: Embedding size, filters, hidden units; bytes between filter places and of a filter; places between chunks, which are two hops long.
 EMB, FILTERS, HIDDEN, STRIDE, WIDTH, HOP = 6, 24, 16, 4, 12, 32
-#: Rows of each label, at most, that a fit reads, bytes of them in all, and steps of the fit.
-SAMPLE, SAMPLE_BYTES, FIT_STEPS, BATCH = 1500, 16_000_000, 700, 24
+#: Rows of each label, at most, that a fit reads, steps of the fit, rows of a step and bytes of a row, at most, that a step reads.
+SAMPLE, FIT_STEPS, BATCH, CROP = 1500, 700, 24, 20_000
+#: Bytes of all rows that a fit reads: room for CROP bytes of each.
+SAMPLE_BYTES = 2 * SAMPLE * CROP
 PAD = 256
 
 
@@ -129,7 +131,7 @@ class ByteNet:
         for t in range(1, steps + 1):
             pick = np.concatenate([r.choice(k, BATCH // 2) for k in kinds])
             parts = [np.frombuffer(rows[i], np.uint8) for i in pick]
-            parts = [p if len(p) <= 20_000 else p[(s := int(r.integers(len(p) - 20_000))) : s + 20_000] for p in parts]
+            parts = [p if len(p) <= CROP else p[(s := int(r.integers(len(p) - CROP))) : s + CROP] for p in parts]
             offs = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             g = self.step_gradients(np.concatenate(parts), offs, y[pick].astype(np.float32))
             rate = 0.01 * min(1, t / 20) * (0.5 + 0.5 * np.cos(np.pi * t / steps))
@@ -148,26 +150,43 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most ``sample`` rows of either label that are not held out, in an order by hash of identifier, and SAMPLE_BYTES bytes of them."""
+def row_limit(sizes: list[int], total: int) -> int:
+    """The largest limit with which rows of ``sizes``, each cut to it, have ``total`` bytes at most; no row is cut if all fit."""
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > total:
+            return total // (len(sizes) - k)
+        total -= size
+    return max(sizes, default=0)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+    """At most ``sample`` different rows of either label that are not held out, in an order by hash, and ``sample_bytes`` bytes of them.
+
+    No row is left out for its size.  If the rows have more bytes, the longest
+    are cropped to one limit, at places by hash; it is at least ``sample_bytes``
+    over twice ``sample``.
+    """
     marked = labels.where(~held_out() & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_key"), "quality").dropDuplicates(["_key"])
-    order = F.xxhash64("_key")
-    picked = [marked.where(F.col("quality") == k).orderBy(order, "_key").limit(sample) for k in (0, 1)]
+    picked = [marked.where(F.col("quality") == k).orderBy(F.xxhash64("_key"), "_key").limit(sample) for k in (0, 1)]
+    # at most 2 * sample rows, but an identifier can have many texts
     few = picked[0].unionByName(picked[1])
-    # few is at most 2 * sample rows
-    both = docs.select(F.col("doc_id").alias("_key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text")).join(F.broadcast(few), "_key")
-    rows, got, size = [], [], 0
-    for row in both.orderBy(order, "_key", "_text").toLocalIterator():
-        if size + len(row["_text"]) > SAMPLE_BYTES:
-            break
-        rows.append(bytes(row["_text"]))
+    text = docs.select(F.col("doc_id").alias("_key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    order = F.xxhash64("_key", "_hash")
+    sized = text.join(F.broadcast(few), "_key").select("_key", "quality", "_hash", F.octet_length("_text").alias("_size")).dropDuplicates(["_key", "_hash"])
+    chosen = [sized.where(F.col("quality") == k).orderBy(order, "_key", "_hash").limit(sample) for k in (0, 1)]
+    chosen = c.settled(chosen[0].unionByName(chosen[1]))
+    limit = row_limit([r["_size"] for r in chosen.select("_size").collect()], sample_bytes)
+    begin = F.pmod(order, F.greatest(F.col("_size") - limit, F.lit(0)) + 1).cast("int")
+    parts = text.join(F.broadcast(chosen), ["_key", "_hash"]).select("_key", "_hash", "quality", F.substring("_text", begin + 1, F.lit(limit)).alias("_part"))
+    rows, got = [], []
+    for row in parts.dropDuplicates(["_key", "_hash"]).orderBy(order, "_key", "_hash").toLocalIterator():
+        rows.append(bytes(row["_part"]))
         got.append(int(row["quality"]))
-        size += len(row["_text"])
     return rows, got
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = FIT_STEPS) -> ByteNet:
-    return ByteNet().fit(*sample_rows(docs, labels, sample), steps=steps)
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = FIT_STEPS, sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
+    return ByteNet().fit(*sample_rows(docs, labels, sample, sample_bytes), steps=steps)
 
 
 def scored(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
