@@ -88,6 +88,22 @@ def test_packing_bound():
     assert packing.dual_feasible_bound(np.array([600] * 5), 1024) == 5 == packing.best_fit_decreasing(np.array([600] * 5), 1024)[2]
 
 
+def test_packing_groups_stay_bounded(spark):
+    # lengths that no group packs down to its bound
+    sizes = np.random.default_rng(2).integers(300, 501, 8000)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i * 7919) for i, n in enumerate(sizes)], "_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(pieces, per_group=400).collect()
+    assert sorted((r._id, r.length) for r in out) == list(enumerate(sizes))
+    sequences, groups = {}, {}
+    for r in sorted(out, key=lambda r: r.offset):
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+        # round and group of a sequence
+        groups[r.sequence_id >> 24] = groups.get(r.sequence_id >> 24, 0) + 1
+    assert max(sequences.values()) <= 1024 and max(groups.values()) < 1.3 * 400
+    assert len(sequences) <= 1.005 * packing.best_fit_decreasing(sizes, 1024)[2]
+
+
 def test_secrets(spark):
     for df, rows in both(spark):
         out = secret_scan.scan(df)

@@ -3,9 +3,9 @@
 Documents become token pieces; every partition packs its pieces best-fit
 decreasing and proves a lower bound on its number of sequences with
 dual-feasible functions.  A partition that meets its bound is done but for its
-emptiest sequence, one that does not keeps its full sequences only; what is left
-is exchanged: sixteen partitions' rests are packed anew together, until one
-group is left.
+emptiest sequence; one that misses it by a gap is done but for its emptiest
+sequences, EXCHANGE for each of the gap.  What is left is dealt anew, sequence by
+sequence, to groups as large as before and packed again, for ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from windfold.llm import common as c
 _PIECE = "_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts with characters from here on are left to the reference tokenizer alone.
 PLAIN_BELOW = "ɐ"
-FAN_IN = 16
+#: Sequences handed on for each that a group has above its bound, and rounds of packing at most.
+EXCHANGE, ROUNDS = 4, 5
 
 
 class Encoder:
@@ -126,26 +127,29 @@ def dual_feasible_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-_PACKED = _PIECE + ", sequence_id long, offset long, final boolean, group long, certified boolean"
+_PACKED = _PIECE + ", sequence_id long, offset long, final boolean"
 
 
 def _pack(size: int, level: int):
+    """Packs a group; sequences of an earlier round stay as they were if that takes no more of them."""
+
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
         lengths = table.column("length").to_numpy()
         order = np.lexsort((table.column("ids_crc32").to_numpy(), table.column("piece").to_numpy(), table.column("_id").to_numpy()))
         place, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         place[order], offset[order], count = best_fit_decreasing(lengths[order], size)
+        if level > 1:
+            old, at = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            if len(old) <= count:
+                place, offset, count = at, table.column("offset").to_numpy(), len(old)
         fill = np.bincount(place, weights=lengths, minlength=count).astype(np.int64)
-        certified = count == dual_feasible_bound(lengths, size)
+        gap = count - dual_feasible_bound(lengths, size)
         keep = np.ones(count, bool)
-        if certified:
-            keep[np.argmin(fill)] = fill.min() == size
-        else:
-            keep = fill == size
+        emptiest = np.argsort(fill, kind="stable")[: max(1, EXCHANGE * gap)]
+        keep[emptiest] = fill[emptiest] == size
         out = table.select(["_id", "piece", "start", "length", "ids_crc32"])
-        n = len(lengths)
-        for name, col in (("sequence_id", (np.int64(level) << 56) + (np.int64(group) << 24) + place), ("offset", offset), ("final", keep[place]), ("group", np.full(n, group // FAN_IN)), ("certified", np.full(n, certified))):
+        for name, col in (("sequence_id", (np.int64(level) << 56) + (np.int64(group) << 24) + place), ("offset", offset), ("final", keep[place])):
             out = out.append_column(name, pa.array(col))
         return out
 
@@ -155,22 +159,24 @@ def _pack(size: int, level: int):
 def pack(pieces: DataFrame, size: int = 1024, per_group: int = 20_000) -> DataFrame:
     """``pieces`` with ``sequence_id, offset``, in as few sequences of ``size`` as the rounds find.
 
-    Pieces of ``size`` are sequences of their own.  A group starts with about
-    ``per_group`` pieces, whatever the number of groups, and a later one holds
-    the rests of sixteen groups, so no task grows with the input.  The rounds
-    are as many as it takes to reach one group, by sixteens.
+    Pieces of ``size`` are sequences of their own.  A group of any round has
+    about ``per_group`` pieces, whatever their number, so no task grows with the
+    input (only repeated rows, of one identifier and text, start in one group).  A round starts from the sequences that the one before handed on and
+    never makes more of them; the last is the one with a single group, or the
+    one of number ROUNDS.
     """
-    groups = max(1, -(-pieces.where(F.col("length") < size).count() // per_group))
-    dealt = F.pmod(F.xxhash64("_id", "piece", "start", "ids_crc32"), F.lit(groups))
+    rest = pieces.where(F.col("length") < size)
     full = pieces.where(F.col("length") == size).withColumns({"sequence_id": F.monotonically_increasing_id() - (1 << 62), "offset": F.lit(0).cast("long")})
-    rest, done, level = pieces.where(F.col("length") < size).withColumn("group", dealt), [full], 1
-    while True:
-        packed = c.settled(rest.groupBy("group").applyInArrow(_pack(size, level), _PACKED))
-        last = groups == 1
-        done.append((packed if last else packed.where("final")).drop("final", "group", "certified"))
+    done, unit = [full], F.xxhash64("_id", "piece", "start", "ids_crc32")
+    for level in range(1, ROUNDS + 1):
+        groups = max(1, -(-rest.count() // per_group))
+        packed = c.settled(rest.withColumn("group", F.pmod(unit, F.lit(groups))).groupBy("group").applyInArrow(_pack(size, level), _PACKED))
+        last = groups == 1 or level == ROUNDS
+        done.append((packed if last else packed.where("final")).drop("final"))
         if last:
             break
-        rest, groups, level = packed.where("NOT final").drop("sequence_id", "offset", "final", "certified"), -(-groups // FAN_IN), level + 1
+        # a sequence goes whole, so that its next group can leave it as it is
+        rest, unit = packed.where("NOT final").drop("final"), F.xxhash64("sequence_id")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
