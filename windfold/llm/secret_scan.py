@@ -69,6 +69,14 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("_id", "_text", by_start(F.concat("_a", "_k", "_h")).alias("base"))
 
 
+def outside() -> Column:
+    """``_text`` with "0" in place of each base span: a word that meets a span then touches a key character and is not ordinary."""
+    cut = """aggregate(base, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+      (z, s) -> named_struct('at', greatest(z.at, s.end), 'out', concat(z.out, array(substring(_text, z.at + 1, greatest(s.start - z.at, 0))))),
+      z -> concat(array_join(z.out, '0'), '0', substring(_text, z.at + 1)))"""
+    return F.when(F.size("base") == 0, F.col("_text")).otherwise(F.expr(cut))
+
+
 def markov_model(spans: DataFrame) -> DataFrame:
     """One row ``llr``: thousandths of log-likelihood ratio by character pair (random over ordinary), smoothed.
 
@@ -78,7 +86,7 @@ def markov_model(spans: DataFrame) -> DataFrame:
     value = F.regexp_extract("s.value", ASSIGN, 2)
     random = spans.where(F.size("base") > 0).select(F.explode("base").alias("s")).select(F.when(F.col("s.kind") == "assign", value).otherwise(F.col("s.value")).alias("v"))
     random = random.where(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]")).select(F.lit(1).alias("y"), "v")
-    plain = spans.where(F.size("base") == 0).select(F.explode(F.regexp_extract_all("_text", F.lit(_ORDINARY), F.lit(0))).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    plain = spans.select(F.explode(F.regexp_extract_all(outside(), F.lit(_ORDINARY), F.lit(0))).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     # a word counts once, however often it is written: a very common one must not stand for all
     pairs = random.unionByName(plain.select(F.lit(0).alias("y"), "v")).select("y", F.explode(F.expr(_steps("v"))).alias("p"))
     counts = pairs.groupBy("p").agg(F.sum(F.col("y")).alias("r"), F.sum(1 - F.col("y")).alias("o"))
