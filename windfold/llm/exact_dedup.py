@@ -5,7 +5,9 @@ normalised texts by them; each partition is sorted externally, so equal texts
 are adjacent, and the window operator compares neighbouring texts in full.  The
 slot, a hash of the identifier, cuts the copies of one text into up to ``slots``
 groups, so that a text which holds a third of all rows is dealt to many
-partitions.  The groups of a text meet again as one small row each.
+partitions.  The groups of a text meet again as one small row each, by the
+text's SHA-256: that gives the kept identifier and the size, and the sort only
+numbers rows of equal texts in a slot, for rows that share an identifier too.
 """
 
 from __future__ import annotations
