@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windfold.llm import chat_format, exact_dedup, jaccard_join, mixing, packing, piece_codec, quality_model, secret_scan, suffix_dedup, turn_repair, vector_dedup, window_dedup
+from windfold.llm import chat_format, exact_dedup, jaccard_join, mixing, packing, piece_codec, quality_model, secret_scan, suffix_dedup, token_alignment, turn_repair, vector_dedup, window_dedup
 from windfold.llm.common import prepared, read
 
 TEMPLATE_CASE = "<|im_end|><|im_start|>assistant ok"
@@ -71,8 +71,12 @@ def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = {q.__name__: q for q in (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_chat_format, op5_suffix_dedup, op6_jaccard_join, op7_source_mixing, op8_window_dedup, op9_quality, op10_embedding_dedup, op11_turn_repair, op12_piece_codec)}
+    named = {q.__name__: q for q in (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_chat_format, op5_suffix_dedup, op6_jaccard_join, op7_source_mixing, op8_window_dedup, op9_quality, op10_embedding_dedup, op11_turn_repair, op12_piece_codec, op13_token_alignment)}
 
     def shipped(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
