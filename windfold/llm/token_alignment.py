@@ -54,17 +54,20 @@ def members(group: np.ndarray, groups: int) -> Sparse:
 
 
 def transposed(m: Sparse) -> Sparse:
-    order = np.argsort(m.indices, kind="stable")
-    rows = np.repeat(np.arange(len(m.indptr) - 1), np.diff(m.indptr))
-    return Sparse(np.concatenate(([0], np.cumsum(np.bincount(m.indices, minlength=m.width)))), rows[order], m.data[order], len(m.indptr) - 1)
+    rows, data = np.repeat(np.arange(len(m.indptr) - 1), np.diff(m.indptr)), m.data
+    if (m.indices[1:] < m.indices[:-1]).any():
+        order = np.argsort(m.indices, kind="stable")
+        rows, data = rows[order], data[order]
+    return Sparse(np.concatenate(([0], np.cumsum(np.bincount(m.indices, minlength=m.width)))), rows, data, len(m.indptr) - 1)
 
 
 def product(a: Sparse, b: Sparse) -> Sparse:
     """Row by row: each entry of a row of ``a`` brings the row of ``b`` that it points to, and what falls on one column is added."""
     reach = b.indptr[a.indices + 1] - b.indptr[a.indices]
-    at = np.repeat(b.indptr[a.indices], reach) + c.spread(reach)
-    rows = np.repeat(np.repeat(np.arange(len(a.indptr) - 1), np.diff(a.indptr)), reach)
-    values, place = np.repeat(a.data, reach) * b.data[at], rows * b.width + b.indices[at]
+    at, rows, values = b.indptr[a.indices], np.repeat(np.arange(len(a.indptr) - 1), np.diff(a.indptr)), a.data
+    if not (reach == 1).all():
+        at, rows, values = np.repeat(at, reach) + c.spread(reach), np.repeat(rows, reach), np.repeat(values, reach)
+    values, place = values * b.data[at], rows * b.width + b.indices[at]
     if (place[1:] < place[:-1]).any():
         order = np.argsort(place, kind="stable")
         place, values = place[order], values[order]
@@ -74,13 +77,18 @@ def product(a: Sparse, b: Sparse) -> Sparse:
     return Sparse(indptr, columns, np.add.reduceat(values, first) if len(first) else values[:0], b.width)
 
 
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Numbers of two rising lists that are in both; the last one is."""
+    return a_ends[b_ends[np.searchsorted(b_ends, a_ends)] == a_ends]
+
+
 def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of overlapping tokens and their shared bytes; both tile the same bytes.
 
     The byte axis is taken in pieces, which end where tokens of both end.
     """
     a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
-    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    both = common_ends(a_ends, b_ends)
     rows, columns, data, a0, b0, start = [], [], [], 0, 0, 0
     while a0 < len(a_lengths):
         stop = both[max(np.searchsorted(both, start + PRODUCT_BYTES, "right") - 1, np.searchsorted(both, start, "right"))]
@@ -199,7 +207,7 @@ def align(both: Pair, texts: list[str | None]) -> Aligned:
     a, b = (np.concatenate([x[k] for x in ids]) if ids else np.zeros(0, np.int64) for k in (0, 1))
     a_first, b_first = (np.concatenate(([0], np.cumsum([len(x[k]) for x in ids], dtype=np.int64))) for k in (0, 1))
     a_ends, b_ends = np.cumsum(both.a_lengths[a]), np.cumsum(both.b_lengths[b])
-    ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    ends = common_ends(a_ends, b_ends)
     text_ends = np.concatenate(([0], a_ends))[a_first]
     groups = np.searchsorted(ends, text_ends, "right")
     return Aligned(a, b, a_first, b_first, np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends), groups, *overlaps(both.a_lengths[a], both.b_lengths[b]))
