@@ -136,9 +136,30 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+_places: list[np.ndarray] = []
+
+
+def places(n: int) -> np.ndarray:
+    """An unrelated odd factor for each of ``n`` places of a word."""
+    if not _places or len(_places[0]) < n:
+        _places[:] = [mixed(np.arange(1, max(n, STEP // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)]
+    return _places[0][:n]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    sums, down = rolling(table[data])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word: its bytes' numbers, each by the factor of its place, summed up.
+
+    Powers of one base would not do: modulo 2**64 there are words of 1,024
+    letters that collide for every odd base.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first, longest = int(starts[0]), int((ends - starts).max())
+    place = np.arange(first, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    sums = np.zeros(len(place) + 1, np.uint64)
+    # places behind a word's end are between words and cancel out
+    np.cumsum(table[data[first:]] * places(longest)[np.minimum(place, longest - 1)], out=sums[1:])
+    return mixed(sums[ends - first] - sums[starts - first] + (ends - starts).astype(np.uint64))
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
