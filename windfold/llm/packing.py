@@ -32,9 +32,9 @@ class Encoder:
 
     The vocabulary is read twice: as ranks for the fast encoder and as the
     reference tokenizer.  Both give the same ids for ordinary text; texts with
-    the vocabulary's special string or with letters beyond the Latin blocks, over
-    which Unicode tables of different age could disagree, go to the reference
-    tokenizer.
+    the vocabulary's special string, with letters beyond the Latin blocks, over
+    which Unicode tables of different age could disagree, or with white space too
+    long for the fast encoder go to the reference tokenizer.
     """
 
     def __init__(self, ranks_path: str, json_path: str, pattern: str):
@@ -50,9 +50,13 @@ class Encoder:
         self.odd = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]|<\\|endoftext\\|>").search
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        if not self.odd(text):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            except ValueError:
+                # the fast encoder's pattern gives up on very long white space
+                pass
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 _encoders: dict[tuple, Encoder] = {}
