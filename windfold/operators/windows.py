@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windfold.session import cut_lineage
+
 
 def hop_count(n_rows: Column, size: int, step: int) -> Column:
     """Windows of ``size`` rows every ``step`` rows that fit in ``n_rows``."""
@@ -90,6 +92,26 @@ def index_rows(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Dense 0-based position of each row in the order of all rows; equal ones in either order.
+
+    Rows are sorted once in range partitions taken from the data.  A position is
+    that within the partition plus the rows of the partitions before it, and those
+    sums are one number for each partition.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # the id has the partition above its 33 lower bits
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "__part bigint, __before bigint")
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + within).drop("__part", "__at", "__before")
+
+
 def neighbour(
     df: DataFrame, keys: Sequence[str], index: str, columns: Sequence[str], prefix: str = "prev_", block: int = 4096
 ) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from windfold.functions import columns as col
 from windfold.functions.columns import r6
+from windfold.operators import boosting as bo
 from windfold.operators import constraints as co
 from windfold.operators import resample as rs
 from windfold.operators import screen as sn
-from windfold.operators.windows import hop_count, index_rows
+from windfold.operators import selection as se
+from windfold.operators.windows import hop_count, numbered
 from windfold.plans import common
 from windfold.plans.branching import CH, ordered, trace, what_if
 from windfold.plans.registry import query, view
 from windfold.plans.scores import clip_table
+from windfold.session import cut_lineage
 from windfold.sources import roles
 
 t = roles.table
@@ -238,31 +241,55 @@ def regret_bootstrap(spark, sf):
     return b.groupBy("arm").agg(rs.linear_interval(F.col("estimate")).alias("ci")).select("arm", (r6(F.col("ci")[0]) + 0).alias("lower"), (r6(F.col("ci")[1]) + 0).alias("upper"))
 
 
+FOLDS = 5
+WIDTH = 7 + CH + 5 + CH
+
+
+def probe_hops(spark, sf, folds=FOLDS):
+    """Free hops with a valid channel: errors by channel, the fold of their subject, and for each fold that trains on them another hop's errors."""
+    w = what_if(spark, sf).where("free AND exists(if_valid, v -> v)").select("clip_id", "hop_idx", "if_error", "if_valid")
+    sizes = w.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).join(roles.clips(spark, sf), "clip_id")
+    fold = sn.subject_folds(sizes.groupBy("subject_id").agg(F.sum("n").alias("n")), folds).select("subject_id", "fold")
+    fold = fold.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "subject_id").select("clip_id", "fold")
+    hops = cut_lineage(w.join(fold, "clip_id"))
+    train = hops.select("clip_id", "hop_idx", "if_error", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))).alias("train"))
+    other = sn.permute_within(train, "train", ["clip_id", "hop_idx"], ["if_error"], rs.SEED)
+    other = other.groupBy("clip_id", "hop_idx").agg(F.map_from_entries(F.collect_list(F.struct("train", "shuffled_if_error"))).alias("other"))
+    return hops.join(other, ["clip_id", "hop_idx"])
+
+
+def probe_choices(spark, sf, folds=FOLDS, settings=bo.Boosting()):
+    """Choice of each arm at each hop: the channel whose error the model of its fold predicts to be the least.
+
+    The folds' models for the true errors and for the shuffled ones are grown together.
+    """
+    hops = cut_lineage(probe_hops(spark, sf, folds))
+    real = [F.when(F.col("fold") != k, F.col("if_error")[F.col("roi_index")]) for k in range(folds)]
+    shuffled = [F.try_element_at("other", F.lit(k))[F.col("roi_index")] for k in range(folds)]
+    rows = features(spark, sf).join(hops, ["clip_id", "hop_idx"]).withColumn("targets", F.array(*real, *shuffled))
+    p = bo.boosted(rows, ["clip_id", "hop_idx", "roi_index"], "features", "targets", WIDTH, 2 * folds, settings).join(hops.select("clip_id", "hop_idx", "fold", "if_error", "if_valid"), ["clip_id", "hop_idx"])
+    arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col("predictions")[F.col("fold") + at].alias("predicted")) for a, at in (("probe", 0), ("shuffled", folds))])).alias("a")
+    p = p.select("clip_id", "hop_idx", "fold", "roi_index", "if_error", "if_valid", arm)
+    best = F.expr("array_min(transform(if_error, (e, i) -> if(if_valid[i], e, NULL)))")
+    picks = p.groupBy("a.arm", "fold", "clip_id", "hop_idx").agg(F.min(F.struct("a.predicted", "roi_index", F.col("if_error")[F.col("roi_index")].alias("error"))).alias("c"), F.first(best).alias("best"))
+    return picks.select("arm", "fold", "clip_id", "hop_idx", F.col("c.roi_index").alias("chosen"), (F.col("c.error") - F.col("best")).alias("regret"))
+
+
 @query("b13_boosted_trees")
 def boosted_trees(spark, sf):
-    """Subject-grouped cross-validation of a boosted-tree regression of the channel error."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-    f = features(spark, sf).join(vectors(spark, sf).select("clip_id", "hop_idx", "errs"), ["clip_id", "hop_idx"])
-    fold = sn.subject_folds(subject_sizes(spark, sf), 2).select("subject_id", "fold").join(roles.clips(spark, sf).select("clip_id", "subject_id"), "subject_id").select("clip_id", "fold")
-    d = f.join(fold, "clip_id").select("clip_id", "hop_idx", "roi_index", "fold", array_to_vector("features").alias("features"), F.expr("errs[roi_index]").alias("label")).where("label IS NOT NULL")
-    # Training reads the design many times: keep it; order fixes the fitted model.
-    d = d.sort("clip_id", "hop_idx", "roi_index").persist()
-    out = None
-    for k in range(2):
-        model = GBTRegressor(maxIter=3, maxDepth=3, seed=rs.SEED).fit(d.where(F.col("fold") != k))
-        p = model.transform(d.where(F.col("fold") == k)).select("clip_id", "hop_idx", "fold", "roi_index", "label", "prediction")
-        out = p if out is None else out.unionByName(p)
-    pick = out.groupBy("fold", "clip_id", "hop_idx").agg(F.min(F.struct("prediction", "roi_index", "label")).alias("c"), F.min("label").alias("best"))
-    return pick.groupBy("fold").agg(F.count(F.lit(1)).alias("hops"), r6(F.avg(F.col("c.label") - F.col("best"))).alias("mean_regret"))
+    """Subject-grouped cross-validation of boosted trees for the channel error: regret of their choices by arm and fold."""
+    p = probe_choices(spark, sf)
+    return p.groupBy("arm", F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("hops"), r6(F.avg("regret")).alias("mean_regret"), r6(F.avg((F.col("regret") == 0).cast("double"))).alias("top1_rate"))
 
 
 # --- sharding, order, top-k, diagnostics ----------------------------------------------------
 
 
-@query("w09_subject_shards", "SELECT subject_id, (dense_rank() OVER (ORDER BY md5(subject_id), subject_id) - 1) % 4 AS shard FROM (SELECT DISTINCT subject_id FROM v_clips)")
+@query("w09_subject_shards", "SELECT subject_id, (row_number() OVER (ORDER BY subject_id) - 1) % 4 AS shard FROM (SELECT DISTINCT subject_id FROM v_clips)")
 def shards(spark, sf):
-    return rs.number_subjects(roles.clips(spark, sf)).select("subject_id", (F.col("subject_ix") % 4).alias("shard"))
+    """Sorted subjects in strides."""
+    ranked = numbered(roles.clips(spark, sf).select("subject_id").distinct(), [F.col("subject_id")], "ix")
+    return ranked.select("subject_id", (F.col("ix") % 4).alias("shard"))
 
 
 @query("t06_sorted_output", "SELECT method_id, subject_id, round(mae, 6) AS mae FROM v_line_subject")
@@ -298,18 +325,13 @@ view("v_range", """SELECT m.clip_id, m.hop_idx, l.gt_hr_bpm AS gt, min(hr_bpm) A
 @query("a21_extreme_range", """SELECT count(*) FILTER (gt < lo) AS below, count(*) FILTER (gt BETWEEN lo AND hi) AS inside, count(*) FILTER (gt > hi) AS above, round(avg(miss), 6) AS mean_miss, round(quantile_cont(miss, 0.5), 6) AS median_miss, round(quantile_cont(miss, 0.9), 6) AS p90_miss, round(max(miss), 6) AS max_miss
   FROM (SELECT *, CASE WHEN gt < lo THEN lo - gt WHEN gt > hi THEN gt - hi END AS miss FROM v_range)""")
 def extreme_range(spark, sf):
-    """Exact quantiles without holding all misses in one task: values are numbered
-    per coarse bucket and only the rows next to the wanted positions are kept."""
-    h = common.labelled_hops(spark, sf).selectExpr("clip_id", "hop_idx", "gt_hr_bpm AS gt", "array_min(hr) AS lo", "array_max(hr) AS hi").where("lo IS NOT NULL")
-    m = h.selectExpr("*", "CASE WHEN gt < lo THEN lo - gt WHEN gt > hi THEN gt - hi END AS miss", "1 AS one")
-    counts = m.groupBy("one").agg(co.count_if(F.col("gt") < F.col("lo")).alias("below"), co.count_if(F.col("gt").between(F.col("lo"), F.col("hi"))).alias("inside"), co.count_if(F.col("gt") > F.col("hi")).alias("above"),
-                                  F.avg("miss").alias("mean_miss"), F.max("miss").alias("max_miss"), F.count("miss").alias("n"))
-    ranked = index_rows(m.where("miss IS NOT NULL").select("one", "miss", "clip_id", "hop_idx"), ["one"], ["miss", "clip_id", "hop_idx"], F.floor("miss"), "pos")
-    j = ranked.join(counts, "one")
-    at = lambda p, c: F.max(F.when(F.col("pos") == c(F.lit(p) * (F.col("n") - 1)), F.col("miss")))
-    frac = lambda p: F.lit(p) * (F.max("n") - 1) - F.floor(F.lit(p) * (F.max("n") - 1))
-    q = lambda p: r6(at(p, F.floor) + frac(p) * (at(p, F.ceil) - at(p, F.floor)))
-    return j.groupBy("below", "inside", "above", r6("mean_miss").alias("mean_miss"), r6("max_miss").alias("max_miss")).agg(q(0.5).alias("median_miss"), q(0.9).alias("p90_miss"))
+    """Quantiles are exact and come from counting digits, not from a sort."""
+    h = common.labelled_hops(spark, sf).selectExpr("gt_hr_bpm AS gt", "array_min(hr) AS lo", "array_max(hr) AS hi").where("lo IS NOT NULL")
+    m = h.withColumn("miss", F.expr("CASE WHEN gt < lo THEN lo - gt WHEN gt > hi THEN gt - hi END"))
+    counts = cut_lineage(m.agg(co.count_if(F.col("gt") < F.col("lo")).alias("below"), co.count_if(F.col("gt").between(F.col("lo"), F.col("hi"))).alias("inside"), co.count_if(F.col("gt") > F.col("hi")).alias("above"),
+                               r6(F.avg("miss")).alias("mean_miss"), r6(F.max("miss")).alias("max_miss"), F.count("miss").alias("n")))
+    median, p90 = se.quantiles(m.select("miss"), (0.5, 0.9), counts.first().n)
+    return counts.select("below", "inside", "above", "mean_miss", r6(F.lit(median).cast("double")).alias("median_miss"), r6(F.lit(p90).cast("double")).alias("p90_miss"), "max_miss")
 
 
 FILLS = (0, 1, 2, 4)
