@@ -121,8 +121,9 @@ def test_unpruned_repeated_corrections_cover_all_leaves(spark):
     policy = rp.fixed_selector(1)
     trace = rp.replay(df, [policy])
     starts = se.anchors(trace, df.groupBy("clip_id").count().withColumnRenamed("count", "hop_count"), 4)
-    out = se.repeated_corrections(starts, df, policy, 32, 4)
-    got = {tuple(r.seq): r.total for r in se.paths(out, 4).where("anchor = 0").collect()}
+    channels = len(data[0][2])
+    out = se.repeated_corrections(starts, df, policy, channels, (1, 4, 32), 4)
+    got = {tuple(r.seq): r.total for r in se.paths(out, 4).where("anchor = 0 AND width = 32").collect()}
     want = {(): (0.0, START, None, 0)}
     for _, _, hr, conf, _, _, gt in data:
         nxt = {}
@@ -134,7 +135,10 @@ def test_unpruned_repeated_corrections_cover_all_leaves(spark):
         want = nxt
     assert set(got) <= set(want) and min(v[0] for v in want.values()) == pytest.approx(min(got.values()), abs=1e-9)
     stats = out.collect()
-    assert all(r.generated == r.deduped + r.retained + r.pruned for r in stats)
+    assert all(r.generated == r.deduped + r.retained + r.pruned and r.retained <= r.width for r in stats)
+    # widths finished together are the same as each alone
+    alone = se.repeated_corrections(starts, df, policy, channels, (4,), 4).collect()
+    assert sorted(map(repr, alone)) == sorted(repr(r) for r in stats if r.width == 4) and {r.width for r in stats} == {1, 4, 32}
 
 
 def test_recovery_classes(spark):

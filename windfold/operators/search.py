@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windfold.functions import columns as col
-from windfold.operators.fold import lockstep
-from windfold.operators.replay import BELIEF, HORIZON, MIN_HOLD, Selector, _channels, advance, filter_step, is_free, pick, settle
+from windfold.operators.fold import spread
+from windfold.operators.replay import BELIEF, HORIZON, MIN_HOLD, Selector, advance, filter_step, is_free, pick, settle
+
+#: Anchors finished together.
+ANCHORS = 1000
 
 SNAPSHOT = ("pre_belief_hr_bpm", "pre_velocity", "pre_p00", "pre_p01", "pre_p10", "pre_p11", "pre_since_confident", "previous_action", "pre_hold_count")
 
@@ -36,10 +42,10 @@ def what_if(trace: DataFrame, hops: DataFrame, channels: int, keys: Sequence[str
     return rows.select(*trace.columns, F.col("__free").alias("free"), F.array(*valid).alias("if_valid"), F.array(*belief).alias("if_belief"))
 
 
-def anchors(trace: DataFrame, hop_counts: DataFrame, window: int = HORIZON) -> DataFrame:
+def anchors(trace: DataFrame, hop_counts: DataFrame, window: int = HORIZON, keys: Sequence[str] = ()) -> DataFrame:
     """Hops where every action is free and ``window`` hops remain, with their pre-state."""
     return (trace.join(hop_counts, "clip_id").where(free_choice() & (F.col("hop_count") - F.col("hop_idx") >= window))
-            .select("clip_id", F.col("hop_idx").alias("anchor"), *SNAPSHOT))
+            .select(*keys, "clip_id", F.col("hop_idx").alias("anchor"), *SNAPSHOT))
 
 
 def _windows(starts: DataFrame, hops: DataFrame, window: int) -> DataFrame:
@@ -63,113 +69,180 @@ def _start(rows, width: int) -> dict[str, np.ndarray]:
     return out
 
 
-def branches(starts: DataFrame, hops: DataFrame, policy: Selector, channels: int, window: int = HORIZON) -> DataFrame:
+def _listed(starts: DataFrame, hops: DataFrame, window: int, columns: Sequence[str], keys: Sequence[str], extra: dict[str, str]) -> DataFrame:
+    """One row per anchor with its pre-state and the ``window`` hops from it on as arrays.
+
+    An anchor is then finished in one step: no state outlives a batch of rows.
+    """
+    rows = _windows(starts, hops, window).withColumns({k: F.expr(v) for k, v in extra.items()})
+    items = F.array_sort(F.collect_list(F.struct("offset", "hop_idx", *[c for c in columns]))).alias("__w")
+    listed = spread(rows, keys).groupBy(*keys).agg(*[F.first(c).alias(c) for c in SNAPSHOT], items)
+    return listed.select(*keys, *SNAPSHOT, F.col("__w.hop_idx").alias("hop_idx"), *[F.col(f"__w.{c}").alias(c) for c in columns])
+
+
+def _array(column: pa.Array, *shape: int) -> np.ndarray:
+    """Nested lists of one shape as an array; null is NaN."""
+    for _ in shape:
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
+
+
+def _nested(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Array of two or more dimensions as a column of nested lists."""
+    out = pa.array(values.ravel(), kind)
+    for size in reversed(values.shape[1:]):
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(out) // size + 1) * size, pa.int32()), out)
+    return out
+
+
+def _by_anchor(listed: DataFrame, keys: Sequence[str], window: int, channels: int, policy: Selector, target: str | None, finish, schema: str) -> DataFrame:
+    """``finish(channels, start, given, target)`` over slices of anchors gives the columns that follow the keys, and the row of the slice for each of its rows."""
+    shaped = ("hr", "confidence", "ppr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ANCHORS):
+                batch = whole.slice(lo, ANCHORS)
+                lengths = pc.list_value_length(batch.column("hop_idx"))
+                if pc.any(pc.not_equal(lengths, window)).as_py():
+                    raise ValueError("replay rows are not contiguous: an anchor lacks hops")
+                ch = {c: _array(batch.column(c), window, channels) for c in shaped}
+                given = {c: _array(batch.column(c), window) for c in policy.columns}
+                start = batch.select(list(SNAPSHOT)).to_pandas()
+                for rows, columns in finish(ch, start, given, None if target is None else _array(batch.column(target), window)):
+                    heads = [batch.column(k).take(pa.array(rows)) for k in (*keys, "hop_idx")]
+                    yield pa.RecordBatch.from_arrays([*heads, *columns.values()], names=[*keys, "hop_idx", *columns])
+
+    types = dict(listed.dtypes)
+    heads = ", ".join(f"{k} {types[k]}" for k in keys) + ", hop_idx array<bigint>, "
+    return listed.mapInArrow(run, heads + schema)
+
+
+def branches(starts: DataFrame, hops: DataFrame, policy: Selector, channels: int, window: int = HORIZON, keys: Sequence[str] = ("clip_id", "anchor"), extra: dict[str, str] | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Force each action once at each anchor, then follow the policy.
 
-    One row per (clip, anchor, action, offset); no label is read.
+    One row per (keys, action, offset); no label is read.  ``extra`` has SQL
+    of columns for the policy that need both the anchor and the hop, made of the columns
+    ``also`` of the hops.
     """
-    lean = _windows(starts, hops.select("clip_id", "hop_idx", "hr", "confidence", "ppr", *policy.columns), window)
-
-    def step(state, rows, at):
-        ch = {c: _channels(rows[c]) for c in ("hr", "confidence", "ppr")}
-        n = len(rows)
-        s = _start(rows, channels) if state is None else state
-        free = is_free(s)
-        if at == 0:
-            proposed = np.broadcast_to(np.arange(channels), (n, channels))
-        else:
-            proposed = np.stack([policy.choose(ch, rows, s["previous"][:, j], free[:, j]) for j in range(channels)], axis=1)
-        executed, hold, legal = settle(s, proposed.astype(np.int64))
-        new = advance(s, pick(ch["hr"], executed), pick(ch["confidence"], executed), executed, hold)
-        return new, {"proposed": proposed, "executed": executed, "legal": legal, "belief": new["mean"]}
-
-    t = dict(lean.dtypes)
-    out = lockstep(lean, ["clip_id", "anchor"], "offset", step,
-                   f"clip_id {t['clip_id']}, anchor bigint, offset bigint, hop_idx bigint, proposed array<bigint>, executed array<bigint>, legal array<boolean>, belief array<double>",
-                   carry=["hop_idx"])
-    actions = F.array(*[F.lit(a) for a in range(channels)]).alias("branch_action")
-    return out.select("clip_id", "anchor", "offset", "hop_idx", F.explode(F.arrays_zip(actions, "proposed", "executed", "legal", "belief")).alias("b")).selectExpr(
-        "clip_id", "anchor", "b.branch_action", "offset", "hop_idx", "b.proposed AS proposed_action", "b.executed AS executed_action", "b.legal", "b.belief AS post_belief_hr_bpm")
-
-
-def repeated_corrections(starts: DataFrame, hops: DataFrame, policy: Selector, width: int = 8, window: int = HORIZON, target: str = "gt_hr_bpm") -> DataFrame:
-    """Beam of paths that at each hop either take the best immediate action or follow the policy.
+    keys, extra = list(keys), extra or {}
+    taken = [*also, *[c for c in policy.columns if c not in extra]]
+    listed = _listed(starts, hops.select("clip_id", "hop_idx", "hr", "confidence", "ppr", *taken), window, ["hr", "confidence", "ppr", *policy.columns], keys, extra)
+
+    def finish(ch, start, given, _):
+        s, n = _start(start, channels), len(start)
+        out = {k: np.empty((n, window, channels)) for k in ("proposed", "executed", "legal", "belief")}
+        for at in range(window):
+            here = {c: v[:, at] for c, v in ch.items()}
+            free = is_free(s)
+            if at == 0:
+                proposed = np.broadcast_to(np.arange(channels), (n, channels))
+            else:
+                rows = pd.DataFrame({c: v[:, at].astype(np.int64) for c, v in given.items()}, index=range(n))
+                proposed = np.stack([policy.choose(here, rows, s["previous"][:, j], free[:, j]) for j in range(channels)], axis=1)
+            executed, hold, legal = settle(s, proposed.astype(np.int64))
+            s = advance(s, pick(here["hr"], executed), pick(here["confidence"], executed), executed, hold)
+            for k, v in (("proposed", proposed), ("executed", executed), ("legal", legal), ("belief", s["mean"])):
+                out[k][:, at] = v
+        kinds = {"proposed": pa.int64(), "executed": pa.int64(), "legal": pa.bool_(), "belief": pa.float64()}
+        yield np.arange(n), {k: _nested(v.astype(bool if k == "legal" else v.dtype if k == "belief" else np.int64), kinds[k]) for k, v in out.items()}
+
+    out = _by_anchor(listed, keys, window, channels, policy, None, finish, "proposed array<array<bigint>>, executed array<array<bigint>>, legal array<array<boolean>>, belief array<array<double>>")
+    by_hop = out.select(*keys, F.posexplode(F.arrays_zip("hop_idx", "proposed", "executed", "legal", "belief")).alias("offset", "o"))
+    by_action = by_hop.select(*keys, F.col("offset").cast("bigint").alias("offset"), F.col("o.hop_idx").alias("hop_idx"), F.posexplode(F.arrays_zip("o.proposed", "o.executed", "o.legal", "o.belief")).alias("branch_action", "b"))
+    return by_action.selectExpr(*keys, "branch_action", "offset", "hop_idx", "b.proposed AS proposed_action", "b.executed AS executed_action", "b.legal", "b.belief AS post_belief_hr_bpm")
+
+
+_COUNTS = ("generated", "deduped", "retained", "pruned")
+_PATH = "array<struct<total: double, seq: array<bigint>, errors: array<double>, corrected: array<boolean>, policy: array<bigint>>>"
+
+
+def repeated_corrections(starts: DataFrame, hops: DataFrame, policy: Selector, channels: int, widths: Sequence[int] = (8,), window: int = HORIZON, target: str = "gt_hr_bpm",
+                         keys: Sequence[str] = ("clip_id", "anchor"), extra: dict[str, str] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Beam of paths that at each hop either take the best immediate action or follow the policy, at several widths.
 
     Children with the same controller state are merged to the one with the
-    smaller (total, endpoint, sequence).  One row per (clip, anchor, offset) with
+    smaller (total, endpoint, sequence).  One row per (keys, width, offset) with
     the accounting of that depth; the last depth also lists the surviving paths
-    in rank order.
+    in rank order.  All widths are finished from one reading of an anchor.
     """
-    lean = _windows(starts, hops.select("clip_id", "hop_idx", "hr", "confidence", "ppr", target, *policy.columns), window)
-    state_keys = (*BELIEF, "previous", "hold")
+    keys, extra = list(keys), extra or {}
+    taken = [*also, *[c for c in policy.columns if c not in extra]]
+    listed = _listed(starts, hops.select("clip_id", "hop_idx", "hr", "confidence", "ppr", target, *taken), window, ["hr", "confidence", "ppr", target, *policy.columns], keys, extra)
 
-    def step(state, rows, at):
-        ch = {c: _channels(rows[c]) for c in ("hr", "confidence", "ppr")}
-        n, actions = ch["hr"].shape
-        if state is None:
-            s = _start(rows, width)
+    def finish(ch, start, given, wanted):
+        for width in widths:
+            n = len(start)
+            s = _start(start, width)
             s["total"] = np.where(np.arange(width) == 0, 0.0, np.inf) + np.zeros((n, 1))
             for k, kind in (("seq", np.int64), ("errors", float), ("corrected", bool), ("policy", np.int64)):
                 s[k] = np.zeros((n, width, window), dtype=kind)
-        else:
-            s = state
-        trial = filter_step({k: s[k][:, :, None] for k in BELIEF}, ch["hr"][:, None, :], ch["confidence"][:, None, :])
-        error = np.abs(trial["mean"] - rows[target].to_numpy(dtype=float)[:, None, None])
-        free = is_free(s)
-        ids = np.arange(actions)[None, None, :]
-        legal = free[:, :, None] | (ids == s["previous"][:, :, None])
-        first = np.where(legal, error, np.inf).argmin(axis=2)
-        follow = np.stack([policy.choose(ch, rows, s["previous"][:, j], free[:, j]) for j in range(width)], axis=1).astype(np.int64)
-        follow_legal = np.take_along_axis(legal, follow[:, :, None], axis=2)[:, :, 0]
-        alive = np.isfinite(s["total"])
-        action = np.concatenate([first, follow], axis=1)
-        exists = np.concatenate([alive, alive & follow_legal & (follow != first)], axis=1)
-        both = lambda m: np.concatenate([m, m], axis=1)
-        at_action = lambda m: np.concatenate([np.take_along_axis(m, first[:, :, None], 2)[:, :, 0], np.take_along_axis(m, follow[:, :, None], 2)[:, :, 0]], axis=1)
-        child = {k: at_action(np.broadcast_to(trial[k], (n, width, actions))) for k in BELIEF}
-        child["hold"] = np.where(action == both(s["previous"]), both(s["hold"]) + 1, 1)
-        child["previous"] = action
-        end = at_action(error)
-        child["total"] = np.where(exists, both(s["total"]) + end, np.inf)
-        for k in ("seq", "errors", "corrected", "policy"):
-            child[k] = both(s[k]).copy()
-        child["seq"][:, :, at] = action
-        child["errors"][:, :, at] = end
-        child["corrected"][:, :, at] = np.concatenate([follow_legal & (first != follow), np.zeros_like(follow_legal)], axis=1)
-        child["policy"][:, :, at] = both(follow)
-        # Rank by (total, endpoint, sequence): least significant key first.
-        sort_keys = [child["seq"][:, :, d] for d in range(at, -1, -1)] + [end, child["total"]]
-        order = np.broadcast_to(np.arange(2 * width), (n, 2 * width))
-        for key in sort_keys:
-            order = np.take_along_axis(order, np.take_along_axis(key, order, 1).argsort(axis=1, kind="stable"), 1)
-        take = lambda m, o: np.take_along_axis(m, o if m.ndim == 2 else o[:, :, None], axis=1)
-        ranked = {k: take(v, order) for k, v in child.items()}
-        real = take(exists, order)
-        same = np.ones((n, 2 * width, 2 * width), dtype=bool)
-        for k in state_keys:
-            same &= ranked[k][:, :, None] == ranked[k][:, None, :]
-        earlier = np.tril(np.ones((2 * width, 2 * width), dtype=bool), -1)[None]
-        duplicate = (same & earlier & real[:, None, :]).any(axis=2) & real
-        ranked["total"] = np.where(real & ~duplicate, ranked["total"], np.inf)
-        keep = (~np.isfinite(ranked["total"])).argsort(axis=1, kind="stable")[:, :width]
-        new = {k: take(v, keep) for k, v in ranked.items()}
-        generated, merged = real.sum(axis=1), duplicate.sum(axis=1)
-        retained = np.isfinite(new["total"]).sum(axis=1)
-        last = at == window - 1
-        paths = [[{"total": float(new["total"][i, r]), "seq": new["seq"][i, r].tolist(), "errors": new["errors"][i, r].tolist(),
-                   "corrected": new["corrected"][i, r].tolist(), "policy": new["policy"][i, r].tolist()} for r in range(retained[i])] if last else None for i in range(n)]
-        return new, {"generated": generated, "deduped": merged, "retained": retained, "pruned": generated - merged - retained,
-                     "best_total": new["total"][:, 0], "best_endpoint": new["errors"][:, 0, at], "paths": paths}
-
-    t = dict(lean.dtypes)
-    return lockstep(lean, ["clip_id", "anchor"], "offset", step,
-                    f"clip_id {t['clip_id']}, anchor bigint, offset bigint, generated bigint, deduped bigint, retained bigint, pruned bigint, best_total double, best_endpoint double, "
-                    "paths array<struct<total: double, seq: array<bigint>, errors: array<double>, corrected: array<boolean>, policy: array<bigint>>>")
-
-
-def paths(beam: DataFrame, window: int = HORIZON) -> DataFrame:
+            counts, best = np.empty((n, len(_COUNTS), window), np.int64), np.empty((n, 2, window))
+            for at in range(window):
+                rows = pd.DataFrame({c: v[:, at].astype(np.int64) for c, v in given.items()}, index=range(n))
+                s, counts[:, :, at], best[:, :, at] = _deepen(s, {c: v[:, at] for c, v in ch.items()}, wanted[:, at], policy, rows, at, width)
+            kept = np.isfinite(s["total"])
+            inner = [pa.array(s["total"][kept])] + [_nested(s[k][kept], t) for k, t in (("seq", pa.int64()), ("errors", pa.float64()), ("corrected", pa.bool_()), ("policy", pa.int64()))]
+            listed_paths = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept.sum(axis=1)))), pa.int32()), pa.StructArray.from_arrays(inner, names=["total", "seq", "errors", "corrected", "policy"]))
+            columns = {"width": pa.array(np.full(n, width), pa.int64())} | {k: _nested(counts[:, i], pa.int64()) for i, k in enumerate(_COUNTS)}
+            yield np.arange(n), columns | {"best_total": _nested(best[:, 0], pa.float64()), "best_endpoint": _nested(best[:, 1], pa.float64()), "paths": listed_paths}
+
+    out = _by_anchor(listed, keys, window, channels, policy, target, finish, "width bigint, " + ", ".join(f"{k} array<bigint>" for k in _COUNTS) + f", best_total array<double>, best_endpoint array<double>, paths {_PATH}")
+    by_hop = out.select(*keys, "width", "paths", F.posexplode(F.arrays_zip(*_COUNTS, "best_total", "best_endpoint")).alias("offset", "o"))
+    return by_hop.select(*keys, "width", F.col("offset").cast("bigint").alias("offset"), "o.*", F.when(F.col("offset") == window - 1, F.col("paths")).alias("paths"))
+
+
+def _deepen(s, ch, wanted, policy, rows, at, width):
+    """One depth of the beam of every anchor: the new state, the four counts and the best path's total and endpoint."""
+    n, actions = ch["hr"].shape
+    state_keys = (*BELIEF, "previous", "hold")
+    trial = filter_step({k: s[k][:, :, None] for k in BELIEF}, ch["hr"][:, None, :], ch["confidence"][:, None, :])
+    error = np.abs(trial["mean"] - wanted[:, None, None])
+    free = is_free(s)
+    ids = np.arange(actions)[None, None, :]
+    legal = free[:, :, None] | (ids == s["previous"][:, :, None])
+    first = np.where(legal, error, np.inf).argmin(axis=2)
+    follow = np.stack([policy.choose(ch, rows, s["previous"][:, j], free[:, j]) for j in range(width)], axis=1).astype(np.int64)
+    follow_legal = np.take_along_axis(legal, follow[:, :, None], axis=2)[:, :, 0]
+    alive = np.isfinite(s["total"])
+    action = np.concatenate([first, follow], axis=1)
+    exists = np.concatenate([alive, alive & follow_legal & (follow != first)], axis=1)
+    both = lambda m: np.concatenate([m, m], axis=1)
+    at_action = lambda m: np.concatenate([np.take_along_axis(m, first[:, :, None], 2)[:, :, 0], np.take_along_axis(m, follow[:, :, None], 2)[:, :, 0]], axis=1)
+    child = {k: at_action(np.broadcast_to(trial[k], (n, width, actions))) for k in BELIEF}
+    child["hold"] = np.where(action == both(s["previous"]), both(s["hold"]) + 1, 1)
+    child["previous"] = action
+    end = at_action(error)
+    child["total"] = np.where(exists, both(s["total"]) + end, np.inf)
+    for k in ("seq", "errors", "corrected", "policy"):
+        child[k] = both(s[k]).copy()
+    child["seq"][:, :, at] = action
+    child["errors"][:, :, at] = end
+    child["corrected"][:, :, at] = np.concatenate([follow_legal & (first != follow), np.zeros_like(follow_legal)], axis=1)
+    child["policy"][:, :, at] = both(follow)
+    # Rank by (total, endpoint, sequence): least significant key first.
+    sort_keys = [child["seq"][:, :, d] for d in range(at, -1, -1)] + [end, child["total"]]
+    order = np.broadcast_to(np.arange(2 * width), (n, 2 * width))
+    for key in sort_keys:
+        order = np.take_along_axis(order, np.take_along_axis(key, order, 1).argsort(axis=1, kind="stable"), 1)
+    take = lambda m, o: np.take_along_axis(m, o if m.ndim == 2 else o[:, :, None], axis=1)
+    ranked = {k: take(v, order) for k, v in child.items()}
+    real = take(exists, order)
+    same = np.ones((n, 2 * width, 2 * width), dtype=bool)
+    for k in state_keys:
+        same &= ranked[k][:, :, None] == ranked[k][:, None, :]
+    earlier = np.tril(np.ones((2 * width, 2 * width), dtype=bool), -1)[None]
+    duplicate = (same & earlier & real[:, None, :]).any(axis=2) & real
+    ranked["total"] = np.where(real & ~duplicate, ranked["total"], np.inf)
+    keep = (~np.isfinite(ranked["total"])).argsort(axis=1, kind="stable")[:, :width]
+    new = {k: take(v, keep) for k, v in ranked.items()}
+    generated, merged, retained = real.sum(axis=1), duplicate.sum(axis=1), np.isfinite(new["total"]).sum(axis=1)
+    return new, np.stack((generated, merged, retained, generated - merged - retained), axis=1), np.stack((new["total"][:, 0], new["errors"][:, 0, at]), axis=1)
+
+
+def paths(beam: DataFrame, window: int = HORIZON, keys: Sequence[str] = ("clip_id", "anchor")) -> DataFrame:
     """Surviving paths, one row each."""
-    return beam.where(F.col("offset") == window - 1).select("clip_id", "anchor", F.posexplode("paths").alias("path_rank", "p")).select("clip_id", "anchor", "path_rank", "p.*")
+    return beam.where(F.col("offset") == window - 1).select(*keys, "width", F.posexplode("paths").alias("path_rank", "p")).select(*keys, "width", "path_rank", "p.*")
 
 
 def recovery_class(gains: Column, tolerance: float = 1e-6) -> Column:

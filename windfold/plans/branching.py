@@ -87,85 +87,99 @@ def top3(spark, sf):
 
 # --- interventions ------------------------------------------------------------------------
 
-view("v_anchor", f"""SELECT r.clip_id, r.hop_idx AS anchor, r.executed_action AS factual_action, {SNAP} FROM v_replay r JOIN v_span s ON s.clip_id = r.clip_id
-  WHERE r.method_id = 'tabled_seed0' AND s.n_hops - r.hop_idx >= {WINDOW} AND (r.previous_action IS NULL OR r.pre_hold_count >= 2)""")
-view("v_given", "SELECT i.clip_id, i.hop_idx, i.given, g.hr, g.conf, g.gt FROM v_replay_in i JOIN v_greedy_in g ON g.clip_id = i.clip_id AND g.hop_idx = i.hop_idx WHERE i.method_id = 'tabled_seed0'")
-view("v_branch", f"""SELECT clip_id, anchor, act.q AS branch_action, CAST(-1 AS BIGINT) AS off, mean, velocity, p00, p01, p10, p11, CAST(prev AS BIGINT) AS prev, hold, 0.0::DOUBLE AS err, CAST(0 AS BIGINT) AS proposed FROM v_anchor CROSS JOIN (SELECT range AS q FROM range(5)) act
+view("v_anchor", f"""SELECT CAST(right(r.method_id, 1) AS BIGINT) AS seed, r.clip_id, r.hop_idx AS anchor, r.executed_action AS factual_action, {SNAP} FROM v_replay r JOIN v_span s ON s.clip_id = r.clip_id
+  WHERE r.method_id LIKE 'tabled_seed%' AND s.n_hops - r.hop_idx >= {WINDOW} AND (r.previous_action IS NULL OR r.pre_hold_count >= 2)""")
+view("v_given", "SELECT CAST(right(i.method_id, 1) AS BIGINT) AS seed, i.clip_id, i.hop_idx, i.given, g.hr, g.conf, g.gt FROM v_replay_in i JOIN v_greedy_in g ON g.clip_id = i.clip_id AND g.hop_idx = i.hop_idx WHERE i.method_id LIKE 'tabled_seed%'")
+view("v_branch", f"""SELECT seed, clip_id, anchor, act.q AS branch_action, CAST(-1 AS BIGINT) AS off, mean, velocity, p00, p01, p10, p11, CAST(prev AS BIGINT) AS prev, hold, 0.0::DOUBLE AS err, CAST(0 AS BIGINT) AS proposed FROM v_anchor CROSS JOIN (SELECT range AS q FROM range(5)) act
 UNION ALL
-SELECT clip_id, anchor, branch_action, off, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold, err, proposed FROM ({STEP_SQL.format(source=f'''
+SELECT seed, clip_id, anchor, branch_action, off, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold, err, proposed FROM ({STEP_SQL.format(source=f'''
   SELECT *, CASE WHEN prev < 0 OR hold >= 2 THEN proposed ELSE prev END AS a FROM (
-  SELECT b.clip_id, b.anchor, b.branch_action, b.off + 1 AS off, b.mean, b.velocity, b.p00, b.p01, b.p10, b.p11, b.prev, b.hold, g.hr, g.conf, g.gt,
-    CASE WHEN b.off = -1 THEN b.branch_action ELSE g.given END AS proposed FROM v_branch b JOIN v_given g ON g.clip_id = b.clip_id AND g.hop_idx = b.anchor + b.off + 1 WHERE b.off < {WINDOW - 1})''')})""")
+  SELECT b.seed, b.clip_id, b.anchor, b.branch_action, b.off + 1 AS off, b.mean, b.velocity, b.p00, b.p01, b.p10, b.p11, b.prev, b.hold, g.hr, g.conf, g.gt,
+    CASE WHEN b.off = -1 THEN b.branch_action ELSE g.given END AS proposed FROM v_branch b JOIN v_given g ON g.seed = b.seed AND g.clip_id = b.clip_id AND g.hop_idx = b.anchor + b.off + 1 WHERE b.off < {WINDOW - 1})''')})""")
 
 
-def branch_rows(spark, sf, seed=0):
-    hops = roles.policy_inputs(roles.hops(spark, sf))
+KEYS = ("seed", "clip_id", "anchor")
+#: Proposal of the anchor's policy at a hop, which has those of all seeds side by side.
+SEEDED = [f"policy_{s}" for s in roles.RANDOM_SEEDS]
+PROPOSED = {"proposal": f"element_at(array({', '.join(SEEDED)}), cast(seed + 1 AS int))"}
+POLICY = rp.proposal_selector("proposal", "tabled")
+
+
+def traces(spark, sf):
+    """Replays of the tabled policies of all seeds, made in one pass."""
+    return common.replayed(spark, sf, [f"tabled_seed{s}" for s in roles.RANDOM_SEEDS]).withColumn("seed", F.col("seed").cast("bigint"))
+
+
+def starts(spark, sf):
     counts = roles.hops(spark, sf).groupBy("clip_id").agg(F.count(F.lit(1)).alias("hop_count"))
-    starts = se.anchors(trace(spark, sf, seed), counts, WINDOW)
-    return se.branches(starts, hops, rp.proposal_selector(f"policy_{seed}", f"tabled_seed{seed}"), CH, WINDOW)
+    return se.anchors(traces(spark, sf), counts, WINDOW, ["seed"])
+
+
+def branch_rows(spark, sf):
+    hops = roles.policy_inputs(roles.hops(spark, sf))
+    return se.branches(starts(spark, sf), hops, POLICY, CH, WINDOW, KEYS, PROPOSED, SEEDED)
 
 
-def scored_branches(spark, sf, seed=0):
+def scored_branches(spark, sf):
     from windfold.operators.score import score
-    return score(branch_rows(spark, sf, seed), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
+    return score(branch_rows(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
 
 
-@query("k11_interventions", """SELECT clip_id, anchor, branch_action, off AS "offset", proposed AS proposed_action, prev AS executed_action, round(mean, 6) AS post_belief_hr_bpm FROM v_branch WHERE off >= 0""")
+@query("k11_interventions", """SELECT seed, clip_id, anchor, branch_action, off AS "offset", proposed AS proposed_action, prev AS executed_action, round(mean, 6) AS post_belief_hr_bpm FROM v_branch WHERE off >= 0""")
 def interventions(spark, sf):
-    return branch_rows(spark, sf).select("clip_id", "anchor", "branch_action", "offset", "proposed_action", "executed_action", r6("post_belief_hr_bpm").alias("post_belief_hr_bpm"))
+    return branch_rows(spark, sf).select("seed", "clip_id", "anchor", "branch_action", "offset", "proposed_action", "executed_action", r6("post_belief_hr_bpm").alias("post_belief_hr_bpm"))
 
 
-@query("k13_eligible_anchors", "SELECT clip_id, count(*) AS anchors, min(anchor) AS first_anchor, max(anchor) AS last_anchor FROM v_anchor GROUP BY 1")
+@query("k13_eligible_anchors", "SELECT seed, clip_id, count(*) AS anchors, min(anchor) AS first_anchor, max(anchor) AS last_anchor FROM v_anchor GROUP BY 1, 2")
 def eligible(spark, sf):
-    counts = roles.hops(spark, sf).groupBy("clip_id").agg(F.count(F.lit(1)).alias("hop_count"))
-    return se.anchors(trace(spark, sf), counts, WINDOW).groupBy("clip_id").agg(F.count(F.lit(1)).alias("anchors"), F.min("anchor").alias("first_anchor"), F.max("anchor").alias("last_anchor"))
+    return starts(spark, sf).groupBy("seed", "clip_id").agg(F.count(F.lit(1)).alias("anchors"), F.min("anchor").alias("first_anchor"), F.max("anchor").alias("last_anchor"))
 
 
-@query("j05_branch_label_join", """SELECT clip_id, anchor, branch_action, round(avg(err), 6) AS mean_abs_error FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3""")
+@query("j05_branch_label_join", """SELECT seed, clip_id, anchor, branch_action, round(avg(err), 6) AS mean_abs_error FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3, 4""")
 def branch_labels(spark, sf):
-    return scored_branches(spark, sf).groupBy("clip_id", "anchor", "branch_action").agg(r6(F.avg("abs_error_bpm")).alias("mean_abs_error"))
+    return scored_branches(spark, sf).groupBy("seed", "clip_id", "anchor", "branch_action").agg(r6(F.avg("abs_error_bpm")).alias("mean_abs_error"))
 
 
-view("v_branch_errs", "SELECT clip_id, anchor, branch_action, list(err ORDER BY off) AS berrs FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3")
-view("v_branch_score", "SELECT clip_id, anchor, h.horizon, branch_action, list_reduce(berrs[1:h.horizon], lambda x, y: x + y) / h.horizon AS mean_error FROM v_branch_errs CROSS JOIN (VALUES (1), (5), (15)) h(horizon)")
-view("v_regret", """SELECT s.clip_id, s.anchor, s.horizon, a.factual_action, s.branch_action AS best_action, f.mean_error AS factual_error, s.mean_error AS best_error
-  FROM (SELECT * FROM v_branch_score QUALIFY row_number() OVER (PARTITION BY clip_id, anchor, horizon ORDER BY mean_error, branch_action) = 1) s JOIN v_anchor a ON a.clip_id = s.clip_id AND a.anchor = s.anchor
-  JOIN v_branch_score f ON f.clip_id = s.clip_id AND f.anchor = s.anchor AND f.horizon = s.horizon AND f.branch_action = a.factual_action""")
+view("v_branch_errs", "SELECT seed, clip_id, anchor, branch_action, list(err ORDER BY off) AS berrs FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3, 4")
+view("v_branch_score", "SELECT seed, clip_id, anchor, h.horizon, branch_action, list_reduce(berrs[1:h.horizon], lambda x, y: x + y) / h.horizon AS mean_error FROM v_branch_errs CROSS JOIN (VALUES (1), (5), (15)) h(horizon)")
+view("v_regret", """SELECT s.seed, s.clip_id, s.anchor, s.horizon, a.factual_action, s.branch_action AS best_action, f.mean_error AS factual_error, s.mean_error AS best_error
+  FROM (SELECT * FROM v_branch_score QUALIFY row_number() OVER (PARTITION BY seed, clip_id, anchor, horizon ORDER BY mean_error, branch_action) = 1) s JOIN v_anchor a ON a.seed = s.seed AND a.clip_id = s.clip_id AND a.anchor = s.anchor
+  JOIN v_branch_score f ON f.seed = s.seed AND f.clip_id = s.clip_id AND f.anchor = s.anchor AND f.horizon = s.horizon AND f.branch_action = a.factual_action""")
 
 
-def branch_errors(spark, sf, seed=0):
+def branch_errors(spark, sf):
     """Errors of each branch as an array over the WINDOW offsets; summed in offset order,
     so that equal branches tie exactly."""
-    return scored_branches(spark, sf, seed).groupBy("clip_id", "anchor", "branch_action").agg(
+    return scored_branches(spark, sf).groupBy("seed", "clip_id", "anchor", "branch_action").agg(
         F.array_sort(F.collect_list(F.struct("offset", "abs_error_bpm"))).alias("w")).select(
-        "clip_id", "anchor", F.col("branch_action").cast("bigint").alias("branch_action"), F.col("w.abs_error_bpm").alias("berrors"))
+        "seed", "clip_id", "anchor", F.col("branch_action").cast("bigint").alias("branch_action"), F.col("w.abs_error_bpm").alias("berrors"))
 
 
 ADD = "aggregate({}, 0D, (s, x) -> s + x)"
 
 
-def regrets(spark, sf, seed=0):
+def regrets(spark, sf):
     """Horizon means per branch, then factual minus best per anchor."""
-    b = branch_errors(spark, sf, seed)
-    by_h = b.select("clip_id", "anchor", "branch_action", F.explode(F.array(*[
+    b = branch_errors(spark, sf)
+    by_h = b.select("seed", "clip_id", "anchor", "branch_action", F.explode(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.expr(f"{ADD.format(f'slice(berrors, 1, {h})')} / {h}").alias("mean_error")) for h in HORIZONS])).alias("m")).select(
-        "clip_id", "anchor", "branch_action", "m.*")
-    factual = trace(spark, sf, seed).select("clip_id", F.col("hop_idx").alias("anchor"), F.col("executed_action").alias("factual_action"))
-    g = by_h.join(factual, ["clip_id", "anchor"]).groupBy("clip_id", "anchor", "horizon", "factual_action").agg(
+        "seed", "clip_id", "anchor", "branch_action", "m.*")
+    factual = traces(spark, sf).select("seed", "clip_id", F.col("hop_idx").alias("anchor"), F.col("executed_action").alias("factual_action"))
+    g = by_h.join(factual, ["seed", "clip_id", "anchor"]).groupBy("seed", "clip_id", "anchor", "horizon", "factual_action").agg(
         F.min(F.struct("mean_error", "branch_action")).alias("best"), F.max(F.when(F.col("branch_action") == F.col("factual_action"), F.col("mean_error"))).alias("factual_error"))
-    return g.select("clip_id", "anchor", "horizon", "factual_action", F.col("best.branch_action").alias("best_action"), "factual_error", F.col("best.mean_error").alias("best_error"))
+    return g.select("seed", "clip_id", "anchor", "horizon", "factual_action", F.col("best.branch_action").alias("best_action"), "factual_error", F.col("best.mean_error").alias("best_error"))
 
 
-@query("a15_anchor_regret", """SELECT clip_id, anchor, horizon, factual_action, best_action, round(factual_error, 6) AS factual_error, round(best_error, 6) AS best_error, round(factual_error - best_error, 6) + 0 AS regret FROM v_regret""")
+@query("a15_anchor_regret", """SELECT seed, clip_id, anchor, horizon, factual_action, best_action, round(factual_error, 6) AS factual_error, round(best_error, 6) AS best_error, round(factual_error - best_error, 6) + 0 AS regret FROM v_regret""")
 def anchor_regret(spark, sf):
-    return regrets(spark, sf).select("clip_id", "anchor", "horizon", "factual_action", "best_action", r6("factual_error").alias("factual_error"), r6("best_error").alias("best_error"),
+    return regrets(spark, sf).select("seed", "clip_id", "anchor", "horizon", "factual_action", "best_action", r6("factual_error").alias("factual_error"), r6("best_error").alias("best_error"),
                                      (r6(F.col("factual_error") - F.col("best_error")) + 0).alias("regret"))
 
 
 @query("v19_branch_inventory", f"""SELECT count(*) AS anchors, count(*) FILTER (n <> {5 * WINDOW} OR acts <> 5 OR lo <> 0 OR hi <> {WINDOW - 1}) AS broken FROM (
-  SELECT clip_id, anchor, count(*) AS n, count(DISTINCT branch_action) AS acts, min(off) AS lo, max(off) AS hi FROM v_branch WHERE off >= 0 GROUP BY 1, 2)""")
+  SELECT seed, clip_id, anchor, count(*) AS n, count(DISTINCT branch_action) AS acts, min(off) AS lo, max(off) AS hi FROM v_branch WHERE off >= 0 GROUP BY 1, 2, 3)""")
 def branch_inventory(spark, sf):
-    g = branch_rows(spark, sf).groupBy("clip_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("branch_action").alias("acts"), F.min("offset").alias("lo"), F.max("offset").alias("hi"))
+    g = branch_rows(spark, sf).groupBy("seed", "clip_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("branch_action").alias("acts"), F.min("offset").alias("lo"), F.max("offset").alias("hi"))
     return g.agg(F.count(F.lit(1)).alias("anchors"), co.count_if((F.col("n") != CH * WINDOW) | (F.col("acts") != CH) | (F.col("lo") != 0) | (F.col("hi") != WINDOW - 1)).alias("broken"))
 
 
@@ -173,110 +187,111 @@ def branch_inventory(spark, sf):
 
 
 def corrections_sql(name: str, width: int) -> str:
-    return f"""SELECT clip_id, anchor, CAST(-1 AS BIGINT) AS off, mean, velocity, p00, p01, p10, p11, CAST(prev AS BIGINT) AS prev, hold, 0.0::DOUBLE AS total, 0.0::DOUBLE AS err, CAST([] AS BIGINT[]) AS seq, CAST([] AS DOUBLE[]) AS errs, CAST([] AS BOOLEAN[]) AS corrected, CAST([] AS BIGINT[]) AS pol, CAST(1 AS BIGINT) AS rn FROM v_anchor
+    return f"""SELECT seed, clip_id, anchor, CAST(-1 AS BIGINT) AS off, mean, velocity, p00, p01, p10, p11, CAST(prev AS BIGINT) AS prev, hold, 0.0::DOUBLE AS total, 0.0::DOUBLE AS err, CAST([] AS BIGINT[]) AS seq, CAST([] AS DOUBLE[]) AS errs, CAST([] AS BOOLEAN[]) AS corrected, CAST([] AS BIGINT[]) AS pol, CAST(1 AS BIGINT) AS rn FROM v_anchor
 UNION ALL
-SELECT clip_id, anchor, off, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold, n_total, err, n_seq, list_append(errs, err), list_append(corrected, is_first AND pol_legal AND a <> given), list_append(pol, given), rn2 FROM (
- SELECT *, row_number() OVER (PARTITION BY clip_id, anchor ORDER BY n_total, err, n_seq) AS rn2 FROM (
-  SELECT *, row_number() OVER (PARTITION BY clip_id, anchor, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold ORDER BY n_total, err, n_seq) AS dup FROM (
-   SELECT *, total + err AS n_total, list_append(seq, a) AS n_seq, row_number() OVER (PARTITION BY clip_id, anchor, rn ORDER BY err, a) = 1 AS is_first, (prev < 0 OR hold >= 2 OR given = prev) AS pol_legal FROM (
-    {STEP_SQL.format(source=f'''SELECT b.clip_id, b.anchor, b.off + 1 AS off, b.mean, b.velocity, b.p00, b.p01, b.p10, b.p11, b.prev, b.hold, b.total, b.seq, b.errs, b.corrected, b.pol, b.rn, g.hr, g.conf, g.gt, g.given, act.q AS a
-    FROM {name} b JOIN v_given g ON g.clip_id = b.clip_id AND g.hop_idx = b.anchor + b.off + 1 CROSS JOIN (SELECT range AS q FROM range(5)) act WHERE b.off < {WINDOW - 1} AND (b.prev < 0 OR b.hold >= 2 OR b.prev = act.q)''')}))
+SELECT seed, clip_id, anchor, off, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold, n_total, err, n_seq, list_append(errs, err), list_append(corrected, is_first AND pol_legal AND a <> given), list_append(pol, given), rn2 FROM (
+ SELECT *, row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY n_total, err, n_seq) AS rn2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed, clip_id, anchor, n_mean, n_velocity, n00, n01, n10, n11, a, n_hold ORDER BY n_total, err, n_seq) AS dup FROM (
+   SELECT *, total + err AS n_total, list_append(seq, a) AS n_seq, row_number() OVER (PARTITION BY seed, clip_id, anchor, rn ORDER BY err, a) = 1 AS is_first, (prev < 0 OR hold >= 2 OR given = prev) AS pol_legal FROM (
+    {STEP_SQL.format(source=f'''SELECT b.seed, b.clip_id, b.anchor, b.off + 1 AS off, b.mean, b.velocity, b.p00, b.p01, b.p10, b.p11, b.prev, b.hold, b.total, b.seq, b.errs, b.corrected, b.pol, b.rn, g.hr, g.conf, g.gt, g.given, act.q AS a
+    FROM {name} b JOIN v_given g ON g.seed = b.seed AND g.clip_id = b.clip_id AND g.hop_idx = b.anchor + b.off + 1 CROSS JOIN (SELECT range AS q FROM range(5)) act WHERE b.off < {WINDOW - 1} AND (b.prev < 0 OR b.hold >= 2 OR b.prev = act.q)''')}))
    WHERE is_first OR (a = given AND pol_legal)) WHERE dup = 1) WHERE rn2 <= {width}"""
 
 
-for _w in (1, 2, 4, 8):
+for _w in (1, 2, 4, 8, 16, 32):
     view(f"v_corr{_w}", corrections_sql(f"v_corr{_w}", _w))
 
 
-def correction_beam(spark, sf, width, seed=0):
+WIDTHS = (1, 2, 4, 8, 16, 32)
+
+
+def correction_beam(spark, sf, widths=(8,)):
     hops = roles.policy_inputs(common.labelled_hops(spark, sf))
-    counts = roles.hops(spark, sf).groupBy("clip_id").agg(F.count(F.lit(1)).alias("hop_count"))
-    starts = se.anchors(trace(spark, sf, seed), counts, WINDOW)
-    return se.repeated_corrections(starts, hops, rp.proposal_selector(f"policy_{seed}", "p"), width, WINDOW)
+    return se.repeated_corrections(starts(spark, sf), hops, POLICY, CH, widths, WINDOW, keys=KEYS, extra=PROPOSED, also=SEEDED)
+
+
+def surviving(spark, sf):
+    return se.paths(correction_beam(spark, sf), WINDOW, KEYS)
 
 
-@query("k12_repeated_corrections", f"""SELECT clip_id, anchor, rn - 1 AS path_rank, round(total, 6) AS total_error, array_to_string(seq, ',') AS actions, CAST(len(list_filter(corrected, lambda c: c)) AS BIGINT) AS corrections FROM v_corr8 WHERE off = {WINDOW - 1}""")
+@query("k12_repeated_corrections", f"""SELECT seed, clip_id, anchor, rn - 1 AS path_rank, round(total, 6) AS total_error, array_to_string(seq, ',') AS actions, CAST(len(list_filter(corrected, lambda c: c)) AS BIGINT) AS corrections FROM v_corr8 WHERE off = {WINDOW - 1}""")
 def repeated(spark, sf):
-    p = se.paths(correction_beam(spark, sf, 8), WINDOW)
-    return p.select("clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), r6("total").alias("total_error"), F.array_join(F.col("seq").cast("array<string>"), ",").alias("actions"),
+    p = surviving(spark, sf)
+    return p.select("seed", "clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), r6("total").alias("total_error"), F.array_join(F.col("seq").cast("array<string>"), ",").alias("actions"),
                     F.size(F.filter("corrected", lambda c: c)).cast("bigint").alias("corrections"))
 
 
-@query("k12_width_sensitivity", " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS width, count(DISTINCT (clip_id, anchor)) AS anchors, count(*) AS retained_paths, round(avg(total) FILTER (rn = 1), 6) AS best_total FROM v_corr{w} WHERE off = {WINDOW - 1}" for w in (1, 2, 4, 8)))
+@query("k12_width_sensitivity", " UNION ALL ".join(f"SELECT seed, CAST({w} AS BIGINT) AS width, count(DISTINCT (clip_id, anchor)) AS anchors, count(*) AS retained_paths, round(avg(total) FILTER (rn = 1), 6) AS best_total FROM v_corr{w} WHERE off = {WINDOW - 1} GROUP BY 1" for w in (1, 2, 4, 8, 16, 32)))
 def width_sensitivity(spark, sf):
-    out = None
-    for w in (1, 2, 4, 8):
-        b = correction_beam(spark, sf, w).where(F.col("offset") == WINDOW - 1).agg(
-            F.lit(w).cast("bigint").alias("width"), F.count(F.lit(1)).alias("anchors"), F.sum("retained").alias("retained_paths"), r6(F.avg("best_total")).alias("best_total"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    b = correction_beam(spark, sf, WIDTHS).where(F.col("offset") == WINDOW - 1)
+    return b.groupBy("seed", "width").agg(F.count(F.lit(1)).alias("anchors"), F.sum("retained").alias("retained_paths"), r6(F.avg("best_total")).alias("best_total"))
 
 
 @query("v19_beam_accounting", f"""SELECT count(*) AS anchors, CAST(0 AS BIGINT) AS broken FROM v_anchor""")
 def beam_accounting(spark, sf):
     """generated = deduped + retained + pruned at every depth, all depths present."""
-    g = correction_beam(spark, sf, 8).groupBy("clip_id", "anchor").agg(F.count(F.lit(1)).alias("n"), co.count_if(F.col("generated") != F.col("deduped") + F.col("retained") + F.col("pruned")).alias("bad"))
+    g = correction_beam(spark, sf).groupBy("seed", "clip_id", "anchor").agg(F.count(F.lit(1)).alias("n"), co.count_if(F.col("generated") != F.col("deduped") + F.col("retained") + F.col("pruned")).alias("bad"))
     return g.agg(F.count(F.lit(1)).alias("anchors"), co.count_if((F.col("n") != WINDOW) | (F.col("bad") > 0)).alias("broken"))
 
 
-@query("t05_path_order", f"""SELECT clip_id, anchor, rn - 1 AS path_rank, row_number() OVER (PARTITION BY clip_id, anchor ORDER BY total, err, seq) - 1 AS by_key FROM v_corr8 WHERE off = {WINDOW - 1}""")
+@query("t05_path_order", f"""SELECT seed, clip_id, anchor, rn - 1 AS path_rank, row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY total, err, seq) - 1 AS by_key FROM v_corr8 WHERE off = {WINDOW - 1}""")
 def path_order(spark, sf):
     """Order of the surviving paths by (total, endpoint, sequence); a group has at most ``width`` rows."""
     from pyspark.sql import Window
-    p = se.paths(correction_beam(spark, sf, 8), WINDOW)
+    p = surviving(spark, sf)
     key = F.struct("total", F.element_at("errors", -1), "seq")
-    return p.select("clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), (F.row_number().over(Window.partitionBy("clip_id", "anchor").orderBy(key)) - 1).cast("bigint").alias("by_key"))
+    return p.select("seed", "clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), (F.row_number().over(Window.partitionBy("seed", "clip_id", "anchor").orderBy(key)) - 1).cast("bigint").alias("by_key"))
 
 
-@query("w07_running_error", f"""SELECT clip_id, anchor, rn - 1 AS path_rank, i AS "offset", round(list_sum(errs[1:i + 1]), 6) AS cumulative_error FROM v_corr8 CROSS JOIN (SELECT range AS i FROM range({WINDOW})) WHERE off = {WINDOW - 1}""")
+@query("w07_running_error", f"""SELECT seed, clip_id, anchor, rn - 1 AS path_rank, i AS "offset", round(list_sum(errs[1:i + 1]), 6) AS cumulative_error FROM v_corr8 CROSS JOIN (SELECT range AS i FROM range({WINDOW})) WHERE off = {WINDOW - 1}""")
 def running_error(spark, sf):
     from pyspark.sql import Window
-    p = se.paths(correction_beam(spark, sf, 8), WINDOW).select("clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), F.posexplode("errors").alias("offset", "e"))
-    w = Window.partitionBy("clip_id", "anchor", "path_rank").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select("clip_id", "anchor", "path_rank", F.col("offset").cast("bigint").alias("offset"), r6(F.sum("e").over(w)).alias("cumulative_error"))
+    p = surviving(spark, sf).select("seed", "clip_id", "anchor", F.col("path_rank").cast("bigint").alias("path_rank"), F.posexplode("errors").alias("offset", "e"))
+    w = Window.partitionBy("seed", "clip_id", "anchor", "path_rank").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    return p.select("seed", "clip_id", "anchor", "path_rank", F.col("offset").cast("bigint").alias("offset"), r6(F.sum("e").over(w)).alias("cumulative_error"))
 
 
-view("v_factual", f"SELECT a.clip_id, a.anchor, list(abs(r.post_belief_hr_bpm - g.gt) ORDER BY r.hop_idx) AS errs, list(r.executed_action ORDER BY r.hop_idx) AS acts FROM v_anchor a JOIN v_replay r ON r.method_id = 'tabled_seed0' AND r.clip_id = a.clip_id AND r.hop_idx BETWEEN a.anchor AND a.anchor + {WINDOW - 1} JOIN v_given g ON g.clip_id = r.clip_id AND g.hop_idx = r.hop_idx GROUP BY 1, 2")
-view("v_repeated", f"""SELECT c.clip_id, c.anchor, c.total, c.errs, c.pol, c.corrected, f.errs AS ferrs, list_transform(list_zip(f.errs, c.errs), lambda z: z[1] - z[2]) AS gains FROM v_corr8 c JOIN v_factual f ON f.clip_id = c.clip_id AND f.anchor = c.anchor WHERE off = {WINDOW - 1} AND len(list_filter(corrected, lambda x: x)) >= 2
-  QUALIFY row_number() OVER (PARTITION BY c.clip_id, c.anchor ORDER BY total, err, seq) = 1""")
+view("v_factual", f"SELECT a.seed, a.clip_id, a.anchor, list(abs(r.post_belief_hr_bpm - g.gt) ORDER BY r.hop_idx) AS errs, list(r.executed_action ORDER BY r.hop_idx) AS acts FROM v_anchor a JOIN v_replay r ON r.method_id = 'tabled_seed' || a.seed AND r.clip_id = a.clip_id AND r.hop_idx BETWEEN a.anchor AND a.anchor + {WINDOW - 1} JOIN v_given g ON g.seed = a.seed AND g.clip_id = r.clip_id AND g.hop_idx = r.hop_idx GROUP BY 1, 2, 3")
+view("v_repeated", f"""SELECT c.seed, c.clip_id, c.anchor, c.total, c.errs, c.pol, c.corrected, f.errs AS ferrs, list_transform(list_zip(f.errs, c.errs), lambda z: z[1] - z[2]) AS gains FROM v_corr8 c JOIN v_factual f ON f.seed = c.seed AND f.clip_id = c.clip_id AND f.anchor = c.anchor WHERE off = {WINDOW - 1} AND len(list_filter(corrected, lambda x: x)) >= 2
+  QUALIFY row_number() OVER (PARTITION BY c.seed, c.clip_id, c.anchor ORDER BY total, err, seq) = 1""")
 
 
 def factual_windows(spark, sf):
     """Factual errors and actions over the window of each anchor (arrays of WINDOW entries)."""
     from windfold.operators.score import score
-    r = score(trace(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
+    r = score(traces(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
     counts = r.groupBy("clip_id").agg(F.max("hop_idx").alias("last"))
-    free = r.where(se.free_choice()).join(counts, "clip_id").where(F.col("last") + 1 - F.col("hop_idx") >= WINDOW).select("clip_id", F.col("hop_idx").alias("anchor"))
-    copies = r.selectExpr("clip_id", "hop_idx", "executed_action", "abs_error_bpm", "previous_action IS NULL OR pre_hold_count >= 2 AS is_free",
+    free = r.where(se.free_choice()).join(counts, "clip_id").where(F.col("last") + 1 - F.col("hop_idx") >= WINDOW).select("seed", "clip_id", F.col("hop_idx").alias("anchor"))
+    copies = r.selectExpr("seed", "clip_id", "hop_idx", "executed_action", "abs_error_bpm", "previous_action IS NULL OR pre_hold_count >= 2 AS is_free",
                           f"explode(sequence(greatest(0, hop_idx - {WINDOW - 1}), hop_idx)) AS anchor")
-    g = copies.join(free, ["clip_id", "anchor"]).groupBy("clip_id", "anchor").agg(F.array_sort(F.collect_list(F.struct("hop_idx", "abs_error_bpm", "executed_action", "is_free"))).alias("w"))
-    return g.select("clip_id", "anchor", F.col("w.abs_error_bpm").alias("ferrors"), F.col("w.executed_action").alias("factions"), F.col("w.is_free").alias("ffree"))
+    g = copies.join(free, ["seed", "clip_id", "anchor"]).groupBy("seed", "clip_id", "anchor").agg(F.array_sort(F.collect_list(F.struct("hop_idx", "abs_error_bpm", "executed_action", "is_free"))).alias("w"))
+    return g.select("seed", "clip_id", "anchor", F.col("w.abs_error_bpm").alias("ferrors"), F.col("w.executed_action").alias("factions"), F.col("w.is_free").alias("ffree"))
 
 
 def repeated_paths(spark, sf):
-    p = se.paths(correction_beam(spark, sf, 8), WINDOW).where(F.size(F.filter("corrected", lambda c: c)) >= 2)
-    best = p.groupBy("clip_id", "anchor").agg(F.min(F.struct("total", F.element_at("errors", -1).alias("endpoint"), "seq", "errors", "corrected", "policy")).alias("b")).select("clip_id", "anchor", "b.*")
-    return best.join(factual_windows(spark, sf), ["clip_id", "anchor"]).withColumn("gains", F.zip_with("ferrors", "errors", lambda a, b: a - b))
+    p = surviving(spark, sf).where(F.size(F.filter("corrected", lambda c: c)) >= 2)
+    best = p.groupBy("seed", "clip_id", "anchor").agg(F.min(F.struct("total", F.element_at("errors", -1).alias("endpoint"), "seq", "errors", "corrected", "policy")).alias("b")).select("seed", "clip_id", "anchor", "b.*")
+    return best.join(factual_windows(spark, sf), ["seed", "clip_id", "anchor"]).withColumn("gains", F.zip_with("ferrors", "errors", lambda a, b: a - b))
 
 
-@query("w08_recovery_class", """SELECT clip_id, anchor, CASE WHEN NOT list_contains(ahead, FALSE) THEN 'better_throughout' WHEN NOT list_contains(ahead, TRUE) THEN 'never_better'
+@query("w08_recovery_class", """SELECT seed, clip_id, anchor, CASE WHEN NOT list_contains(ahead, FALSE) THEN 'better_throughout' WHEN NOT list_contains(ahead, TRUE) THEN 'never_better'
   WHEN ahead[1] AND NOT list_contains(ahead[list_position(ahead, FALSE):], TRUE) AND gains[-1] < -1e-6 THEN 'briefly_better_then_ends_worse'
   WHEN NOT ahead[1] AND NOT list_contains(ahead[list_position(ahead, TRUE):], FALSE) THEN 'only_ends_better_late' ELSE 'mixed_intermittent' END AS recovery
   FROM (SELECT *, list_transform(gains, lambda g: g > 1e-6) AS ahead FROM v_repeated)""")
 def recovery(spark, sf):
-    return repeated_paths(spark, sf).select("clip_id", "anchor", se.recovery_class(F.col("gains")).alias("recovery"))
+    return repeated_paths(spark, sf).select("seed", "clip_id", "anchor", se.recovery_class(F.col("gains")).alias("recovery"))
 
 
-view("v_singles", f"""SELECT a.clip_id, a.anchor, o.i AS off, b.branch_action, b.berrs[{WINDOW} - o.i] AS endpoint,
+view("v_singles", f"""SELECT a.seed, a.clip_id, a.anchor, o.i AS off, b.branch_action, b.berrs[{WINDOW} - o.i] AS endpoint,
   (CASE WHEN o.i = 0 THEN 0.0::DOUBLE ELSE list_reduce(f.errs[1:o.i], lambda x, y: x + y) END) + list_reduce(b.berrs[1:{WINDOW} - o.i], lambda x, y: x + y) AS total
-  FROM v_anchor a CROSS JOIN (SELECT range AS i FROM range({WINDOW})) o JOIN v_factual f ON f.clip_id = a.clip_id AND f.anchor = a.anchor JOIN v_branch_errs b ON b.clip_id = a.clip_id AND b.anchor = a.anchor + o.i
+  FROM v_anchor a CROSS JOIN (SELECT range AS i FROM range({WINDOW})) o JOIN v_factual f ON f.seed = a.seed AND f.clip_id = a.clip_id AND f.anchor = a.anchor JOIN v_branch_errs b ON b.seed = a.seed AND b.clip_id = a.clip_id AND b.anchor = a.anchor + o.i
   WHERE b.branch_action <> f.acts[o.i + 1]""")
 
 
-@query("j11_best_single_correction", """SELECT s.clip_id, s.anchor, s.off AS best_offset, s.branch_action AS best_action, round(s.total, 6) AS best_total, round(s.endpoint, 6) AS endpoint, round(list_sum(f.errs) - s.total, 6) + 0 AS gain
-  FROM (SELECT * FROM v_singles QUALIFY row_number() OVER (PARTITION BY clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1) s JOIN v_factual f ON f.clip_id = s.clip_id AND f.anchor = s.anchor""")
+@query("j11_best_single_correction", """SELECT s.seed, s.clip_id, s.anchor, s.off AS best_offset, s.branch_action AS best_action, round(s.total, 6) AS best_total, round(s.endpoint, 6) AS endpoint, round(list_sum(f.errs) - s.total, 6) + 0 AS gain
+  FROM (SELECT * FROM v_singles QUALIFY row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1) s JOIN v_factual f ON f.seed = s.seed AND f.clip_id = s.clip_id AND f.anchor = s.anchor""")
 def best_single(spark, sf):
-    return singles(spark, sf).select("clip_id", "anchor", F.col("best.off").cast("bigint").alias("best_offset"), F.col("best.branch_action").alias("best_action"), r6("best.total").alias("best_total"),
+    return singles(spark, sf).select("seed", "clip_id", "anchor", F.col("best.off").cast("bigint").alias("best_offset"), F.col("best.branch_action").alias("best_action"), r6("best.total").alias("best_total"),
                                      r6("best.endpoint").alias("endpoint"), (r6(F.col("factual_total") - F.col("best.total")) + 0).alias("gain"))
 
 
@@ -285,39 +300,39 @@ def singles(spark, sf):
     branch errors from it on; an equi-join on (clip, anchor + offset)."""
     b = branch_errors(spark, sf).withColumnRenamed("anchor", "at")
     f = factual_windows(spark, sf).select("*", F.posexplode("factions").alias("off", "taken")).withColumn("at", F.col("anchor") + F.col("off"))
-    j = f.join(b, ["clip_id", "at"]).where("branch_action <> taken")
+    j = f.join(b, ["seed", "clip_id", "at"]).where("branch_action <> taken")
     total = F.expr(f"{ADD.format('slice(ferrors, 1, off)')} + {ADD.format(f'slice(berrors, 1, {WINDOW} - off)')}")
     endpoint = F.expr(f"element_at(berrors, {WINDOW} - off)")
-    return j.groupBy("clip_id", "anchor").agg(
+    return j.groupBy("seed", "clip_id", "anchor").agg(
         F.min(F.struct(total.alias("total"), endpoint.alias("endpoint"), "off", F.col("branch_action").cast("bigint").alias("branch_action"))).alias("best"),
         F.min(F.when(F.col("off") == 0, F.struct(total.alias("total"), endpoint.alias("endpoint"), F.col("branch_action").cast("bigint").alias("branch_action"), F.element_at("berrors", 1).alias("immediate")))).alias("same"),
         F.first(F.expr(ADD.format("ferrors"))).alias("factual_total"), F.first(F.element_at("ferrors", 1)).alias("factual_first"))
 
 
-@query("a17_anchor_analysis", f"""SELECT b.clip_id, b.anchor, b.off AS best_single_offset, round((list_sum(f.errs) - b.total) / {WINDOW}, 6) + 0 AS best_single_gain, s.branch_action AS same_anchor_action,
+@query("a17_anchor_analysis", f"""SELECT b.seed, b.clip_id, b.anchor, b.off AS best_single_offset, round((list_sum(f.errs) - b.total) / {WINDOW}, 6) + 0 AS best_single_gain, s.branch_action AS same_anchor_action,
   CAST(s.imm - f.errs[1] > 1e-6 AND (list_sum(f.errs) - s.total) / {WINDOW} > 1e-6 AS INTEGER) AS same_step_reversal, r.clip_id IS NOT NULL AS repeated_available,
   round((b.total - r.total) / {WINDOW}, 6) + 0 AS repeated_gain_vs_best_single
-  FROM (SELECT * FROM v_singles QUALIFY row_number() OVER (PARTITION BY clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1) b JOIN v_factual f ON f.clip_id = b.clip_id AND f.anchor = b.anchor
-  JOIN (SELECT s.*, x.err AS imm FROM v_singles s JOIN v_branch x ON x.clip_id = s.clip_id AND x.anchor = s.anchor AND x.branch_action = s.branch_action AND x.off = 0 WHERE s.off = 0 QUALIFY row_number() OVER (PARTITION BY s.clip_id, s.anchor ORDER BY total, endpoint, s.branch_action) = 1) s ON s.clip_id = b.clip_id AND s.anchor = b.anchor
-  LEFT JOIN v_repeated r ON r.clip_id = b.clip_id AND r.anchor = b.anchor""")
+  FROM (SELECT * FROM v_singles QUALIFY row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1) b JOIN v_factual f ON f.seed = b.seed AND f.clip_id = b.clip_id AND f.anchor = b.anchor
+  JOIN (SELECT s.*, x.err AS imm FROM v_singles s JOIN v_branch x ON x.seed = s.seed AND x.clip_id = s.clip_id AND x.anchor = s.anchor AND x.branch_action = s.branch_action AND x.off = 0 WHERE s.off = 0 QUALIFY row_number() OVER (PARTITION BY s.seed, s.clip_id, s.anchor ORDER BY total, endpoint, s.branch_action) = 1) s ON s.seed = b.seed AND s.clip_id = b.clip_id AND s.anchor = b.anchor
+  LEFT JOIN v_repeated r ON r.seed = b.seed AND r.clip_id = b.clip_id AND r.anchor = b.anchor""")
 def anchor_analysis(spark, sf):
     s = singles(spark, sf)
-    r = repeated_paths(spark, sf).select("clip_id", "anchor", F.col("total").alias("rtotal"))
+    r = repeated_paths(spark, sf).select("seed", "clip_id", "anchor", F.col("total").alias("rtotal"))
     ft = F.col("factual_total")
-    return s.join(r, ["clip_id", "anchor"], "left").select(
-        "clip_id", "anchor", F.col("best.off").cast("bigint").alias("best_single_offset"), (r6((ft - F.col("best.total")) / WINDOW) + 0).alias("best_single_gain"), F.col("same.branch_action").alias("same_anchor_action"),
+    return s.join(r, ["seed", "clip_id", "anchor"], "left").select(
+        "seed", "clip_id", "anchor", F.col("best.off").cast("bigint").alias("best_single_offset"), (r6((ft - F.col("best.total")) / WINDOW) + 0).alias("best_single_gain"), F.col("same.branch_action").alias("same_anchor_action"),
         ((F.col("same.immediate") - F.col("factual_first") > 1e-6) & ((ft - F.col("same.total")) / WINDOW > 1e-6)).cast("int").alias("same_step_reversal"),
         F.col("rtotal").isNotNull().alias("repeated_available"), (r6((F.col("best.total") - F.col("rtotal")) / WINDOW) + 0).alias("repeated_gain_vs_best_single"))
 
 
-@query("a18_regret_rates", """SELECT horizon, sum(hit) AS numerator, count(*) AS denominator, round(any_value(e), 6) AS subject_weighted FROM (SELECT horizon, clip_id, CAST(factual_error - best_error > 1e-6 AS INTEGER) AS hit FROM v_regret)
-  JOIN (SELECT horizon, avg(s) AS e FROM (SELECT horizon, subject_id, avg(m) AS s FROM (SELECT horizon, clip_id, avg(CAST(factual_error - best_error > 1e-6 AS INTEGER)) AS m FROM v_regret GROUP BY 1, 2) JOIN v_clips USING (clip_id) GROUP BY 1, 2) GROUP BY 1) USING (horizon) GROUP BY 1""")
+@query("a18_regret_rates", """SELECT seed, horizon, sum(hit) AS numerator, count(*) AS denominator, round(any_value(e), 6) AS subject_weighted FROM (SELECT seed, horizon, clip_id, CAST(factual_error - best_error > 1e-6 AS INTEGER) AS hit FROM v_regret)
+  JOIN (SELECT seed, horizon, avg(s) AS e FROM (SELECT seed, horizon, subject_id, avg(m) AS s FROM (SELECT seed, horizon, clip_id, avg(CAST(factual_error - best_error > 1e-6 AS INTEGER)) AS m FROM v_regret GROUP BY 1, 2, 3) JOIN v_clips USING (clip_id) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (seed, horizon) GROUP BY 1, 2""")
 def regret_rates(spark, sf):
     hit = (F.col("factual_error") - F.col("best_error") > 1e-6).cast("int")
-    clip = regrets(spark, sf).groupBy("horizon", "clip_id").agg(F.sum(hit).alias("num"), F.count(F.lit(1)).alias("den"))
-    s = clip.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("horizon", "subject_id").agg(
+    clip = regrets(spark, sf).groupBy("seed", "horizon", "clip_id").agg(F.sum(hit).alias("num"), F.count(F.lit(1)).alias("den"))
+    s = clip.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("seed", "horizon", "subject_id").agg(
         F.avg(F.col("num") / F.col("den")).alias("m"), F.sum("num").alias("num"), F.sum("den").alias("den"))
-    return s.groupBy("horizon").agg(F.sum("num").alias("numerator"), F.sum("den").alias("denominator"), r6(F.avg("m")).alias("subject_weighted"))
+    return s.groupBy("seed", "horizon").agg(F.sum("num").alias("numerator"), F.sum("den").alias("denominator"), r6(F.avg("m")).alias("subject_weighted"))
 
 
 @query("k10_sequence_replay", "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS mismatched FROM v_beam_best")
@@ -333,6 +348,6 @@ def sequence_replay(spark, sf):
     return c.agg(F.count(F.lit(1)).alias("compared"), co.count_if(off).alias("mismatched"))
 
 
-@query("t04_best_single_tuple", "SELECT clip_id, anchor, round(total, 6) AS total, off AS \"offset\", branch_action FROM v_singles QUALIFY row_number() OVER (PARTITION BY clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1")
+@query("t04_best_single_tuple", "SELECT seed, clip_id, anchor, round(total, 6) AS total, off AS \"offset\", branch_action FROM v_singles QUALIFY row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY total, endpoint, off, branch_action) = 1")
 def best_tuple(spark, sf):
-    return singles(spark, sf).select("clip_id", "anchor", r6("best.total").alias("total"), F.col("best.off").cast("bigint").alias("offset"), F.col("best.branch_action").alias("branch_action"))
+    return singles(spark, sf).select("seed", "clip_id", "anchor", r6("best.total").alias("total"), F.col("best.off").cast("bigint").alias("offset"), F.col("best.branch_action").alias("branch_action"))

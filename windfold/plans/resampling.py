@@ -50,18 +50,19 @@ def paired_bootstrap(spark, sf):
     return i.select("estimand", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
-view("v_reg_subject", f"""SELECT subject_id, avg(m) AS m, row_number() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT clip_id, avg(factual_error - best_error) AS m FROM v_regret WHERE horizon = {HORIZON} GROUP BY 1) JOIN v_clips USING (clip_id) GROUP BY subject_id""")
+view("v_reg_subject", f"""SELECT seed, subject_id, avg(m) AS m FROM (SELECT seed, clip_id, avg(factual_error - best_error) AS m FROM v_regret WHERE horizon = {HORIZON} GROUP BY 1, 2) JOIN v_clips USING (clip_id) GROUP BY seed, subject_id""")
+view("v_reg_no", "SELECT subject_id, row_number() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM v_reg_subject)")
 
 
-@query("b03_subject_mean_bootstrap", f"""SELECT round(any_value(point), 6) AS point_estimate, round(list_extract(list(est ORDER BY est), {int(0.025 * (R - 1)) + 1}), 6) AS lower, round(list_extract(list(est ORDER BY est), {int(0.975 * (R - 1)) + 1}), 6) AS upper
-  FROM (SELECT replicate, avg(m) AS est FROM (SELECT r.range AS replicate, CAST('0x' || substr(md5('8101|' || r.range || '|' || s.ix), 1, 8) AS BIGINT) % s.n AS ix FROM range({R}) r CROSS JOIN v_reg_subject s) d JOIN v_reg_subject t ON t.ix = d.ix GROUP BY 1)
-  CROSS JOIN (SELECT avg(m) AS point FROM v_reg_subject)""")
+@query("b03_subject_mean_bootstrap", f"""SELECT seed, round(any_value(point), 6) AS point_estimate, round(list_extract(list(est ORDER BY est), {int(0.025 * (R - 1)) + 1}), 6) AS lower, round(list_extract(list(est ORDER BY est), {int(0.975 * (R - 1)) + 1}), 6) AS upper
+  FROM (SELECT seed, replicate, avg(m) AS est FROM (SELECT r.range AS replicate, CAST('0x' || substr(md5('8101|' || r.range || '|' || s.ix), 1, 8) AS BIGINT) % s.n AS ix FROM range({R}) r CROSS JOIN v_reg_no s) d JOIN v_reg_no o ON o.ix = d.ix JOIN v_reg_subject t ON t.subject_id = o.subject_id GROUP BY 1, 2)
+  JOIN (SELECT seed, avg(m) AS point FROM v_reg_subject GROUP BY 1) USING (seed) GROUP BY 1""")
 def subject_means(spark, sf):
-    g = regrets(spark, sf).where(f"horizon = {HORIZON}").groupBy("clip_id").agg(F.avg(F.col("factual_error") - F.col("best_error")).alias("m"))
-    s = g.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("subject_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("clips")).withColumn("method_id", F.lit("p"))
-    i = rs.sorted_interval(rs.bootstrap(s, R, rs.SEED, "equal_subject"), ["method_id"], "estimate", R)
-    point = s.groupBy("method_id").agg(r6(F.avg(F.col("total") / F.col("clips"))).alias("point_estimate"))
-    return point.join(i, "method_id").select("point_estimate", r6("lower").alias("lower"), r6("upper").alias("upper"))
+    g = regrets(spark, sf).where(f"horizon = {HORIZON}").groupBy("seed", "clip_id").agg(F.avg(F.col("factual_error") - F.col("best_error")).alias("m"))
+    s = g.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("seed", "subject_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("clips"))
+    i = rs.sorted_interval(rs.bootstrap(s, R, rs.SEED, "equal_subject", methods=["seed"]), ["seed"], "estimate", R)
+    point = s.groupBy("seed").agg(r6(F.avg(F.col("total") / F.col("clips"))).alias("point_estimate"))
+    return point.join(i, "seed").select("seed", "point_estimate", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
 view("v_cross_subject", """SELECT arm_id, subject_id, dense_rank() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS ix, avg(current_mae) - avg(historical_mae) AS delta FROM v_crossover GROUP BY 1, 2""")
