@@ -227,11 +227,11 @@ def width_sensitivity(spark, sf):
     return b.groupBy("seed", "width").agg(F.count(F.lit(1)).alias("anchors"), F.sum("retained").alias("retained_paths"), r6(F.avg("best_total")).alias("best_total"))
 
 
-@query("v19_beam_accounting", f"""SELECT count(*) AS anchors, CAST(0 AS BIGINT) AS broken FROM v_anchor""")
+@query("v19_beam_accounting", """SELECT seed, off AS "offset", count(DISTINCT (clip_id, anchor)) AS anchors, count(*) AS retained, CAST(0 AS BIGINT) AS broken FROM v_corr8 WHERE off >= 0 GROUP BY 1, 2""")
 def beam_accounting(spark, sf):
-    """generated = deduped + retained + pruned at every depth, all depths present."""
-    g = correction_beam(spark, sf).groupBy("seed", "clip_id", "anchor").agg(F.count(F.lit(1)).alias("n"), co.count_if(F.col("generated") != F.col("deduped") + F.col("retained") + F.col("pruned")).alias("bad"))
-    return g.agg(F.count(F.lit(1)).alias("anchors"), co.count_if((F.col("n") != WINDOW) | (F.col("bad") > 0)).alias("broken"))
+    """Paths retained at every depth; generated = deduped + retained + pruned is broken nowhere."""
+    broken = F.col("generated") != F.col("deduped") + F.col("retained") + F.col("pruned")
+    return correction_beam(spark, sf).groupBy("seed", "offset").agg(F.count(F.lit(1)).alias("anchors"), F.sum("retained").alias("retained"), co.count_if(broken).alias("broken"))
 
 
 @query("t05_path_order", f"""SELECT seed, clip_id, anchor, rn - 1 AS path_rank, row_number() OVER (PARTITION BY seed, clip_id, anchor ORDER BY total, err, seq) - 1 AS by_key FROM v_corr8 WHERE off = {WINDOW - 1}""")

@@ -132,14 +132,14 @@ def state_chain(spark, sf):
         co.count_if(F.expr("abs(pre_belief_hr_bpm - coalesce(prev_post_belief_hr_bpm, 70D)) > 1e-12D")).alias("broken_belief"), co.count_if(~F.expr(fine)).alias("impossible_decision"))
 
 
-@query("v12_value_reconstruction", """SELECT count(*) AS compared, count(*) FILTER (abs(o_totalprice - total) > 1e5) AS beyond_tolerance, count(*) FILTER (o_orderkey IS NULL OR l_orderkey IS NULL) AS one_sided
+@query("v12_value_reconstruction", """SELECT count(*) AS compared, count(*) FILTER (abs(o_totalprice - total) > 1e-12) AS beyond_tolerance, count(*) FILTER (o_orderkey IS NULL OR l_orderkey IS NULL) AS one_sided
   FROM orders FULL JOIN (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
 def reconstruction(spark, sf):
     """Rebuild the stored order total from its lines and diff it."""
     stored = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
     again = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("total"))
     c = sc.compare(stored, again, ["k"])
-    return c.agg(F.count(F.lit(1)).alias("compared"), co.count_if(F.abs(F.col("l.total") - F.col("r.total")) > 1e5).alias("beyond_tolerance"),
+    return c.agg(F.count(F.lit(1)).alias("compared"), co.count_if(F.abs(F.col("l.total") - F.col("r.total")) > 1e-12).alias("beyond_tolerance"),
                  co.count_if(F.col("presence") != "joined").alias("one_sided"))
 
 
