@@ -312,3 +312,21 @@ def test_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     cur = con.execute(queries.oracle_sql()[name])
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_of_hot_texts(spark, keep):
+    """Runs of a hot text in several slots give the same groups, and the kept rows keep all columns."""
+    rows = [(k % 50, "Hot " * 30) for k in range(120)] + [(None, "hot " * 30), (200, "x"), (201, "X"), (202, None), (203, "")] + [(300 + k, "hot " * 30 + str(k % 9)) for k in range(27)]
+    pick = max if keep == "largest" else min
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(brute.LOWER), []).append(-1 << 60 if i is None else i)
+    want = sorted((i, pick(g), len(g), brute.sha(t)) for t, g in groups.items() for i in g)
+    out = exact_dedup.exact_groups(frame(spark, rows), keep=keep, slots=3, hot_rows=2).collect()
+    least = lambda v: -1 << 60 if v is None else v
+    assert sorted((least(r.doc_id), least(r.keep_id), r.group_size, r.text_sha256) for r in out) == want
+    assert sorted((least(r.doc_id), r.text_sha256) for r in out if r.kept) == sorted((pick(g), brute.sha(t)) for t, g in groups.items())
+    left = exact_dedup.drop_copies(frame(spark, rows), keep=keep, slots=3, hot_rows=2)
+    assert left.columns == SCHEMA.names
+    assert sorted((least(r.doc_id), brute.sha((r.text or "").translate(brute.LOWER))) for r in left.collect()) == sorted((pick(g), brute.sha(t)) for t, g in groups.items())

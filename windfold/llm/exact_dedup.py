@@ -1,13 +1,12 @@
 """Exact dedup by a distributed content sort, with DataFrame functions only.
 
-Spark samples splitters of (first bytes, slot) and range-partitions the
+Spark samples splitters of (first bytes, hash, slot) and range-partitions the
 normalised texts by them; each partition is sorted externally, so equal texts
-are adjacent, and the window operator compares neighbouring texts in full.  The
-slot, a hash of the identifier, cuts the copies of one text into up to ``slots``
-groups, so that a text which holds a third of all rows is dealt to many
-partitions.  The groups of a text meet again as one small row each, by the
-text's SHA-256: that gives the kept identifier and the size, and the sort only
-numbers rows of equal texts in a slot, for rows that share an identifier too.
+are adjacent, and the window operator compares neighbouring texts in full.  A
+run of equal texts gives the identifier that stays and the size.  The hash only
+parts texts with one beginning.  A text of more than a 65,536th of all rows is
+hot: its rows are dealt to ``slots`` runs by identifier, and the runs, one small
+row each, meet again by the text's SHA-256.
 """
 
 from __future__ import annotations
@@ -17,8 +16,44 @@ from pyspark.sql import functions as F
 
 from windfold.llm import common as c
 
+#: At most so many texts are hot.
+HOT_TEXTS = 1 << 16
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", slots: int = 256, prefix: int = 48) -> DataFrame:
+
+def _sorted(rows: DataFrame, text: str, slots: int, prefix: int, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ``_norm`` and the keys of a run, dealt by range: those of common texts, and of hot ones if there are any.
+
+    Both parts read ``rows`` again and shuffle only their own, so each text is shuffled once.
+    """
+    raw = F.coalesce(F.expr(text), F.lit(""))
+    keyed = rows.withColumns({"_pre": c.lowered(F.substring(raw, 1, prefix)), "_hash": F.xxhash64(c.lowered(raw))})
+    floor = max(hot_rows, rows.count() // HOT_TEXTS + 1)
+    hot = [r[0] for r in keyed.groupBy("_hash").count().where(F.col("count") >= floor).select("_hash").collect()]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(part: DataFrame) -> DataFrame:
+        # this partitioning already clusters the keys with _norm: no other exchange follows
+        return part.repartitionByRange(n, "_pre", "_hash", "_slot").withColumn("_norm", c.lowered(raw))
+
+    if not hot:
+        return dealt(keyed.withColumn("_slot", F.lit(0).cast("long"))), None
+    is_hot = F.col("_hash").isin(hot)
+    slot = F.pmod(F.xxhash64("_id"), F.lit(slots)).cast("long")
+    return dealt(keyed.where(~is_hot).withColumn("_slot", F.lit(0).cast("long"))), dealt(keyed.where(is_hot).withColumn("_slot", slot))
+
+
+def _runs(rows: DataFrame, keep: str) -> DataFrame:
+    """Per row: its digest, its run's kept identifier and size, and its place in the run."""
+    run = Window.partitionBy("_pre", "_hash", "_slot", "_norm")
+    last = F.max if keep == "largest" else F.min
+    return rows.select("_id", "_slot", F.sha2("_norm", 256).alias("text_sha256"), last("_id").over(run).alias("_keep"), F.count("*").over(run).alias("_n"), F.row_number().over(_order(run, keep)).alias("_nth"))
+
+
+def _order(run, keep: str):
+    return run.orderBy(F.col("_id").desc() if keep == "largest" else F.col("_id"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", slots: int = 256, prefix: int = 48, hot_rows: int = 64) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A to Z.  ``keep`` names the
@@ -26,38 +61,43 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text.  A null identifier ranks below all others.  Of repeated rows with the
     identifier that stays, exactly one is kept.  No rows give no rows; further
     columns are ignored.  Splitters are compared on ``prefix`` characters, so
-    what Spark samples to the driver is small; texts are compared whole.
+    what Spark samples to the driver is small; texts are compared whole.  Texts
+    of fewer than ``hot_rows`` rows are never cut into slots; that decides on
+    the work's division only.
     """
     last = F.max if keep == "largest" else F.min
-    low = c.texts(docs, id_col, text_col).select("_id", c.lowered(F.col("_text")).alias("_norm"))
-    low = low.withColumns({"_pre": F.substring("_norm", 1, prefix), "_slot": F.pmod(F.xxhash64("_id"), F.lit(slots))})
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the range partitioning on (_pre, _slot) already clusters (_pre, _slot, _norm): no other exchange follows
-    dealt = low.repartitionByRange(n, "_pre", "_slot")
-    order = Window.partitionBy("_pre", "_slot", "_norm").orderBy(F.col("_id").desc() if keep == "largest" else F.col("_id"))
-    rows = dealt.select("_id", "_slot", F.sha2("_norm", 256).alias("text_sha256"), F.row_number().over(order).alias("_nth"))
-    rows = c.settled(rows)
-    parts = rows.groupBy("text_sha256", "_slot").agg(last("_id").alias("_last"), F.count("*").alias("_n"))
-    whole = parts.groupBy("text_sha256").agg(last("_last").alias("_keep"), F.sum("_n").alias("group_size"))
-    groups = parts.select("text_sha256", "_slot").join(whole, "text_sha256")
-    return rows.join(groups, ["text_sha256", "_slot"]).select(
+    cold, hot = _sorted(c.texts(docs, id_col, text_col), "_text", slots, prefix, hot_rows)
+    rows = _runs(cold, keep)
+    if hot is not None:
+        cut = c.settled(_runs(hot, keep))
+        runs = cut.where("_nth = 1").select("text_sha256", "_slot", "_keep", "_n")
+        whole = runs.groupBy("text_sha256").agg(last("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+        whole = runs.select("text_sha256", "_slot").join(whole, "text_sha256")
+        rows = rows.unionByName(cut.drop("_keep", "_n").join(whole, ["text_sha256", "_slot"]))
+    return rows.select(
         c.id_back("_id").alias("doc_id"),
         c.id_back("_keep").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
+        F.col("_n").cast("long").alias("group_size"),
         ((F.col("_id") == F.col("_keep")) & (F.col("_nth") == 1)).alias("kept"),
         "text_sha256",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", **options) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", slots: int = 256, prefix: int = 48, hot_rows: int = 64) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
 
+    The documents travel with the sort, and the first row of each run stays; of
+    a hot text the runs' first rows, ``slots`` at most, are compared again.
     Repeated rows with the identifier that stays are reduced to one; rows that
     share an identifier but not a text are separate documents.
     """
-    kept = exact_groups(docs, id_col, text_col, keep, **options).where("kept").select(F.coalesce("doc_id", F.lit(c.NULL_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = c.carried(docs, _id=c.key_of(id_col), _sha=F.sha2(c.lowered(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    return marked.join(kept, ["_id", "_sha"]).dropDuplicates(["_id", "_sha"]).select("_row.*")
+    cold, hot = _sorted(c.carried(docs, _id=c.key_of(id_col)), f"_row.`{text_col}`", slots, prefix, hot_rows)
+    first = lambda rows, *run: rows.withColumn("_nth", F.row_number().over(_order(Window.partitionBy(*run), keep))).where("_nth = 1")
+    kept = first(cold, "_pre", "_hash", "_slot", "_norm").select("_row")
+    if hot is not None:
+        firsts = first(hot, "_pre", "_hash", "_slot", "_norm").select("_row", "_id", F.sha2("_norm", 256).alias("_sha"))
+        kept = kept.unionByName(first(firsts, "_sha").select("_row"))
+    return kept.select("_row.*")
 
 
 EXACT_SQL = """
