@@ -20,37 +20,23 @@ from windfold.llm import common as c
 HOT_TEXTS = 1 << 16
 
 
-def _sorted(rows: DataFrame, text: str, slots: int, prefix: int, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` with ``_norm`` and the keys of a run, dealt by range: those of common texts, and of hot ones if there are any.
-
-    Both parts read ``rows`` again and shuffle only their own, so each text is shuffled once.
-    """
+def _sorted(rows: DataFrame, text: str, slots: int, prefix: int, hot_rows: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` dealt by range, with ``_norm``, ``_slot`` (0 for texts that are not hot), and the columns whose equal values make a run."""
     raw = F.coalesce(F.expr(text), F.lit(""))
     keyed = rows.withColumns({"_pre": c.lowered(F.substring(raw, 1, prefix)), "_hash": F.xxhash64(c.lowered(raw))})
     floor = max(hot_rows, rows.count() // HOT_TEXTS + 1)
     hot = [r[0] for r in keyed.groupBy("_hash").count().where(F.col("count") >= floor).select("_hash").collect()]
+    slot = F.when(F.col("_hash").isin(hot), 1 + F.pmod(F.xxhash64("_id"), F.lit(slots))).otherwise(0)
+    # a constant slot would be folded out of the window's keys, and the texts would be shuffled again
+    keys = ["_pre", "_hash", "_slot"] if hot else ["_pre", "_hash"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def dealt(part: DataFrame) -> DataFrame:
-        # this partitioning already clusters the keys with _norm: no other exchange follows
-        return part.repartitionByRange(n, "_pre", "_hash", "_slot").withColumn("_norm", c.lowered(raw))
-
-    if not hot:
-        return dealt(keyed.withColumn("_slot", F.lit(0).cast("long"))), None
-    is_hot = F.col("_hash").isin(hot)
-    slot = F.pmod(F.xxhash64("_id"), F.lit(slots)).cast("long")
-    return dealt(keyed.where(~is_hot).withColumn("_slot", F.lit(0).cast("long"))), dealt(keyed.where(is_hot).withColumn("_slot", slot))
-
-
-def _runs(rows: DataFrame, keep: str) -> DataFrame:
-    """Per row: its digest, its run's kept identifier and size, and its place in the run."""
-    run = Window.partitionBy("_pre", "_hash", "_slot", "_norm")
-    last = F.max if keep == "largest" else F.min
-    return rows.select("_id", "_slot", F.sha2("_norm", 256).alias("text_sha256"), last("_id").over(run).alias("_keep"), F.count("*").over(run).alias("_n"), F.row_number().over(_order(run, keep)).alias("_nth"))
+    # the partitioning already clusters the keys with _norm: no other exchange follows
+    dealt = keyed.withColumn("_slot", slot.cast("long")).repartitionByRange(n, *keys).withColumn("_norm", c.lowered(raw))
+    return dealt, [*keys, "_norm"]
 
 
-def _order(run, keep: str):
-    return run.orderBy(F.col("_id").desc() if keep == "largest" else F.col("_id"))
+def _by_id(keep: str):
+    return F.col("_id").desc() if keep == "largest" else F.col("_id")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", slots: int = 256, prefix: int = 48, hot_rows: int = 64) -> DataFrame:
@@ -66,14 +52,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the work's division only.
     """
     last = F.max if keep == "largest" else F.min
-    cold, hot = _sorted(c.texts(docs, id_col, text_col), "_text", slots, prefix, hot_rows)
-    rows = _runs(cold, keep)
-    if hot is not None:
-        cut = c.settled(_runs(hot, keep))
-        runs = cut.where("_nth = 1").select("text_sha256", "_slot", "_keep", "_n")
+    dealt, keys = _sorted(c.texts(docs, id_col, text_col), "_text", slots, prefix, hot_rows)
+    run = Window.partitionBy(*keys)
+    rows = dealt.select("_id", "_slot", F.sha2("_norm", 256).alias("text_sha256"), last("_id").over(run).alias("_keep"), F.count("*").over(run).alias("_n"), F.row_number().over(run.orderBy(_by_id(keep))).alias("_nth"))
+    rows = c.settled(rows)
+    if "_slot" in keys:
+        runs = rows.where("_slot > 0 AND _nth = 1").select("text_sha256", "_slot", "_keep", "_n")
         whole = runs.groupBy("text_sha256").agg(last("_keep").alias("_keep"), F.sum("_n").alias("_n"))
         whole = runs.select("text_sha256", "_slot").join(whole, "text_sha256")
-        rows = rows.unionByName(cut.drop("_keep", "_n").join(whole, ["text_sha256", "_slot"]))
+        rows = rows.where("_slot = 0").unionByName(rows.where("_slot > 0").drop("_keep", "_n").join(whole, ["text_sha256", "_slot"]))
     return rows.select(
         c.id_back("_id").alias("doc_id"),
         c.id_back("_keep").alias("keep_id"),
@@ -88,16 +75,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The documents travel with the sort, and the first row of each run stays; of
     a hot text the runs' first rows, ``slots`` at most, are compared again.
-    Repeated rows with the identifier that stays are reduced to one; rows that
-    share an identifier but not a text are separate documents.
+    Common and hot texts are read and shuffled apart, each text once.  Repeated
+    rows with the identifier that stays are reduced to one; rows that share an
+    identifier but not a text are separate documents.
     """
-    cold, hot = _sorted(c.carried(docs, _id=c.key_of(id_col)), f"_row.`{text_col}`", slots, prefix, hot_rows)
-    first = lambda rows, *run: rows.withColumn("_nth", F.row_number().over(_order(Window.partitionBy(*run), keep))).where("_nth = 1")
-    kept = first(cold, "_pre", "_hash", "_slot", "_norm").select("_row")
-    if hot is not None:
-        firsts = first(hot, "_pre", "_hash", "_slot", "_norm").select("_row", "_id", F.sha2("_norm", 256).alias("_sha"))
-        kept = kept.unionByName(first(firsts, "_sha").select("_row"))
-    return kept.select("_row.*")
+    dealt, keys = _sorted(c.carried(docs, _id=c.key_of(id_col)), f"_row.`{text_col}`", slots, prefix, hot_rows)
+    first = lambda rows, keys: rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(_by_id(keep)))).where("_nth = 1")
+    if "_slot" not in keys:
+        return first(dealt, keys).select("_row.*")
+    hot = first(dealt.where("_slot > 0"), keys).select("_row", "_id", F.sha2("_norm", 256).alias("_sha"))
+    return first(dealt.where("_slot < 1"), keys).select("_row").unionByName(first(hot, ["_sha"]).select("_row")).select("_row.*")
 
 
 EXACT_SQL = """
