@@ -60,10 +60,27 @@ def test_bad_inputs_fail(spark, corpus, tmp_path):
     assert good.count() == 1 and bad.first().gt_ppg == "abc"
 
 
+def cache(hr, **changed):
+    share = np.nan_to_num(hr) / 100
+    return {"stem": "S1_x", "view": "Frontal", "condition": "before", "fs": 24.0, "hr_meas": hr, "conf": share, "ppr": share, "cov": share, "gt_hr": np.array([1.0, 2, 3]), "cache_schema_version": 3, "gt_subharmonic_labels": False} | changed
+
+
+def test_cache_rules(tmp_path):
+    hr = np.full((3, 12), 70.0)
+    hr[1, 2] = np.nan
+    broken = [{"view": ""}, {"fs": 25.0}, {"fs": np.array([24.0])}, {"cache_schema_version": 2}, {"gt_subharmonic_labels": True}, {"gt_hr": np.array([1.0, 2])}, {"gt_hr": np.array([1.0, np.nan, 2])},
+              {"ppr": np.full((3, 12), np.inf)}, {"conf": np.full((3, 12), 0.5)}, {"conf": -np.ones((3, 12))}, {"hr_meas": hr[:, :11]}, {"extra": 1}]
+    for i, changed in enumerate([{}, *broken]):
+        np.savez(tmp_path / f"{i}.npz", **cache(hr, **changed))
+        with np.load(tmp_path / f"{i}.npz") as z:
+            assert (sn._cache_fault(z) is None) == (not changed), changed
+    del hr
+
+
 def test_cache_inventory_subsets_and_extractor(spark, tmp_path):
     hr = np.full((3, 12), 70.0)
     hr[1, 2] = np.nan
-    np.savez(tmp_path / "c.npz", stem="S1_x", fs=24.0, hr_meas=hr, conf=hr / 100, ppr=hr / 100, cov=hr / 100, gt_hr=np.array([1.0, 2, 3]))
+    np.savez(tmp_path / "c.npz", **cache(hr))
     rows = sn.read_cache(spark, str(tmp_path / "*.npz")).orderBy("hop_idx").collect()
     assert len(rows) == 3 and rows[1].hr[2] is None and rows[0].hr[0] == 70.0
     (tmp_path / "i.json").write_text('{"files": [{"path": "a", "sha256": "00", "size": 3}]}')

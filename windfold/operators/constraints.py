@@ -91,3 +91,19 @@ def covariance_broken(p00: Column, p01: Column, p10: Column, p11: Column) -> Col
     scale = F.greatest(F.lit(1.0), F.abs(p00), F.abs(p01), F.abs(p11))
     mid = (p01 + p10) / 2
     return (F.abs(p01 - p10) > 1e-10) | (p00 < 0) | (p11 < 0) | (p00 * p11 - mid * mid < -1e-12 * scale * scale)
+
+
+def action_stats(rows: DataFrame, keys: Sequence[str], action: Column) -> DataFrame:
+    """Statistics of replay rows by key; ``action`` is the one that a fixed arm must take."""
+    jump = F.abs(F.col("executed_action") - F.col("previous_action"))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("hops"), count_if(~F.col("legal")).alias("overrides"), count_if(jump > 0).alias("switches"), F.coalesce(F.avg(jump), F.lit(0.0)).alias("jump"),
+        count_if(F.col("proposed_action") != action).alias("proposed_other"), count_if(F.col("executed_action") != action).alias("executed_other"),
+        F.max("post_hold_count").alias("hold_max"), F.avg("post_hold_count").alias("hold_mean"), count_if(~F.col("selected_valid")).alias("invalid"))
+
+
+def fixed_action_rules() -> dict[str, Column]:
+    """Rules over :func:`action_stats` of a fixed action (true = broken): it never changes, so its hold grows from 1 to the number of hops."""
+    c = F.col
+    return {"override_impossible": c("overrides") > 0, "switch_impossible": c("switches") > 0, "jump_impossible": c("jump") > 0, "proposal_mismatch": c("proposed_other") > 0,
+            "distribution_foreign": c("executed_other") > 0, "hold_max_broken": c("hold_max") != c("hops"), "hold_mean_broken": F.abs(c("hold_mean") - (c("hops") + 1) / 2) > 1e-12, "invalid_exceeds_hops": c("invalid") > c("hops")}

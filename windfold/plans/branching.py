@@ -14,6 +14,7 @@ from windfold.operators.windows import neighbour
 from windfold.plans import common
 from windfold.plans.registry import query, view
 from windfold.plans.replays import STEP_SQL
+from windfold.plans.sqlviews import STEPS
 from windfold.sources import roles
 
 CH = len(roles.CHANNELS)
@@ -261,11 +262,11 @@ def factual_windows(spark, sf):
     from windfold.operators.score import score
     r = score(traces(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
     counts = r.groupBy("clip_id").agg(F.max("hop_idx").alias("last"))
-    free = r.where(se.free_choice()).join(counts, "clip_id").where(F.col("last") + 1 - F.col("hop_idx") >= WINDOW).select("seed", "clip_id", F.col("hop_idx").alias("anchor"))
-    copies = r.selectExpr("seed", "clip_id", "hop_idx", "executed_action", "abs_error_bpm", "previous_action IS NULL OR pre_hold_count >= 2 AS is_free",
+    free = r.where(se.free_choice()).join(counts, "clip_id").where(F.col("last") + 1 - F.col("hop_idx") >= WINDOW).select("seed", "clip_id", F.col("hop_idx").alias("anchor"), "last")
+    copies = r.selectExpr("seed", "clip_id", "hop_idx", "executed_action", "proposed_action", "abs_error_bpm", "previous_action IS NULL OR pre_hold_count >= 2 AS is_free",
                           f"explode(sequence(greatest(0, hop_idx - {WINDOW - 1}), hop_idx)) AS anchor")
-    g = copies.join(free, ["seed", "clip_id", "anchor"]).groupBy("seed", "clip_id", "anchor").agg(F.array_sort(F.collect_list(F.struct("hop_idx", "abs_error_bpm", "executed_action", "is_free"))).alias("w"))
-    return g.select("seed", "clip_id", "anchor", F.col("w.abs_error_bpm").alias("ferrors"), F.col("w.executed_action").alias("factions"), F.col("w.is_free").alias("ffree"))
+    g = copies.join(free, ["seed", "clip_id", "anchor"]).groupBy("seed", "clip_id", "anchor").agg(F.array_sort(F.collect_list(F.struct("hop_idx", "abs_error_bpm", "executed_action", "is_free", "proposed_action"))).alias("w"), F.first("last").alias("last"))
+    return g.select("seed", "clip_id", "anchor", F.col("w.abs_error_bpm").alias("ferrors"), F.col("w.executed_action").alias("factions"), F.col("w.is_free").alias("ffree"), F.col("w.proposed_action").alias("fproposed"), "last")
 
 
 def repeated_paths(spark, sf):
@@ -295,11 +296,11 @@ def best_single(spark, sf):
                                      r6("best.endpoint").alias("endpoint"), (r6(F.col("factual_total") - F.col("best.total")) + 0).alias("gain"))
 
 
-def singles(spark, sf):
+def singles(spark, sf, branches=None, factual=None):
     """Best one-time correction inside each anchor's window: factual errors before it,
     branch errors from it on; an equi-join on (clip, anchor + offset)."""
-    b = branch_errors(spark, sf).withColumnRenamed("anchor", "at")
-    f = factual_windows(spark, sf).select("*", F.posexplode("factions").alias("off", "taken")).withColumn("at", F.col("anchor") + F.col("off"))
+    b = (branch_errors(spark, sf) if branches is None else branches).withColumnRenamed("anchor", "at")
+    f = (factual_windows(spark, sf) if factual is None else factual).select("*", F.posexplode("factions").alias("off", "taken")).withColumn("at", F.col("anchor") + F.col("off"))
     j = f.join(b, ["seed", "clip_id", "at"]).where("branch_action <> taken")
     total = F.expr(f"{ADD.format('slice(ferrors, 1, off)')} + {ADD.format(f'slice(berrors, 1, {WINDOW} - off)')}")
     endpoint = F.expr(f"element_at(berrors, {WINDOW} - off)")
@@ -335,7 +336,12 @@ def regret_rates(spark, sf):
     return s.groupBy("seed", "horizon").agg(F.sum("num").alias("numerator"), F.sum("den").alias("denominator"), r6(F.avg("m")).alias("subject_weighted"))
 
 
-@query("k10_sequence_replay", "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS mismatched FROM v_beam_best")
+view("v_stored_in", "SELECT w.clip_id, w.hop_idx, 0 AS m, w.hr, w.conf, w.ppr, w.cov, b.action AS given, 'tabled' AS family, CAST(NULL AS DOUBLE) AS top FROM v_beam_best b JOIN v_wide w ON w.clip_id = b.clip_id AND w.hop_idx = b.hop_idx")
+view("v_stored_steps", STEPS.format(given="v_stored_in", steps="v_stored_steps"))
+
+
+@query("k10_sequence_replay", """SELECT count(*) AS compared, count(*) FILTER (s.clip_id IS NULL OR b.clip_id IS NULL OR s.executed <> b.action OR abs(s.mean - b.post_belief_hr_bpm) > 1e-12) AS mismatched
+  FROM v_beam_best b FULL JOIN (SELECT * FROM v_stored_steps WHERE hop_idx >= 0) s ON s.clip_id = b.clip_id AND s.hop_idx = b.hop_idx""")
 def sequence_replay(spark, sf):
     """Replay the beam's stored actions from a fresh state and compare every hop at 1e-12."""
     hops = common.labelled_hops(spark, sf)

@@ -310,13 +310,16 @@ def worst_clips(spark, sf):
     return clips.orderBy(F.desc("mae"), "clip_id").limit((clips.count() + 9) // 10).select("clip_id", r6("mae").alias("mae_bpm"))
 
 
-@query("a20_extraction_audit", """SELECT clip_id, count(*) AS hops, sum(bad) AS invalid_values, min(hop_idx) FILTER (bad > 0) AS first_failure, CASE WHEN sum(bad) > 12 THEN 'still_failed' WHEN sum(bad) > 0 THEN 'repaired' ELSE 'clean' END AS classification
-  FROM (SELECT clip_id, hop_idx, count(*) FILTER (NOT valid) AS bad FROM v_meas GROUP BY 1, 2) GROUP BY 1""")
+@query("a20_extraction_audit", """SELECT h.*, t.trimmed_rows, CASE WHEN h.invalid_values > 0 THEN 'still_failed' WHEN t.trimmed_rows > 0 THEN 'repaired' ELSE 'clean' END AS classification FROM (
+  SELECT clip_id, count(*) AS hops, sum(bad) AS invalid_values, min(hop_idx) FILTER (bad > 0) AS first_failure FROM (SELECT clip_id, hop_idx, count(*) FILTER (NOT valid) AS bad FROM v_meas GROUP BY 1, 2) GROUP BY 1) h
+  JOIN (SELECT clip_id, count(*) - coalesce(max(CASE WHEN k >= 5 THEN frame_idx END) + 1, 0) AS trimmed_rows FROM v_frames GROUP BY 1) t USING (clip_id)""")
 def extraction_audit(spark, sf):
+    """A clip with any invalid value has failed; one that needed its tail trimmed is repaired."""
+    from windfold.plans.checks import terminal_trim
     h = roles.hops(spark, sf).select("clip_id", "hop_idx", F.size(F.filter("hr", lambda v: v.isNull())).cast("bigint").alias("bad"))
-    bad = F.sum("bad")
-    return h.groupBy("clip_id").agg(F.count(F.lit(1)).alias("hops"), bad.alias("invalid_values"), F.min(F.when(F.col("bad") > 0, F.col("hop_idx"))).alias("first_failure"),
-                                    F.when(bad > 12, "still_failed").when(bad > 0, "repaired").otherwise("clean").alias("classification"))
+    h = h.groupBy("clip_id").agg(F.count(F.lit(1)).alias("hops"), F.sum("bad").alias("invalid_values"), F.min(F.when(F.col("bad") > 0, F.col("hop_idx"))).alias("first_failure"))
+    trim = terminal_trim(spark, sf).select("clip_id", F.coalesce("trimmed_rows", "original_rows").alias("trimmed_rows"))
+    return h.join(trim, "clip_id").withColumn("classification", F.when(F.col("invalid_values") > 0, "still_failed").when(F.col("trimmed_rows") > 0, "repaired").otherwise("clean"))
 
 
 view("v_range", """SELECT m.clip_id, m.hop_idx, l.gt_hr_bpm AS gt, min(hr_bpm) AS lo, max(hr_bpm) AS hi FROM v_meas m JOIN v_labels l ON l.clip_id = m.clip_id AND l.hop_idx = m.hop_idx AND l.valid WHERE m.valid GROUP BY 1, 2, 3""")

@@ -36,6 +36,9 @@ SPLIT = T.StructType([T.StructField("subject_id", T.StringType()), T.StructField
 OBSERVATION = T.StructType(
     [T.StructField("clip_id", T.StringType()), T.StructField("hop_idx", T.LongType())] + [T.StructField(f"obs_{i:03d}", T.FloatType()) for i in range(101)]
     + [T.StructField(f"alt_err_{i:02d}", _D) for i in range(12)] + [T.StructField("executed_action", T.IntegerType()), T.StructField("gt_hr_bpm", _D)])
+# Arrays of a historical cache, its version and its rates.
+CACHE = frozenset({"hr_meas", "conf", "ppr", "cov", "gt_hr", "view", "condition", "fs", "stem", "cache_schema_version", "gt_subharmonic_labels"})
+CACHE_VERSION, CACHE_RATES = 3, (24.0, 30.0)
 INVENTORY = "files array<struct<path: string, sha256: string, size: bigint>>"
 
 
@@ -138,20 +141,39 @@ def load_tables(spark: SparkSession, root: str, names: Sequence[str] = ("clips",
     return {n: spark.read.parquet(f"{root}/{n}") for n in names}
 
 
+def _cache_fault(z) -> str | None:
+    """The first rule that an opened cache breaks."""
+    if set(z.files) != CACHE:
+        return f"arrays {sorted(set(z.files) ^ CACHE)} are missing or not known"
+    names = ("stem", "view", "condition", "fs", "cache_schema_version", "gt_subharmonic_labels")
+    if any(z[n].ndim for n in names):
+        return "metadata is not scalar"
+    if not all(isinstance(z[n].item(), str) and z[n].item() for n in names[:3]):
+        return "names are empty or no text"
+    if int(z["cache_schema_version"]) != CACHE_VERSION or bool(z["gt_subharmonic_labels"]) or float(z["fs"]) not in CACHE_RATES:
+        return "version, label rule or rate"
+    hr, shape = z["hr_meas"], (len(z["hr_meas"]) if z["hr_meas"].ndim else 0, len(ROIS))
+    if hr.shape != shape or z["gt_hr"].shape != shape[:1] or any(z[a].shape != shape for a in ("conf", "ppr", "cov")):
+        return "arrays do not align"
+    if np.isinf(hr).any() or not all(np.isfinite(z[a]).all() for a in ("gt_hr", "conf", "ppr", "cov")):
+        return "values are not finite"
+    if (z["conf"] < 0).any() or (np.isnan(hr) & (z["conf"] > 0)).any():
+        return "confidence without a rate, or negative"
+    return None
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Historical NPZ caches to hop rows, one file at a time inside the tasks."""
+    """Historical NPZ caches to hop rows, one file at a time inside the tasks; a file that breaks a rule fails the job."""
     schema = "clip_id string, fs double, hop_idx bigint, hr array<double>, confidence array<double>, ppr array<double>, coverage array<double>, gt_hr_bpm double"
 
     def load(frames):
         for frame in frames:
             for content in frame["content"]:
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    need = {"stem", "fs", "hr_meas", "conf", "ppr", "cov", "gt_hr"}
-                    if not need <= set(z.files):
-                        raise ConstraintError(f"cache misses arrays {sorted(need - set(z.files))}")
+                    fault = _cache_fault(z)
+                    if fault:
+                        raise ConstraintError(f"cache: {fault}")
                     n = len(z["gt_hr"])
-                    if any(z[a].shape != (n, len(ROIS)) for a in ("hr_meas", "conf", "ppr", "cov")):
-                        raise ConstraintError("cache arrays do not align")
                     yield pd.DataFrame({"clip_id": str(z["stem"]), "fs": float(z["fs"]), "hop_idx": np.arange(n), "hr": list(z["hr_meas"]), "confidence": list(z["conf"]),
                                         "ppr": list(z["ppr"]), "coverage": list(z["cov"]), "gt_hr_bpm": z["gt_hr"]})
 
