@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from windfold.plans import branching, checks, replays, resampling, scores, screens, signals, sqlviews, streams, strict  # noqa: F401
+from windfold.plans import anchors, branching, checks, replays, resampling, scores, screens, signals, sqlviews, streams, strict  # noqa: F401
 from windfold.session import ship
 from windfold.plans.registry import ORACLES, QUERIES, full_sql
 
