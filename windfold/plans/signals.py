@@ -17,7 +17,7 @@ from windfold.sources import roles
 FPS, SIZE, STEP, HALF = 2.0, 16, 2, 8
 BAND = (0.1, 0.8)
 SUB = 4
-NFFT = 64
+NFFT = sg.MIN_FFT
 
 
 @roles.reuse_plan
@@ -103,7 +103,7 @@ view("v_natural", density_sql(SIZE))
 @query("g03_dominant_frequency", """SELECT p.clip_id, p.hop_idx, round(p.rate, 6) AS rate, round(n.ratio, 6) AS ratio FROM (SELECT clip_id, hop_idx, arg_max(freq, power) * 60 AS rate FROM v_padded GROUP BY 1, 2) p
   JOIN (SELECT clip_id, hop_idx, max(power) / sum(power) AS ratio FROM v_natural GROUP BY 1, 2) n ON n.clip_id = p.clip_id AND n.hop_idx = p.hop_idx""")
 def dominant(spark, sf):
-    d = sg.dominant_frequency(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, SIZE, STEP, min_fft=NFFT)
+    d = sg.dominant_frequency(frames(spark, sf), ["clip_id"], "frame_idx", "value", FPS, BAND, SIZE, STEP)
     return d.select("clip_id", "hop_idx", r6("rate").alias("rate"), r6("ratio").alias("ratio"))
 
 

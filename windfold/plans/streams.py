@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from windfold.functions.columns import r6
 from windfold.plans import common
-from windfold.plans.registry import query
+from windfold.plans.registry import query, view
 from windfold.plans.scores import CH
 from windfold.sources import roles
 from windfold.streaming import live
-from windfold.streaming.run import latest, read_table_stream, run_available
+from windfold.streaming.run import latest, read_table_stream, run_available, run_deliveries
 
 
 def sample_stream(spark, sf):
@@ -53,6 +53,71 @@ def running_error(spark, sf):
     return live.running_mae(out).select("method_id", "clip_id", r6("mae_bpm").alias("mae_bpm"), "hop_count")
 
 
+# --- several deliveries ---------------------------------------------------------------------
+# A sample with k of 90 and more arrives (k - 89) * 12 hours after its time; a delivery has ten days.
+
+
+def arrivals(spark, sf):
+    """Samples with arrival time and delivery."""
+    e = roles.samples(spark, sf).withColumn("arrival", F.expr("ts + make_dt_interval(0, if(k >= 90, (k - 89) * 12, 0))"))
+    return e.select("clip_id", "event_id", "roi_index", "value", "k", F.col("ts").cast("timestamp").alias("ts"), F.expr("unix_micros(cast(arrival AS timestamp))").alias("arrival"),
+                    F.floor(F.datediff("arrival", F.lit("1970-01-01").cast("date")) / 10).cast("int").alias("delivery"))
+
+
+view("v_arrivals", """SELECT *, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(arrival AS DATE)) / 10) AS INTEGER) AS delivery FROM (SELECT *, ts + to_hours(CAST(CASE WHEN k >= 90 THEN (k - 89) * 12 ELSE 0 END AS INTEGER)) AS arrival FROM v_samples)""")
+view("v_marks", """SELECT delivery, max(date_trunc('milliseconds', top)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM (SELECT delivery, max(ts) AS top FROM v_arrivals GROUP BY 1)""")
+
+
+@query("st1_late_arrivals", """SELECT clip_id, date_trunc('hour', ts) - to_hours(CAST(o.range AS INTEGER)) AS window_start, count(*) FILTER (NOT late) AS samples, count(*) FILTER (late) AS late_samples,
+  round(sum(k) FILTER (NOT late) / (100.0::DOUBLE * count(*) FILTER (NOT late)), 6) AS coverage FROM (SELECT a.*, o.range, m.mark IS NOT NULL AND date_trunc('hour', ts) - to_hours(CAST(o.range AS INTEGER)) + INTERVAL 8 HOUR <= m.mark AS late
+    FROM v_arrivals a JOIN v_marks m USING (delivery) CROSS JOIN range(8) o) o GROUP BY 1, 2""")
+def late_arrivals(spark, sf):
+    """Sliding windows over late deliveries: what the stream took, and how many samples came behind the watermark."""
+    a = arrivals(spark, sf).select("clip_id", "ts", (F.col("k") / 100).alias("coverage"), "delivery")
+    out = run_deliveries(spark, {"samples": a}, lambda s: live.sliding_hops(s["samples"], "8 hours", "1 hour", "1 day"), "update")
+    taken = latest(out, ["clip_id", "start", "end"]).select("clip_id", "start", "samples", "coverage")
+    every = a.groupBy("clip_id", F.window("ts", "8 hours", "1 hour")).agg(F.count(F.lit(1)).alias("all_samples")).select("clip_id", F.col("window.start").alias("start"), "all_samples")
+    taken_samples = F.coalesce("samples", F.lit(0))
+    return every.join(taken, ["clip_id", "start"], "left").select(
+        "clip_id", F.col("start").cast("timestamp_ntz").alias("window_start"), taken_samples.alias("samples"), (F.col("all_samples") - taken_samples).alias("late_samples"), r6("coverage").alias("coverage"))
+
+
+@query("st3_deliveries", """SELECT clip_id, count(*) AS rows_seen, count(*) FILTER (frame_idx = top) AS duplicates, count(*) FILTER (frame_idx < top) AS out_of_order,
+  CAST(coalesce(sum(frame_idx - top - 1) FILTER (frame_idx > top), 0) AS BIGINT) AS gaps, max(frame_idx) AS last_index
+  FROM (SELECT clip_id, frame_idx, coalesce(max(frame_idx) OVER (PARTITION BY clip_id ORDER BY arrival, copy, frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top
+    FROM (SELECT clip_id, event_id AS frame_idx, arrival, unnest(CASE WHEN k % 10 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM v_arrivals)) GROUP BY 1""")
+def deliveries(spark, sf):
+    """Indexes in order of arrival; a sample with k divisible by ten is sent twice, a microsecond apart."""
+    a = arrivals(spark, sf).withColumn("copy", F.explode(F.expr("if(k % 10 = 0, array(0, 1), array(0))")))
+    s = a.select("clip_id", F.col("event_id").alias("frame_idx"), (F.col("arrival") + F.col("copy")).alias("arrival"), "delivery")
+    out = run_deliveries(spark, {"samples": s}, lambda t: live.monitor(t["samples"]), "update")
+    return latest(out, ["clip_id"]).withColumnRenamed("rows", "rows_seen")
+
+
+view("v_label_marks", """SELECT delivery, max(date_trunc('milliseconds', top)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM (
+  SELECT l.delivery, least(p.top, l.top) AS top FROM (SELECT delivery, max(ts) AS top FROM v_arrivals GROUP BY 1) l
+  LEFT JOIN (SELECT CAST(floor(day / 10) AS INTEGER) AS delivery, max(ts) AS top FROM v_samples GROUP BY 1) p ON p.delivery = l.delivery)""")
+
+
+@query("st4_window_error", """SELECT CAST(roi_index AS VARCHAR) AS method_id, clip_id, date_trunc('day', ts) AS window_start, round(avg(abs(value - CAST(k AS DOUBLE))) FILTER (NOT late), 6) AS mae_bpm, count(*) FILTER (NOT late) AS hop_count, count(*) FILTER (late) AS late_labels
+  FROM (SELECT a.*, m.mark IS NOT NULL AND a.ts <= m.mark AS late FROM v_arrivals a JOIN v_label_marks m USING (delivery)) GROUP BY 1, 2, 3""")
+def window_error(spark, sf):
+    """Hops come in time, labels late; the last delivery is a heartbeat of both that closes every window."""
+    a = arrivals(spark, sf)
+    on_time = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / 10).cast("int")
+    p = a.select(F.col("roi_index").cast("string").alias("method_id"), "clip_id", F.col("event_id").alias("hop_idx"), F.col("value").alias("predicted"), "ts", on_time.alias("delivery"))
+    l = a.select("clip_id", F.col("event_id").alias("hop_idx"), F.col("k").cast("double").alias("gt_hr_bpm"), F.col("ts").alias("label_ts"), "delivery")
+    beat = a.agg(F.max("ts").alias("ts"), F.max("delivery").alias("delivery")).where("ts IS NOT NULL").select((F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), (F.col("delivery") + 1).alias("delivery"))
+    # their keys are not null, as the join would take such rows away before the watermark, and never meet
+    p = p.unionByName(beat.selectExpr("*", "-1L AS clip_id", "-1L AS hop_idx"), allowMissingColumns=True)
+    l = l.unionByName(beat.selectExpr("ts AS label_ts", "delivery", "-1L AS clip_id", "-2L AS hop_idx"), allowMissingColumns=True)
+    out = run_deliveries(spark, {"hops": p, "labels": l}, lambda s: live.live_window_errors(s["hops"], s["labels"], "1 day", "1 day"), "append")
+    every = a.groupBy(F.col("roi_index").cast("string").alias("method_id"), "clip_id", F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("all_hops")).select("method_id", "clip_id", F.col("window.start").alias("start"), "all_hops")
+    joined = F.coalesce("hop_count", F.lit(0))
+    return every.join(out.drop("batch_id"), ["method_id", "clip_id", "start"], "left").select(
+        "method_id", "clip_id", F.col("start").cast("timestamp_ntz").alias("window_start"), r6("mae_bpm").alias("mae_bpm"), joined.alias("hop_count"), (F.col("all_hops") - joined).alias("late_labels"))
+
+
 # --- source-shaped tables over the role data ------------------------------------------------
 
 

@@ -94,8 +94,8 @@ class IndexMonitor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, dup, back, gaps, last = self.state.get() if self.state.exists() else (0, 0, 0, 0, -1)
-        # a key's rows come in several frames; arrival orders all of them
-        batch = pd.concat([f[["arrival", "frame_idx"]] for f in rows]).sort_values("arrival", kind="stable")
+        # a key's rows come in several frames; arrival orders all of them, the index breaks ties
+        batch = pd.concat([f[["arrival", "frame_idx"]] for f in rows]).sort_values(["arrival", "frame_idx"])
         seen = batch["frame_idx"].to_numpy()
         highest = np.maximum.accumulate(np.append(last, seen))
         ahead = seen - highest[:-1]
@@ -127,5 +127,17 @@ def live_errors(predictions: DataFrame, labels: DataFrame, late: str = "10 minut
     return p.join(l, on).select("p.method_id", "p.clip_id", "p.hop_idx", F.abs(F.col("p.predicted") - F.col("l.gt_hr_bpm")).alias("abs_error_bpm"))
 
 
+def live_window_errors(predictions: DataFrame, labels: DataFrame, window: str, late: str = "10 minutes") -> DataFrame:
+    """Mean absolute error by method, clip and time window: the join of two streams
+    and the mean over it are one query.  A window is emitted once, when both
+    watermarks have passed its end; a label behind the watermark finds no hop."""
+    p = predictions.withWatermark("ts", late).alias("p")
+    l = labels.withWatermark("label_ts", late).alias("l")
+    on = F.expr("p.clip_id = l.clip_id AND p.hop_idx = l.hop_idx AND l.label_ts >= p.ts - INTERVAL 10 MINUTES AND l.label_ts <= p.ts + INTERVAL 10 MINUTES")
+    errors = p.join(l, on).select("p.method_id", "p.clip_id", "p.ts", F.abs(F.col("p.predicted") - F.col("l.gt_hr_bpm")).alias("abs_error_bpm"))
+    return (errors.groupBy("method_id", "clip_id", F.window("ts", window)).agg(F.avg("abs_error_bpm").alias("mae_bpm"), F.count(F.lit(1)).alias("hop_count"))
+            .select("method_id", "clip_id", F.col("window.start").alias("start"), "mae_bpm", "hop_count"))
+
+
 def running_mae(errors: DataFrame) -> DataFrame:
     return errors.groupBy("method_id", "clip_id").agg(F.avg("abs_error_bpm").alias("mae_bpm"), F.count(F.lit(1)).alias("hop_count"))

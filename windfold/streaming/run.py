@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,47 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> Da
     Batches are written as Parquet below the shared checkpoint folder, under a
     fresh name, so no result passes through the driver.
     """
-    spark = stream.sparkSession
-    root = f"{folder or checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = _fresh(stream.sparkSession, folder)
+    _drain(stream, mode, root)
+    return _emitted(stream, root)
+
 
+def run_deliveries(spark: SparkSession, tables: Mapping[str, DataFrame], build: Callable[[Mapping[str, DataFrame]], DataFrame], mode: str,
+                   by: str = "delivery", folder: str | None = None) -> DataFrame:
+    """Deliver the rows of ``tables`` in the order of their column ``by`` and return what the query emits.
+
+    ``build`` makes one streaming query of the tables' streams.  After each
+    delivery the query is started anew from its checkpoint, takes what is there,
+    moves its watermark and stops: rows of delivery ``d`` meet the watermark of
+    all deliveries before it, state lives in the shared folder between them.
+    Each table is written once, partitioned by delivery; a delivery then reads
+    its own partition only.  The driver sees the different values of ``by``.
+    """
+    root = _fresh(spark, folder)
+    staged, values = {}, set()
+    for name, df in tables.items():
+        df.write.partitionBy(by).parquet(f"{root}/staged/{name}")
+        staged[name] = spark.read.schema(df.schema).parquet(f"{root}/staged/{name}")
+        values |= {r[0] for r in staged[name].select(by).distinct().collect()}
+        df.limit(0).drop(by).write.parquet(f"{root}/in/{name}")
+    streams = {name: spark.readStream.schema(df.drop(by).schema).parquet(f"{root}/in/{name}") for name, df in staged.items()}
+    query = build(streams)
+    for value in sorted(values):
+        for name, df in staged.items():
+            df.where(F.col(by) == value).drop(by).write.mode("append").parquet(f"{root}/in/{name}")
+        _drain(query, mode, root)
+    return _emitted(query, root)
+
+
+def _fresh(spark: SparkSession, folder: str | None) -> str:
+    return f"{folder or checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _drain(stream: DataFrame, mode: str, root: str) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
+    spark = stream.sparkSession
     before = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKSDB)
     try:
@@ -36,7 +71,10 @@ def run_available(stream: DataFrame, mode: str, folder: str | None = None) -> Da
             spark.conf.unset(STORE)
         else:
             spark.conf.set(STORE, before)
-    return spark.read.schema(_with_batch(stream)).parquet(f"{root}/out")
+
+
+def _emitted(stream: DataFrame, root: str) -> DataFrame:
+    return stream.sparkSession.read.schema(_with_batch(stream)).parquet(f"{root}/out")
 
 
 def _with_batch(stream: DataFrame):
