@@ -103,3 +103,23 @@ def test_observation_shards(spark, tmp_path):
         (d / "obs.csv").write_text(",".join(sn.OBSERVATION.names) + "\n" + ",".join([f"c{i}", "0"] + ["0.5"] * 101 + ["1.0"] * 12 + ["3", "70.0"]) + "\n")
     rows = sn.read_observations(spark, str(tmp_path / "shard-*" / "*.csv")).collect()
     assert len(rows) == 2 and len(rows[0].obs) == 101 and len(rows[0].errors) == 12
+
+
+def test_subsets_are_pruned_and_layouts_join_without_exchange(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id % 30 AS clip_id", "cast(id % 3 AS int) AS seed", "id AS hop_idx", "cast(id % 5 AS int) AS executed_action")
+    index = sn.write_subsets(rows, str(tmp_path / "s"), parts=4)
+    assert index.count() == 30 and sum(r.rows for r in index.collect()) == 600
+    wanted = spark.range(30).where("id > 3 AND id < 6").selectExpr("id AS clip_id", "cast(id % 3 AS int) AS seed")
+    back = sn.read_subsets(spark, str(tmp_path / "s"), wanted, rows.schema)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert sorted(tuple(r) for r in back.select(*rows.columns).collect()) == sorted(tuple(r) for r in rows.where("clip_id IN (4, 5)").collect())
+    empty = sn.write_subsets(rows.where("hop_idx < 0"), str(tmp_path / "e"))
+    assert empty.count() == 0
+    keys = ["clip_id", "hop_idx"]
+    a = sn.write_bucketed(rows, str(tmp_path / "a"), keys, 4)
+    b = sn.write_bucketed(rows.selectExpr(*keys, "hop_idx * 2 AS twice"), str(tmp_path / "b"), keys, 4)
+    joined = a.join(b.hint("merge"), keys)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 600 and joined.where("twice <> hop_idx * 2").count() == 0

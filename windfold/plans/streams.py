@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from windfold.functions.columns import r6
 from windfold.plans import common
 from windfold.plans.registry import query, view
 from windfold.plans.scores import CH
-from windfold.sources import roles
+from windfold.session import checkpoint_dir
+from windfold.sources import roles, sensor
 from windfold.streaming import live
 from windfold.streaming.run import latest, read_table_stream, run_available, run_deliveries
 
@@ -27,8 +30,6 @@ def sliding(spark, sf):
 @query("st2_live_belief")
 def belief(spark, sf):
     """Hop rows replayed as a stream; the table is written once and then followed."""
-    from windfold.session import checkpoint_dir
-    import uuid
     folder = f"{checkpoint_dir(spark)}/hops-{uuid.uuid4().hex}"
     h = roles.policy_inputs(roles.hops(spark, sf)).select("clip_id", "hop_idx", "hr", "confidence", F.col("policy_0").alias("proposed_action"))
     h.write.parquet(folder)
@@ -132,6 +133,35 @@ def task_index(spark, sf):
     return r.groupBy("clip_id", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("hop_idx").alias("first_hop"), F.max("hop_idx").alias("last_hop"))
 
 
+def scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s11_subset_read_back", """SELECT r.clip_id, r.seed, count(*) AS n, min(hop_idx) AS first_hop, max(hop_idx) AS last_hop, CAST(sum(hop_idx * 31 + executed_action) AS BIGINT) AS digest, true AS as_indexed
+  FROM v_replay r JOIN v_clips c ON c.clip_id = r.clip_id WHERE r.family = 'tabled' AND r.seed <> 1 AND c.c_acctbal > 5000 GROUP BY 1, 2""")
+def subset_read_back(spark, sf):
+    """Tabled rows laid out by (seed, part), then the subsets of some clips and two seeds read back and held against the index."""
+    root = scratch(spark, "subsets")
+    rows = common.replayed(spark, sf, [f"tabled_seed{s}" for s in roles.RANDOM_SEEDS]).select("clip_id", "seed", "hop_idx", "executed_action", "post_belief_hr_bpm")
+    index = sensor.write_subsets(rows, root)
+    wanted = roles.clips(spark, sf).where("c_acctbal > 5000").select("clip_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("seed"))
+    found = sensor.subset_digest(sensor.read_subsets(spark, root, wanted, rows.schema), "clip_id", "seed").withColumnRenamed("rows", "n")
+    same = F.expr("n = rows AND found.first_hop = listed.first_hop AND found.last_hop = listed.last_hop AND found.digest = listed.digest")
+    return found.alias("found").join(index.alias("listed"), ["clip_id", "seed"], "left").select("clip_id", "seed", "n", "found.first_hop", "found.last_hop", "found.digest", F.coalesce(same, F.lit(False)).alias("as_indexed"))
+
+
+@query("s13_one_layout", """SELECT seed, count(*) AS n, round(avg(abs_error_bpm), 6) AS mae_bpm, round(max(abs_error_bpm), 6) AS worst FROM v_scored WHERE family = 'tabled' GROUP BY 1""")
+def one_layout(spark, sf):
+    """Rows and labels written in one bucket layout by (clip, hop) and joined without a shuffle."""
+    rows = common.replayed(spark, sf, [f"tabled_seed{s}" for s in roles.RANDOM_SEEDS]).select("clip_id", "seed", "hop_idx", "post_belief_hr_bpm")
+    truth = roles.labels(spark, sf).where("valid").select("clip_id", "hop_idx", "gt_hr_bpm")
+    keys, buckets = ["clip_id", "hop_idx"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid, known = (sensor.write_bucketed(df, scratch(spark, "layout"), keys, buckets) for df in (rows, truth))
+    error = F.abs(F.col("post_belief_hr_bpm") - F.col("gt_hr_bpm"))
+    # the merge hint keeps a small label table from being broadcast: the layout makes the join free of exchanges
+    return laid.join(known.hint("merge"), keys).groupBy("seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(error)).alias("mae_bpm"), r6(F.max(error)).alias("worst"))
+
+
 @query("s15_wide_diagnostics", "SELECT clip_id, hop_idx, " + ", ".join(f"round(max(hr_bpm) FILTER (roi_index = {i}), 6) AS roi_{i}" for i in range(CH)) + " FROM v_meas GROUP BY 1, 2")
 def wide_diagnostics(spark, sf):
     p = roles.measurements(spark, sf).groupBy("clip_id", "hop_idx").pivot("roi_index", list(range(CH))).agg(F.first("hr_bpm", ignorenulls=True))

@@ -7,6 +7,7 @@ the declaration, malformed rows fail the read.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -218,6 +219,45 @@ def read_task_subset(spark: SparkSession, root: str, clip_id: str, seed: int) ->
     return spark.read.parquet(root).where((F.col("clip_id") == clip_id) & (F.col("seed") == seed))
 
 
+def write_subsets(rows: DataFrame, root: str, parts: int = 64) -> DataFrame:
+    """Lay replay rows out by (seed, part of the clips) with an index of every (clip, seed) beside them; return the index.
+
+    The number of folders is ``parts`` for each seed, whatever the number of
+    clips; raise it with the table.  AQE's rebalance splits a part that is far
+    larger than the others.  The index has a digest of hops and actions.
+    """
+    schema = T.StructType([f for f in rows.schema if f.name not in ("seed", "part")] + [T.StructField("seed", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    laid = rows.withColumn("seed", F.col("seed").cast("int")).withColumn("part", F.pmod(F.xxhash64("clip_id"), F.lit(parts)).cast("int"))
+    laid.select(*schema.names).hint("rebalance", "seed", "part").write.mode("errorifexists").partitionBy("seed", "part").parquet(f"{root}/rows")
+    back = rows.sparkSession.read.schema(schema).parquet(f"{root}/rows")
+    subset_digest(back, "seed", "part", "clip_id").write.mode("errorifexists").parquet(f"{root}/index")
+    return rows.sparkSession.read.parquet(f"{root}/index")
+
+
+def subset_digest(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("hop_idx").alias("first_hop"), F.max("hop_idx").alias("last_hop"),
+                                   F.sum(F.col("hop_idx") * 31 + F.col("executed_action")).alias("digest"))
+
+
+def read_subsets(spark: SparkSession, root: str, wanted: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the (clip, seed) pairs in ``wanted``.  The index names their folders; a
+    selective ``wanted`` prunes the others while the query runs."""
+    laid = T.StructType([f for f in schema if f.name not in ("seed", "part")] + [T.StructField("seed", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    index = spark.read.parquet(f"{root}/index").join(wanted.select("clip_id", F.col("seed").cast("int")).distinct(), ["clip_id", "seed"]).select("seed", "part", "clip_id")
+    return spark.read.schema(laid).parquet(f"{root}/rows").join(index, ["seed", "part", "clip_id"]).drop("part")
+
+
+def write_bucketed(df: DataFrame, root: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` in sorted buckets of ``keys`` and return it as a table of that layout.
+
+    Two tables with one layout join on ``keys`` without a shuffle.  Name keys
+    that spread a large clip, such as (clip, hop).
+    """
+    spark, name = df.sparkSession, f"layout_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys).option("path", root).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_rows(df: DataFrame, root: str, by: str = "method_id") -> None:
     df.write.mode("errorifexists").partitionBy(by).parquet(root)
 
