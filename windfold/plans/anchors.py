@@ -52,18 +52,11 @@ view("v_anchor_rows", f"""SELECT e.seed, e.clip_id, e.anchor, CAST(e.eligible AS
 
 
 def anchor_rows(spark, sf):
-    """One row per (seed, clip, anchor); an anchor is left out of the analysis when a free hop of its window has no branches.
-
-    Branches and factual windows are made once, in the shared folder.
-    """
-    branches, factual = cut_lineage(br.branch_errors(spark, sf)), cut_lineage(br.factual_windows(spark, sf))
-    immediate = branches.groupBy(*KEYS).agg(F.min(F.struct(F.element_at("berrors", 1).alias("error"), "branch_action")).alias("i"))
-    single = br.singles(spark, sf, branches, factual).select(*KEYS, F.col("best").alias("b"), F.col("same").alias("s"))
-    many = br.surviving(spark, sf).where(F.size(F.filter("corrected", lambda c: c)) >= 2)
-    repeated = many.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("total", F.element_at("errors", -1).alias("endpoint"), "seq", "errors", "corrected", "policy")).alias("r"))
-    j = factual.join(immediate, KEYS, "left").join(single, KEYS, "left").join(repeated, KEYS, "left")
+    """One row per (seed, clip, anchor); an anchor is left out of the analysis when a free hop of its window has no branches."""
+    single = br.singles(spark, sf).withColumnsRenamed({"best": "b", "same": "s", "immediate": "i"})
+    j = single.join(br.repeated_best(spark, sf), KEYS, "left")
     j = j.withColumn("eligible", F.expr(f"NOT exists(transform(ffree, (v, o) -> v AND last + 1 - (anchor + o) < {W}), x -> x)"))
-    j = j.withColumns({c: F.when(F.col("eligible"), F.col(c)) for c in "ibsr"}).withColumn("ft", F.expr(br.ADD.format("ferrors")))
+    j = j.withColumns({c: F.when(F.col("eligible"), F.col(c)) for c in "ibsr"}).withColumnRenamed("factual_total", "ft")
     j = j.withColumn("offs", F.expr(f"filter(sequence(0, {W - 1}), o -> element_at(r.corrected, o + 1))")).withColumn("gains", F.zip_with("ferrors", "r.errors", lambda a, b: a - b))
     j = j.withColumn("changes", F.expr(f"size(filter(sequence(0, {W - 1}), o -> o > get(offs, 0) AND element_at(r.policy, o + 1) <> element_at(fproposed, o + 1)))"))
     flag = lambda text: F.expr(f"CAST({text} AS INT)")
