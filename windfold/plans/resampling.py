@@ -59,7 +59,7 @@ view("v_reg_no", "SELECT subject_id, row_number() OVER (ORDER BY md5(subject_id)
   JOIN (SELECT seed, avg(m) AS point FROM v_reg_subject GROUP BY 1) USING (seed) GROUP BY 1""")
 def subject_means(spark, sf):
     g = regrets(spark, sf).where(f"horizon = {HORIZON}").groupBy("seed", "clip_id").agg(F.avg(F.col("factual_error") - F.col("best_error")).alias("m"))
-    s = g.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("seed", "subject_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("clips"))
+    s = cut_lineage(g.join(roles.clips(spark, sf).select("clip_id", "subject_id"), "clip_id").groupBy("seed", "subject_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("clips")))
     i = rs.sorted_interval(rs.bootstrap(s, R, rs.SEED, "equal_subject", methods=["seed"]), ["seed"], "estimate", R)
     point = s.groupBy("seed").agg(r6(F.avg(F.col("total") / F.col("clips"))).alias("point_estimate"))
     return point.join(i, "seed").select("seed", "point_estimate", r6("lower").alias("lower"), r6("upper").alias("upper"))
