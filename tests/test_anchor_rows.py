@@ -56,3 +56,14 @@ def test_repeated_entries_with_zeros_and_colliding_hashes(monkeypatch):
     # one hash for all entries: unequal ones meet, and values decide
     monkeypatch.setattr(se, "MIXER", np.uint64(0))
     assert (se._repeated([floats, whole], real) == want).all()
+
+
+def test_shuffle_control_copies_rows_after_their_exchange(spark):
+    hops = sum(r.n for r in entry.queries()["b12_subject_folds"](spark, SF).collect())
+    rows, moved = shuffled_rows(spark, lambda: entry.queries()["b10_shuffle_control"](spark, SF))
+    assert rows == 20 and moved < 20 * hops
+
+
+def test_shuffled_targets_replay_once(spark):
+    plan = entry.queries()["b11_shuffled_targets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Relation" not in plan
