@@ -168,8 +168,7 @@ REPEATS = 20
   WINDOW w AS (PARTITION BY repeat, clip_id ORDER BY d, hop_idx)) WHERE pb IS NOT NULL GROUP BY 1""")
 def shuffle_control(spark, sf):
     """Shuffled neighbours, all of them (faithful) and only those one hop apart (matched)."""
-    s = sn.shuffled(vectors(spark, sf).select("clip_id", "hop_idx", "best"), REPEATS, rs.SEED)
-    p = sn.neighbour(s, ["repeat", "clip_id"], "position", ["best", "hop_idx"]).where("prev_best IS NOT NULL")
+    p = sn.shuffled_pairs(vectors(spark, sf).select("clip_id", "hop_idx", "best"), REPEATS, rs.SEED, ["best", "hop_idx"]).where("prev_best IS NOT NULL")
     same = (F.col("best") == F.col("prev_best")).cast("double")
     return p.groupBy(F.col("repeat").cast("bigint").alias("repeat")).agg(r6(F.avg(same)).alias("agreement"), r6(F.avg(F.when(F.abs(F.col("hop_idx") - F.col("prev_hop_idx")) == 1, same))).alias("matched_agreement"), F.count(F.lit(1)).alias("pairs"))
 
@@ -196,7 +195,8 @@ def folds(spark, sf):
   x AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY a, clip_id, hop_idx) AS na, row_number() OVER (PARTITION BY view ORDER BY b, clip_id, hop_idx) AS nb FROM d)
   SELECT p.clip_id, p.hop_idx, p.best, q.best AS shuffled_best FROM x p JOIN x q ON q.view = p.view AND q.nb = p.na""")
 def shuffled_targets(spark, sf):
-    v = vectors(spark, sf).join(roles.clips(spark, sf).select("clip_id", "view"), "clip_id")
+    """Rows are numbered as takers and as donors, and counted for both; they are made once, in the shared folder."""
+    v = cut_lineage(vectors(spark, sf).select("clip_id", "hop_idx", "best").join(roles.clips(spark, sf).select("clip_id", "view"), "clip_id"))
     return sn.permute_within(v, "view", ["clip_id", "hop_idx"], ["best"], rs.SEED).select("clip_id", "hop_idx", "best", "shuffled_best")
 
 
