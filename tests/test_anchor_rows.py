@@ -67,3 +67,20 @@ def test_shuffle_control_copies_rows_after_their_exchange(spark):
 def test_shuffled_targets_replay_once(spark):
     plan = entry.queries()["b11_shuffled_targets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan and "Relation" not in plan
+
+
+def test_rows_are_placed_by_whole_columns():
+    from windfold.operators import boosting as bo
+    g = np.random.default_rng(4)
+    x = g.integers(0, 255, (3, 500)).astype(np.uint8)
+    for depth in (1, 3, 8):
+        tree = bo.Tree.start(depth)
+        tree.feature[:] = np.where(np.arange(len(tree.feature)) < 2**depth - 1, g.integers(-1, 3, len(tree.feature)), -1)
+        tree.bin[:] = g.integers(0, 254, len(tree.bin))
+        want = []
+        for row in x.T:
+            node = 0
+            while tree.feature[node] >= 0:
+                node = 2 * node + 1 + int(row[tree.feature[node]] > tree.bin[node])
+            want.append(node)
+        assert tree.place(x).tolist() == want
