@@ -191,6 +191,25 @@ def test_jaccard(spark, monkeypatch):
         assert sorted((repr(r.doc_id) for r in kept.collect())) == sorted(repr(i) for i, _, root in brute.jaccard(rows, 5, 80) if i == root) and kept.columns == df.columns
 
 
+def test_documents_stay_where_they_are(spark):
+    df = frame(spark, [(k, f"a b c d e f g h {k // 2} {'x ' * (k // 2)}") for k in range(40)])
+    kept = jaccard_join.one_of_each(df, n=2, similarity=(80, 100))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, root in brute.jaccard([(r.doc_id, r.text) for r in df.collect()], 2, 80) if i == root}
+
+
+def test_sets_of_large_families_are_sent_once(spark, monkeypatch):
+    sent = []
+    blocked = jaccard_join.occ.blocked
+    monkeypatch.setattr(jaccard_join.occ, "blocked", lambda df, blocks: sent.append(df.columns) or blocked(df, blocks))
+    rows = [(k, " ".join(f"s{j}" for j in range(90) if j // 3 != k % 30)) for k in range(60)]
+    rows += rows[:5]
+    out = jaccard_join.similar_documents(frame(spark, rows), n=1, similarity=(85, 100), family=6).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in out), key=repr) == brute.jaccard(rows, 1)
+    assert sent == [["_id", "size"]]
+
+
 def test_light_sets_alone(spark):
     r = random.Random(9)
     base = [[f"w{r.randrange(40)}" for _ in range(r.randrange(6, 22))] for _ in range(30)]

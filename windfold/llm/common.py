@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windfold.session import cut_lineage, ship
+from windfold.session import checkpoint_dir, cut_lineage, ship
 
 #: A null id counts as this one inside an operator and is null again in its result.
 NULL_ID = -(2**63)
@@ -32,6 +33,13 @@ def settled(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: of files the planner knows the size, of a checkpoint it does not."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 

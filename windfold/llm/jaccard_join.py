@@ -450,18 +450,36 @@ def _either(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([occ.squeezed(both)], pa.binary())], names=["chunk", "bits"])
 
 
+def _filter_of(ids: DataFrame):
+    """Broadcast bits of the one long column of ``ids``, of fixed size: each of its numbers passes, and few others."""
+    bits = np.zeros(FILTER // 8, np.uint8).reshape(64, -1)
+    for r in ids.mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInArrow(_either, "chunk int, bits binary").collect():
+        bits[r["chunk"]] = occ.unsqueezed(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _passing(wanted):
+    """Rows whose first column passes the filter."""
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_bit(batch.column(0).to_numpy())])) if batch.num_rows else batch
+
+    return passing
+
+
 def _elements(n: int, wanted):
-    """``_id, cls, elements`` of the rows whose identifier passes the filter."""
+    """``_id, cls, size, elements`` of the rows whose identifier passes the filter."""
+    passing = _passing(wanted)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for batch in batches:
-            pick = batch.filter(pa.array(np.unpackbits(bits).view(bool)[_bit(batch.column(0).to_numpy())])) if batch.num_rows else batch
+        for pick in passing(batches):
             for lo, hi, data, offs in c.slices(pick.column(1)):
                 keys, at, _ = _sets(n, data, offs)
                 names, keys = _class_of(keys, at), keys >> np.uint64(16)
                 blobs = [occ.planes(keys[at[k] : at[k + 1]]) for k in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(names), pa.array(blobs, pa.binary())], names=["_id", "cls", "elements"])
+                yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(names), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], names=["_id", "cls", "size", "elements"])
 
     return elements
 
@@ -497,26 +515,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     large = members.groupBy("fam").agg(F.count("*").alias("m")).where(F.col("m") > family)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # a filter of fixed size keeps most other sets off the shuffle; what it lets pass wrongly finds no member in the join
-    bits = np.zeros(FILTER // 8, np.uint8).reshape(64, -1)
-    for r in members.select("rep").mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInArrow(_either, "chunk int, bits binary").collect():
-        bits[r["chunk"]] = occ.unsqueezed(bytes(r["bits"]), np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.ravel())
-
     def sets_of(some: DataFrame) -> DataFrame:
-        sets = rows.mapInArrow(_elements(n, wanted), "_id long, cls long, elements binary")
-        return sets.join(some.withColumnRenamed("rep", "_id"), ["_id", "cls"]).select("fam", "cls", "elements")
+        # a filter of fixed size keeps most other sets off the shuffle; what it lets pass wrongly finds no member in the join
+        sets = rows.mapInArrow(_elements(n, _filter_of(some.select("rep"))), "_id long, cls long, size long, elements binary")
+        # repeated rows meet in the join's exchange, as a class has one representative
+        return sets.join(some.withColumnRenamed("rep", "_id"), ["_id", "cls"]).dropDuplicates(["_id", "cls"]).select("fam", "cls", "size", "elements")
 
     def verify(sets: DataFrame) -> DataFrame:
-        return sets.repartition(parts, "fam").sortWithinPartitions("fam", "cls").mapInArrow(_families(num, den), _LINK)
+        return sets.select("fam", "cls", "elements").repartition(parts, "fam").sortWithinPartitions("fam", "cls").mapInArrow(_families(num, den), _LINK)
 
     links = edges.where("exact").select("a", "b").unionByName(verify(sets_of(members.join(large, "fam", "left_anti"))))
     if not large.isEmpty():
         # once more with exact knowledge of which elements a family's sets share
-        sets = c.settled(sets_of(members.join(large.select("fam"), "fam")).dropDuplicates(["cls"]))
+        sets = c.settled(sets_of(members.join(large.select("fam"), "fam")))
         members = c.settled(components(_refined(sets, bucket_bytes, num, den)).select(F.col("node").alias("cls"), F.col("root").alias("fam")))
         large = members.groupBy("fam").agg(F.count("*").alias("m")).where(F.col("m") > family)
-        sets = sets.drop("fam").join(members, "cls").select("fam", "cls", "elements")
+        sets = sets.select("cls", "elements").mapInArrow(_passing(_filter_of(members.select("cls"))), "cls long, elements binary").join(members, "cls").select("fam", "cls", "elements")
         links = links.unionByName(verify(sets.join(large, "fam", "left_anti")))
         if not large.isEmpty():
             links = links.unionByName(_large_families(sets.join(large.select("fam"), "fam"), large, family, num, den))
@@ -538,7 +552,8 @@ def _refined(sets: DataFrame, bucket_bytes: int, num: int, den: int) -> DataFram
     """Chains (a, b) of the sets of large families, by lists of elements that more than one of these sets holds.
 
     An element of one set alone comes first in the order of elements: a set with
-    enough of them needs no list at all.
+    enough of them needs no list at all.  The elements that a set shares come back
+    to its size, so the sets themselves are not sent again.
     """
     rows = sets.select(F.col("cls").alias("_id"), "elements")
     blocks = c.blocks_for(rows, bucket_bytes, "elements")
@@ -551,17 +566,16 @@ def _refined(sets: DataFrame, bucket_bytes: int, num: int, den: int) -> DataFram
     def listed(key: tuple, some: pa.Table, found: pa.Table) -> pa.Table:
         shared = occ.Pairs(*occ.reported(found))
         got = []
-        for one, blob in zip(some.column("_id").to_pylist(), some.column("elements").to_pylist()):
-            keys = _wide(occ.unplanes(blob, np.uint64))
-            both = np.intersect1d(keys, shared.of(one))
-            few = both[: max(0, int(prefix(np.int64(len(keys)), num, den)) - (len(keys) - len(both)))]
-            got.append((few, np.full(len(few), one), np.full(len(few), len(keys))))
+        for one, size in zip(some.column("_id").to_pylist(), some.column("size").to_pylist()):
+            both = np.unique(shared.of(one))
+            few = both[: max(0, int(prefix(np.int64(size), num, den)) - (size - len(both)))]
+            got.append((few, np.full(len(few), one), np.full(len(few), size)))
         out = packed(*(np.concatenate([g[i] for g in got]) for i in range(3)), blocks) if got else []
         cols = list(zip(*out)) if out else [[]] * 5
         return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "keys", "which", "names", "sizes"])
 
     found = occ.repeated(rows, held, blocks, blocks, with_first=True)
-    lists = occ.blocked(rows, blocks).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(listed, "bucket long, keys binary, which binary, names binary, sizes binary")
+    lists = occ.blocked(sets.select(F.col("cls").alias("_id"), "size"), blocks).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(listed, "bucket long, keys binary, which binary, names binary, sizes binary")
     return lists.groupBy("bucket").applyInArrow(_met(num, den, blocks), "a long, b long, exact boolean").select("a", "b")
 
 
@@ -591,6 +605,10 @@ def _large_families(sets: DataFrame, large: DataFrame, family: int, num: int, de
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns."""
-    found = similar_documents(docs, id_col, text_col, **options).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(c.NULL_ID)).alias("_id")).distinct()
-    return c.carried(docs, _id=c.key_of(id_col)).join(found, "_id").select("_row.*")
+    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns.
+
+    The other identifiers, which are few, are written: with their size known, they go to the documents and not the documents to them.
+    """
+    found = similar_documents(docs, id_col, text_col, **options)
+    gone = found.groupBy(F.coalesce("doc_id", F.lit(c.NULL_ID)).alias("_id")).agg(F.max(F.expr("doc_id <=> component_id")).alias("kept")).where("NOT kept").select("_id")
+    return c.carried(docs, _id=c.key_of(id_col)).join(c.written(gone), "_id", "left_anti").select("_row.*")
