@@ -74,3 +74,27 @@ def test_labels_follow_the_tone_in_any_blocking(spark):
     two = sorted((r.hop_idx, r.hop_time_s, r.gt_hr_bpm) for r in sg.hop_labels(t, fps, hops_per_block=2).collect())
     assert one == two and len(one) == 7 and one[0][1] == 8.0
     assert all(abs(r[2] - 72.07) < 2 for r in one)
+
+
+def test_short_keys_share_a_call(spark):
+    fps, n = 7.0, 66
+    t = spark.range(300).selectExpr("id AS clip_id", f"explode(sequence(0L, {n - 1}L)) AS frame_idx", f"{n}L AS n_frames").withColumn("gt_ppg", F.expr("if(clip_id % 50 = 7, 1D, if(clip_id % 50 = 9 AND frame_idx = 30, NULL, pmod(hash(clip_id, frame_idx), 100) * 1D))"))
+    got = {(r.clip_id, r.hop_idx): (r.gt_hr_bpm, r.valid, r.invalid_reason) for r in sg.hop_labels(t, fps).collect()}
+    values = {}
+    for r in sorted(t.collect(), key=lambda r: r.frame_idx):
+        values.setdefault(r.clip_id, []).append(np.nan if r.gt_ppg is None else r.gt_ppg)
+    want = {}
+    for k, v in values.items():
+        for h in range((n - 56) // 7 + 1):
+            x = np.array(v[h * 7 + 28:min(n, h * 7 + 84)])
+            if not np.isfinite(x).all():
+                want[k, h] = (None, False, "non_finite_ground_truth")
+            elif x.std() <= 0:
+                want[k, h] = (None, False, "constant_ground_truth")
+            else:
+                want[k, h] = (sg.dominant_rate(x[None, :], fps, floor=0.0)[0][0], True, None)
+    assert got == want and len(want) == 600
+    rows = sg.dominant_frequency(t, ["clip_id"], "frame_idx", "gt_ppg", 2.0, (0.1, 0.8), 16, 2, hops_per_block=7)
+    assert rows.count() == 300 * 26 and rows.select("clip_id", "hop_idx").distinct().count() == 300 * 26
+    # there was a call for each block
+    assert "FlatMapGroupsInPandas" not in sg.hop_labels(t, fps)._jdf.queryExecution().toString()

@@ -1,15 +1,15 @@
 """Spectra over overlapping windows of keyed series.
 
-Frames are cut into (key, block) groups with a halo (``hop_blocks``), each group
-goes to Python once, and all its windows and channels are handled by array
-operations.  A filter with zero initial state over a window of n samples is a
+Frames are cut into (key, block) groups with a halo (``hop_blocks``), sorted rows
+go to Python once, and the windows and channels of many groups are handled by
+array operations together.  A filter with zero initial state over a window of n samples is a
 lower-triangular n x n matrix, so filtering is a matrix product.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ POST_BAND, POST_ORDER = (0.75, 3.0), 1
 RATE_BAND, RATE_ORDER = (0.5, 3.0), 3
 MIN_FFT = 4096
 TOLERANCE = 1e-8
+#: Windows that are transformed at a time.
+SPECTRA = 256
 PROJECTION = ((0.0, 1.0, -1.0), (-2.0, 1.0, 1.0))
 REASONS = ("missing_required_rgb", "degenerate_channel_mean", "degenerate_projection", "degenerate_pos_postprocess", "degenerate_spectrum")
 
@@ -132,15 +134,52 @@ def window_rates(rgb: np.ndarray, fps: float) -> tuple[np.ndarray, np.ndarray, n
     return rate, ratio, code
 
 
-def _windows(block: np.ndarray, size: int, step: int) -> np.ndarray:
-    """(frames, ...) -> (windows, size, ...)."""
-    view = np.lib.stride_tricks.sliding_window_view(block, size, axis=0)[::step]
-    return np.moveaxis(view, -1, 1)
+def _by_block(blocked: DataFrame, keys: Sequence[str], order: str, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Sorted rows through ``run(rows, cuts)``, many whole (key, block) groups at a time; group ``i`` has the rows from ``cuts[i]`` to ``cuts[i + 1]``.
 
-
-def _no_window(pdf: pd.DataFrame, keys: Sequence[str], columns: Sequence[str]) -> pd.DataFrame:
-    """A block too short for a window: one marker row (hop -1), filtered out after the map."""
-    return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "hop_idx": -1, **dict.fromkeys(columns)}])
+    Short keys make many small blocks, and a call of its own would cost each far
+    more than its windows.  The last group of a frame waits for the next frame,
+    so a task holds one frame and one block.
+    """
+    by = [*keys, "block"]
+    laid = spread(blocked, by).sortWithinPartitions(*by, order)
+
+    def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            cuts = _starts(rows, by)
+            if len(cuts) > 1:
+                out = run(rows.iloc[:cuts[-1]], cuts)
+                if out is not None:
+                    yield out
+            held = rows.iloc[cuts[-1]:].reset_index(drop=True)
+        if held is not None:
+            out = run(held, np.array([0, len(held)]))
+            if out is not None:
+                yield out
+
+    return laid.mapInPandas(streamed, schema)
+
+
+def _starts(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """Where groups of equal neighbours begin; null keys are equal."""
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = False
+    for k in by:
+        v, gone = rows[k].to_numpy(), rows[k].isna().to_numpy()
+        new[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
+    return np.flatnonzero(new)
+
+
+def _places(cuts: np.ndarray, block: np.ndarray, size: int, step: int, hops_per_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, hop and first row of every whole window of the groups."""
+    here = np.clip((np.diff(cuts) - size) // step + 1, 0, hops_per_block)
+    owner = np.repeat(np.arange(len(here)), here)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(here) - here, here)
+    return owner, block[owner] * hops_per_block + within, cuts[owner] + within * step
 
 
 def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",), hops_per_block: int = 60) -> DataFrame:
@@ -156,30 +195,33 @@ def hop_measurements(frames: DataFrame, fps: float, keys: Sequence[str] = ("clip
     lean = frames.select(*keys, "frame_idx", *[F.col(f"rois.{c}").alias(c) for c in names])
     blocked = hop_blocks(lean, "frame_idx", size, step, hops_per_block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        block = int(pdf["block"].iloc[0])
-        idx = pdf["frame_idx"].to_numpy()
-        if (idx != block * hops_per_block * step + np.arange(len(idx))).any():
+    def run(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        first, block = cuts[:-1], rows["block"].to_numpy()[cuts[:-1]]
+        if (rows["frame_idx"].to_numpy() != np.repeat(block * hops_per_block * step - first, np.diff(cuts)) + np.arange(len(rows))).any():
             raise ValueError("frame index is not contiguous")
-        if len(idx) < size:
-            return _no_window(pdf, keys, ["roi_index", "hr_bpm", "confidence", "ppr", "coverage", "valid", "invalid_reason"])
-        cube = np.stack([np.vstack(pdf[c].to_numpy()).astype(float) for c in names], axis=2)
-        w = _windows(cube, size, step)[:hops_per_block]
-        hops, _, rois, _ = w.shape
-        flat = np.moveaxis(w, 2, 1).reshape(hops * rois, size, 4)
-        rate, ratio, code = window_rates(flat[:, :, :3], fps)
-        cover = flat[:, :, 3].mean(axis=1)
-        ok = code == 0
-        reasons = np.array([None, *REASONS], dtype=object)
-        return pd.DataFrame({
-            **{k: pdf[k].iloc[0] for k in keys}, "hop_idx": block * hops_per_block + np.repeat(np.arange(hops), rois), "roi_index": np.tile(np.arange(rois), hops),
-            "hr_bpm": np.where(ok, rate, np.nan), "confidence": np.where(ok, ratio * cover, np.nan), "ppr": np.where(ok, ratio, np.nan), "coverage": cover,
-            "valid": ok, "invalid_reason": reasons[code]})
+        owner, hop, at = _places(cuts, block, size, step, hops_per_block)
+        done = []
+        for k in range(0, len(at), SPECTRA):
+            some = slice(k, k + SPECTRA)
+            picked = at[some, None] + np.arange(size)
+            a, z = picked[0, 0], picked[-1, -1] + 1
+            cube = np.stack([np.vstack(rows[c].to_numpy()[a:z]).astype(float) for c in names], axis=2)
+            w = cube[picked - a]
+            hops, _, rois, _ = w.shape
+            flat = np.moveaxis(w, 2, 1).reshape(hops * rois, size, 4)
+            rate, ratio, code = window_rates(flat[:, :, :3], fps)
+            cover = flat[:, :, 3].mean(axis=1)
+            ok = code == 0
+            reasons = np.array([None, *REASONS], dtype=object)
+            done.append(pd.DataFrame({
+                **{k: np.repeat(rows[k].to_numpy()[first[owner[some]]], rois) for k in keys}, "hop_idx": np.repeat(hop[some], rois), "roi_index": np.tile(np.arange(rois), hops),
+                "hr_bpm": np.where(ok, rate, np.nan), "confidence": np.where(ok, ratio * cover, np.nan), "ppr": np.where(ok, ratio, np.nan), "coverage": cover,
+                "valid": ok, "invalid_reason": reasons[code]}))
+        return pd.concat(done, ignore_index=True) if done else None
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    out = spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, roi_index int, hr_bpm double, confidence double, ppr double, coverage double, valid boolean, invalid_reason string")
-    return out.where("hop_idx >= 0").select(*keys, "hop_idx", "roi_index", *[F.expr(f"nullif({c}, double('NaN')) AS {c}") for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
+    out = _by_block(blocked, keys, "frame_idx", run, f"{key_types}, hop_idx bigint, roi_index int, hr_bpm double, confidence double, ppr double, coverage double, valid boolean, invalid_reason string")
+    return out.select(*keys, "hop_idx", "roi_index", *[F.expr(f"nullif({c}, double('NaN')) AS {c}") for c in ("hr_bpm", "confidence", "ppr", "coverage")], "valid", "invalid_reason")
 
 
 def hop_labels(truth: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",), hop_count: int | None = None, hops_per_block: int = 60) -> DataFrame:
@@ -194,34 +236,40 @@ def hop_labels(truth: DataFrame, fps: float, keys: Sequence[str] = ("clip_id",),
     # A label window ends ``half`` samples after the measurement window: same blocks, longer halo.
     blocked = hop_blocks(truth.select(*keys, "frame_idx", "n_frames", "gt_ppg"), "frame_idx", size + half, step, hops_per_block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        block, n = int(pdf["block"].iloc[0]), int(pdf["n_frames"].iloc[0])
-        first = block * hops_per_block * step
-        if (pdf["frame_idx"].to_numpy() != first + np.arange(len(pdf))).any():
+    def run(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        first, length = cuts[:-1], np.diff(cuts)
+        block, n = rows["block"].to_numpy()[first], rows["n_frames"].to_numpy()[first]
+        start = block * hops_per_block * step
+        if (rows["frame_idx"].to_numpy() != np.repeat(start - first, length) + np.arange(len(rows))).any():
             raise ValueError("frame index is not contiguous")
-        values = pdf["gt_ppg"].to_numpy(dtype=float)
-        rows = []
-        for h in range(block * hops_per_block, min((block + 1) * hops_per_block, max(0, (n - size) // step + 1))):
-            end = h * step + size
-            x = values[max(0, end - half) - first: min(n, end + half) - first]
-            if not np.isfinite(x).all():
-                rows.append((h, np.nan, "non_finite_ground_truth"))
-            elif x.std() <= 0:
-                rows.append((h, np.nan, "constant_ground_truth"))
-            else:
-                rate, _, bad = dominant_rate(x[None, :], fps, floor=0.0)
-                rows.append((h, np.nan, "degenerate_spectrum") if bad[0] else (h, rate[0], None))
-        if hop_count is not None and max(0, (n - size) // step + 1) != hop_count:
+        hops = np.maximum(0, (n - size) // step + 1)
+        if hop_count is not None and (hops != hop_count).any():
             raise ValueError(f"expected {hop_count} hops")
-        out = pd.DataFrame(rows, columns=["hop_idx", "gt_hr_bpm", "invalid_reason"])
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        out["valid"] = out["invalid_reason"].isna()
-        return out
+        values = rows["gt_ppg"].to_numpy(dtype=float)
+        here = np.clip(hops - block * hops_per_block, 0, hops_per_block)
+        owner = np.repeat(np.arange(len(first)), here)
+        hop = block[owner] * hops_per_block + np.arange(len(owner)) - np.repeat(np.cumsum(here) - here, here)
+        end = hop * step + size
+        # windows are cut only at the end of a key, so they have few different lengths
+        low = np.maximum(0, end - half)
+        frames = np.minimum(n[owner], end + half) - low
+        rates, code = np.full(len(owner), np.nan), np.zeros(len(owner), dtype=int)
+        for m in np.unique(frames):
+            of = np.flatnonzero(frames == m)
+            for k in range(0, len(of), SPECTRA):
+                some = of[k:k + SPECTRA]
+                x = values[(low[some] - start[owner[some]] + first[owner[some]])[:, None] + np.arange(m)]
+                wild = ~np.isfinite(x).all(axis=1)
+                x = np.where(wild[:, None], 0.0, x)
+                constant = x.std(axis=1) <= 0
+                rate, _, bad = dominant_rate(x, fps, floor=0.0)
+                code[some] = np.where(wild, 1, np.where(constant, 2, np.where(bad, 3, 0)))
+                rates[some] = np.where(code[some] > 0, np.nan, rate)
+        reasons = np.array([None, "non_finite_ground_truth", "constant_ground_truth", "degenerate_spectrum"], dtype=object)
+        return pd.DataFrame({**{k: rows[k].to_numpy()[first[owner]] for k in keys}, "hop_idx": hop, "gt_hr_bpm": rates, "invalid_reason": reasons[code], "valid": code == 0})
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    out = spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, gt_hr_bpm double, invalid_reason string, valid boolean")
+    out = _by_block(blocked, keys, "frame_idx", run, f"{key_types}, hop_idx bigint, gt_hr_bpm double, invalid_reason string, valid boolean")
     return out.selectExpr(*keys, "hop_idx", f"(hop_idx * {step} + {size}) / {float(fps)}D AS hop_time_s", "nullif(gt_hr_bpm, double('NaN')) AS gt_hr_bpm", "valid", "invalid_reason")
 
 
@@ -233,19 +281,19 @@ def _per_window(df: DataFrame, keys, order, columns, size, step, hops_per_block,
     types = dict(df.dtypes)
     blocked = hop_blocks(df.select(*keys, order, *columns), order, size, step, hops_per_block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        block = int(pdf["block"].iloc[0])
-        if len(pdf) < size:
-            return _no_window(pdf, keys, [f.split()[0] for f in schema.split(", ")])
-        w = _windows(pdf[list(columns)].to_numpy(dtype=float), size, step)[:hops_per_block]
-        out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "hop_idx": block * hops_per_block + np.arange(len(w))})
-        for c, v in compute(w).items():
-            out[c] = list(v) if v.ndim > 1 else v
-        return out
+    def run(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        owner, hop, at = _places(cuts, rows["block"].to_numpy()[cuts[:-1]], size, step, hops_per_block)
+        values, done = rows[list(columns)].to_numpy(dtype=float), []
+        for k in range(0, len(at), SPECTRA):
+            some = slice(k, k + SPECTRA)
+            out = pd.DataFrame({**{c: rows[c].to_numpy()[cuts[owner[some]]] for c in keys}, "hop_idx": hop[some]})
+            for c, v in compute(values[at[some, None] + np.arange(size)]).items():
+                out[c] = list(v) if v.ndim > 1 else v
+            done.append(out)
+        return pd.concat(done, ignore_index=True) if done else None
 
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    return spread(blocked, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{key_types}, hop_idx bigint, {schema}").where("hop_idx >= 0")
+    return _by_block(blocked, keys, order, run, f"{key_types}, hop_idx bigint, {schema}")
 
 
 def project_windows(df: DataFrame, keys: Sequence[str], order: str, rgb: Sequence[str], fps: float, size: int, step: int, hops_per_block: int = 256) -> DataFrame:
