@@ -183,3 +183,22 @@ def test_monitor_orders_all_frames_of_a_batch():
     assert out.iloc[0].tolist() == [7, 6, 1, 1, 2, 5]
     out = next(m.handleInputRows((7,), iter([pd.DataFrame({"arrival": [7, 6], "frame_idx": [8, 6]})]), None))
     assert out.iloc[0].tolist() == [7, 8, 1, 1, 3, 8]
+
+
+def test_hops_meet_labels_and_neighbours_before_methods_are_unpacked(spark):
+    from windfold.operators import score as sc
+    from windfold.plans import common, scores
+    from windfold.sources import roles
+
+    sf = "/root/testdata/sf0.001"
+    lines = scores.clip_table(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, l in enumerate(lines) if "Generate" in l and "__at" in l)
+    assert not any("Window" in l for l in lines[:at]) and any("Window" in l for l in lines[at:]) and any("Join" in l for l in lines[at:])
+    rows = sc.score(common.replayed(spark, sf), roles.labels(spark, sf), ["clip_id", "hop_idx"], strict=False)
+    plain = sc.clip_rows(rows, ["method_id", "clip_id"], scores.CH)
+    known = roles.clips(spark, sf).select("clip_id")
+    want = sorted((r.asDict() for r in plain.join(known, "clip_id").collect()), key=lambda r: (r["method_id"], r["clip_id"]))
+    got = sorted((r.asDict() for r in scores.clip_table(spark, sf).select(*plain.columns).collect()), key=lambda r: (r["method_id"], r["clip_id"]))
+    assert len(got) == len(want) and got
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, abs=1e-9, nan_ok=True)

@@ -148,12 +148,20 @@ _REPLAY_INTS = ("proposed_action", "executed_action", "previous_action", "pre_ho
 _REPLAY_FLAGS = ("legal", "selected_valid")
 
 
+_REPLAY = (*_REPLAY_DOUBLES, *_REPLAY_INTS, *_REPLAY_FLAGS)
+
+
 def replay(hops: DataFrame, selectors: Sequence[Selector], keys: Sequence[str] = ("clip_id",), order: str = "hop_idx") -> DataFrame:
     """Replay every selector over every clip in one pass; one row per (clip, hop, method).
 
     ``hops`` needs ``hr``, ``confidence``, ``ppr``, ``coverage`` arrays and the
     columns the selectors name.  No label column is read.
     """
+    return unpacked(packed_replay(hops, selectors, keys, order), [s.method for s in selectors], (*keys, order))
+
+
+def packed_replay(hops: DataFrame, selectors: Sequence[Selector], keys: Sequence[str] = ("clip_id",), order: str = "hop_idx") -> DataFrame:
+    """``replay`` with one row per (clip, hop) and arrays by selector, for joins and neighbours ahead of ``unpacked``."""
     keys = list(keys)
     extra = sorted({c for s in selectors for c in s.columns})
     lean = hops.select(*keys, order, "hr", "confidence", "ppr", "coverage", *extra)
@@ -183,15 +191,23 @@ def replay(hops: DataFrame, selectors: Sequence[Selector], keys: Sequence[str] =
 
     schema = ", ".join([key_types] + [f"{c} array<double>" for c in _REPLAY_DOUBLES]
                        + [f"{c} array<bigint>" for c in _REPLAY_INTS] + [f"{c} array<boolean>" for c in _REPLAY_FLAGS])
-    packed = lockstep(lean, keys, order, step, schema)
-    columns = [*_REPLAY_DOUBLES, *_REPLAY_INTS, *_REPLAY_FLAGS]
-    names = F.array(*[F.lit(s.method) for s in selectors])
-    rows = packed.select(*keys, order, F.explode(F.arrays_zip(names.alias("method_id"), *columns)).alias("r"))
+    return lockstep(lean, keys, order, step, schema)
+
+
+def unpacked(packed: DataFrame, methods: Sequence[str], beside: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """One row per (packed row, method), with the columns ``beside``; arrays named with ``prefix``, null where there is no neighbour, come along.
+
+    Arrays are read by place and not zipped, so those that nobody asks for are dropped ahead of the joins before.
+    """
+    near = [c for c in packed.columns if c.startswith(prefix) and c[len(prefix):] in _REPLAY]
+    rows = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(methods) - 1))).alias("__at"))
     # NaN travels through NumPy for "no measurement"; it becomes null again here.
+    value = lambda c, name: f"nullif({c}[__at], double('NaN')) AS {c}" if name in _REPLAY_DOUBLES else f"{c}[__at] AS {c}"
+    names = ", ".join(f"'{m}'" for m in methods)
     return rows.selectExpr(
-        "r.method_id", *keys, order, *[f"nullif(r.{c}, double('NaN')) AS {c}" for c in _REPLAY_DOUBLES],
-        *[f"r.{c}" for c in _REPLAY_INTS if c != "previous_action"], "if(r.previous_action >= 0, r.previous_action, NULL) AS previous_action",
-        *[f"r.{c}" for c in _REPLAY_FLAGS], "if(r.legal, NULL, 'minimum_hold') AS override_reason")
+        f"array({names})[__at] AS method_id", *beside, *[value(c, c) for c in _REPLAY_DOUBLES],
+        *[value(c, c) for c in _REPLAY_INTS if c != "previous_action"], "if(previous_action[__at] >= 0, previous_action[__at], NULL) AS previous_action",
+        *[value(c, c) for c in _REPLAY_FLAGS], "if(legal[__at], NULL, 'minimum_hold') AS override_reason", *[value(c, c[len(prefix):]) for c in near])
 
 
 def _channels(column: pd.Series) -> np.ndarray:

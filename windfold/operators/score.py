@@ -11,6 +11,8 @@ from windfold.operators.constraints import require_none
 from windfold.operators.windows import neighbour
 
 HOP = ["clip_id", "hop_idx"]
+#: Columns of the preceding hop that the clip level needs.
+STEP = ["executed_action", "proposed_action", "selected_hr_bpm", "post_belief_hr_bpm"]
 
 
 def score(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], predicted: str = "post_belief_hr_bpm",
@@ -48,8 +50,12 @@ def clip_rows(rows: DataFrame, by: Sequence[str], channels: int) -> DataFrame:
     ``by`` must contain the clip key.  The switch needs only the preceding row,
     fetched with a blocked lag, so a long clip is not pulled into one task.
     """
-    keys = [c for c in by]
-    with_prev = neighbour(rows, keys, "hop_idx", ["executed_action", "proposed_action", "selected_hr_bpm", "post_belief_hr_bpm"])
+    return clip_sums(neighbour(rows, list(by), "hop_idx", STEP), by, channels)
+
+
+def clip_sums(with_prev: DataFrame, by: Sequence[str], channels: int) -> DataFrame:
+    """``clip_rows`` of rows that have the columns ``STEP`` of their neighbour already."""
+    keys = list(by)
     count = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("bigint"))
     jump = lambda c: F.abs(F.col(c) - F.col("prev_" + c))
     has_prev = F.col("prev_executed_action").isNotNull()
