@@ -210,6 +210,22 @@ def test_sets_of_large_families_are_sent_once(spark, monkeypatch):
     assert sent == [["_id", "size"]]
 
 
+def test_shared_passages_do_not_chain_documents(spark, monkeypatch):
+    r = random.Random(4)
+    text = lambda k: " ".join(f"c{r.randrange(30)}" for _ in range(70)) + "".join(f" p{k % 60}_{i}" for i in range(5)) + "".join(f" p{(k + 1) % 60}_{i}" for i in range(5))
+    rows = [(k, text(k)) for k in range(60)]
+    rows += [(60 + k, rows[k][1] + " end") for k in range(10)]
+    # counters of a fixed size once told rare elements: so few of them stand for a large corpus
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 64, raising=False)
+    monkeypatch.setattr(jaccard_join, "_CHUNK", 64, raising=False)
+    refined = []
+    monkeypatch.setattr(jaccard_join, "_refined", lambda sets, *rest, f=jaccard_join._refined: refined.append(1) or f(sets, *rest))
+    out = jaccard_join.similar_documents(frame(spark, rows), n=3, similarity=(80, 100), family=6).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in out), key=repr) == brute.jaccard(rows, 3, 80)
+    # a passage in two documents makes no family of all of them
+    assert not refined
+
+
 def test_light_sets_alone(spark):
     r = random.Random(9)
     base = [[f"w{r.randrange(40)}" for _ in range(r.randrange(6, 22))] for _ in range(30)]

@@ -4,8 +4,10 @@ Two sets of sizes s and t link at Jaccard similarity j when they share at least
 o = ceil(j (s + t) / (1 + j)) elements.  Light sets are small enough to list all
 their subsets of each such size o: sets that share a listed subset link, and
 nothing is left to verify.  Heavy sets go through inverted lists of their
-rarest elements, of which two similar sets must share one.  The boundary is the
-size at which listing subsets costs more than scanning lists.
+rarest elements, of which two similar sets must share one.  How many sets hold
+an element is counted for all of them first, so an element of one set alone needs
+no list, and a set with enough of those none at all.  The boundary is the size at
+which listing subsets costs more than scanning lists.
 
 Equal sets are one class from the start.  The sets of a list that can be similar
 by size form a chain; chains give families, and each family is verified in one
@@ -16,13 +18,13 @@ cut into blocks.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,11 @@ from windfold.llm import common as c
 from windfold.llm import occurrences as occ
 from windfold.llm.components import Union, components, forest
 
-#: Counters of word and of shingle frequencies, which only order the elements: any counts give right results.
-WORDS, SHINGLES = 1 << 20, 1 << 24
-_CHUNK = 1 << 14
 #: Bits of the filter of documents whose sets are needed again.
 FILTER = 1 << 24
-#: Sets from this size on are listed by groups of elements: long texts share passages, and with them single elements, without being similar.
+#: Bits of an element that its count goes by: elements that agree in them only look shared, which costs a list entry.
+_SEEN = np.uint64(2**64 - 2**24)
+#: Sets from this size on were listed by groups of elements; now those of all sizes are listed by single ones, and it is not read.
 PARTS = 1024
 #: Largest size that can be light, cost of a list entry in subsets, and sets of a family that one task verifies.
 LIGHT_MOST, LIST_COST, FAMILY = 24, 8, 4096
@@ -65,33 +66,22 @@ def boundary(histogram: dict[int, int], num: int, den: int) -> int:
     return min(range(LIGHT_MOST + 1), key=cost)
 
 
-def _sets(n: int, data: np.ndarray, offs: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, ascending in a row, and where each row's begin; the hashes of all words.
-
-    With a ``weight`` by word counter, the last is the sum of the weights of each shingle's words instead.
-    """
+def _sets(n: int, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, ascending in a row, and where each row's begin."""
     starts, ends, first = c.words(data, offs)
     hashes = c.word_hashes(data, starts, ends, c.BYTE_LOWER)
-    keys, at, counts = c.windows(hashes, first, n)
-    row, until = np.repeat(np.arange(len(counts)), counts), at + n
+    keys, _, counts = c.windows(hashes, first, n)
+    row = np.repeat(np.arange(len(counts)), counts)
     short = np.flatnonzero((np.diff(first) > 0) & (counts == 0))
     if len(short):
         sums, down = c.rolling(hashes)
         a, b = first[short], first[short + 1]
-        row, at, until = np.concatenate((row, short)), np.concatenate((at, a)), np.concatenate((until, b))
-        keys = np.concatenate((keys, c.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))))
+        row, keys = np.concatenate((row, short)), np.concatenate((keys, c.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))))
     order = np.lexsort((keys, row))
     keys, row = keys[order], row[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    if weight is not None:
-        total = np.concatenate(([0], np.cumsum(weight[_counter(hashes, WORDS)], dtype=np.int64)))
-        hashes = (total[until] - total[at])[order][new]
-    return keys[new], np.searchsorted(row[new], np.arange(len(counts) + 1)), hashes
-
-
-def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
-    return (hashes >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+    return keys[new], np.searchsorted(row[new], np.arange(len(counts) + 1))
 
 
 def _class_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -103,79 +93,10 @@ def _class_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, name, np.uint64(0)).view(np.int64)
 
 
-def _counted(n: int):
-    """Counts of words and of shingles by counter, in chunks, and the sizes of small sets (chunk -1)."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes, held = np.zeros(WORDS + SHINGLES, np.uint16), Counter(), []
-
-        def add() -> None:
-            if held:
-                at, more = np.unique(np.concatenate(held), return_counts=True)
-                counts[at] = np.minimum(counts[at] + more, 65535)
-                held.clear()
-
-        for batch in batches:
-            for _, _, data, offs in c.slices(batch.column(1)):
-                keys, at, hashes = _sets(n, data, offs)
-                held += [_counter(hashes, WORDS), WORDS + _counter(keys, SHINGLES)]
-                if len(held) >= 16:
-                    add()
-                size = np.diff(at)
-                sizes.update(size[(size > 0) & (size <= 2 * LIGHT_MOST)].tolist())
-        add()
-        parts = counts.reshape(-1, _CHUNK)
-        chunk = np.flatnonzero(parts.any(1))
-        small = np.array([sizes[s] for s in range(2 * LIGHT_MOST + 1)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, chunk), pa.int32()), pa.array([occ.squeezed(small), *(occ.squeezed(parts[k].astype(np.int64)) for k in chunk)], pa.binary())], names=["chunk", "counts"])
-
-    return counted
-
-
-def _added(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.sum([occ.unsqueezed(b, np.int64) for b in table.column("counts").to_pylist()], axis=0)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())]), pa.array([occ.squeezed(total)], pa.binary())], names=["chunk", "total", "counts"])
-
-
-def _levelled(mean: float):
-    """One byte for each counter: of words, eighths of a logarithm; of shingles, how far it stands out from ``mean``."""
-
-    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                seen = occ.unsqueezed(blob, np.int64)
-                if chunk * _CHUNK < WORDS:
-                    level = np.minimum(8 * np.log2(1 + seen), 255)
-                else:
-                    level = np.floor(np.log2(np.maximum((seen - mean) / (8 * np.sqrt(mean) + 1), 0.5))) + 1
-                out.append(occ.squeezed(level.astype(np.uint8)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "levels"])
-
-    return levelled
-
-
-def frequencies(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Weight of each word counter, level of each shingle counter, and how many small sets have each size.
-
-    Shingles of rare words are to come first; those whose counter stands out (a
-    passage that many documents share) last, the commonest at the very end.  The
-    tables have a fixed size.
-    """
-    sums = c.settled(rows.mapInArrow(_counted(n), "chunk int, counts binary").groupBy("chunk").applyInArrow(_added, "chunk int, total long, counts binary"))
-    mean = (sums.where(F.col("chunk") * _CHUNK >= WORDS).agg(F.sum("total")).first()[0] or 0) / SHINGLES
-    level = np.zeros(WORDS + SHINGLES, np.uint8)
-    for r in sums.where("chunk >= 0").mapInArrow(_levelled(mean), "chunk int, levels binary").collect():
-        level[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = occ.unsqueezed(bytes(r["levels"]), np.uint8)
-    small = sums.where("chunk = -1").select("counts").first()
-    histogram = {s: int(v) for s, v in enumerate(occ.unsqueezed(bytes(small[0]), np.int64)) if v} if small else {}
-    return level[:WORDS], level[WORDS:], histogram
-
-
 def _named(n: int):
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_sets(n, data, offs)[:2] for _, _, data, offs in c.slices(batch.column(1))]
+            out = [_sets(n, data, offs) for _, _, data, offs in c.slices(batch.column(1))]
             size = np.concatenate([np.diff(at) for _, at in out]) if out else np.zeros(0, np.int64)
             name = np.concatenate([_class_of(k, at) for k, at in out]) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name)], names=["_id", "size", "cls"])
@@ -193,43 +114,6 @@ def _subsets(keys: np.ndarray, bound: int, num: int, den: int) -> Iterator[int]:
             yield (((total - sum(out)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFF00) ^ (o << 40) & 0xFFFFFFFFFFFFFF00) | o
 
 
-def classes_of_size(num: int, den: int) -> np.ndarray:
-    """First size of each size class: sets that can be similar are in one class or in neighbouring ones."""
-    first = [1]
-    while first[-1] < 1 << 40:
-        first.append(first[-1] * den // num + 1)
-    return np.array(first)
-
-
-def _part_keys(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, q: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and rows of the element groups of ``rows``, as class ``q`` (of the larger set of a pair) cuts them.
-
-    Sets of class ``q`` or below differ in at most d elements if they are
-    similar, hence in at most d of m > d groups by range of hash: some group is
-    equal.  A group's key names its elements.  Empty groups are keys of their own
-    (lowest bit 1): they matter only for a set with so many of them that all its
-    equal groups may be empty, which is told by the second bit.
-    """
-    d = 2 * (first[q + 1] - 1) * (den - num) // (num + den)
-    spare = np.maximum(8, d * 19 // 100)
-    m = d + 1 + spare
-    size = at[rows + 1] - at[rows]
-    r = np.repeat(np.arange(len(rows)), size)
-    e = keys[np.repeat(at[rows], size) + c.spread(size)]
-    base = np.cumsum(m) - m
-    group = base[r] + ((e >> np.uint64(32)) * m[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    cuts = occ._cuts(group)[:-1]
-    name = lambda row, g: c.mixed((g - base[row]).astype(np.uint64) ^ (q[row].astype(np.uint64) << np.uint64(40)) ^ np.uint64(0x2545F4914F6CDD1D))
-    there = c.mixed(np.add.reduceat(c.mixed(e), cuts) ^ name(r[cuts], group[cuts])) & ~np.uint64(3)
-    empty = np.ones(int(m.sum()), bool)
-    empty[group] = False
-    gone = np.flatnonzero(empty)
-    row = np.searchsorted(base, gone, "right") - 1
-    sparse = np.bincount(row, minlength=len(rows)) > spare
-    none = (name(row, gone) & ~np.uint64(3)) | np.where(sparse[row], np.uint64(3), np.uint64(1))
-    return np.concatenate((there, none)), rows[np.concatenate((r[cuts], row))]
-
-
 def packed(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int, shift: int = 0) -> list[tuple]:
     """Distinct postings as one row per bucket."""
     order = np.lexsort((names, keys))
@@ -246,50 +130,123 @@ def packed(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int,
     return rows
 
 
-def _posted(n: int, num: int, den: int, bound: int, rarity, buckets: int):
-    """Postings (key, class, size) packed by bucket: list entries first, subsets in the buckets behind."""
+def _numbers(a: np.ndarray) -> bytes:
+    """Small numbers in any order, byte by byte."""
+    return occ.squeezed(np.ascontiguousarray(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel())
 
-    def send(heavy: list, light: list) -> pa.RecordBatch:
+
+def _unnumbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(occ.unsqueezed(b, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
+_SENT = "bucket long, share long, keys binary, which binary, names binary, sizes binary"
+_SHARED = "share long, keys binary, which binary, names binary, sizes binary, seen binary"
+_POSTED = "bucket long, keys binary, which binary, names binary, sizes binary"
+
+
+def _as_table(rows: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.table([pa.array(x, pa.int64() if k == "long" else pa.binary()) for x, k in zip(cols, kinds)], names=list(names))
+
+
+def _sent(n: int, num: int, den: int, bound: int, buckets: int):
+    """Elements of heavy sets packed by bucket, beside them names and sizes of the sets of a share, which one mapper gathers; subsets of light sets in the buckets behind."""
+
+    def send(heavy: list, light: list, turn: int) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for parts, shift in ((heavy, 0), (light, buckets)):
-            if parts:
-                rows += packed(*(np.concatenate([p[i] for p in parts]) for i in range(3)), buckets, shift)
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "keys", "which", "names", "sizes"])
-
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, level = rarity.value
-        first = classes_of_size(num, den)
-        long = int(np.searchsorted(first, PARTS))
-        heavy, light, held = [], [], 0
+        if heavy:
+            names, sizes = np.concatenate([h[0] for h in heavy]), np.concatenate([h[1] for h in heavy])
+            _, once = np.unique(names, return_index=True)
+            keep = np.zeros(len(names), bool)
+            keep[once] = True
+            keys = np.concatenate([h[2] for h in heavy])[np.repeat(keep, sizes)]
+            names, sizes = names[keep], sizes[keep]
+            owner = np.repeat(np.arange(len(names)), sizes)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            task = np.uint64((TaskContext.get().partitionId() << 24) + turn)
+            share = int(c.mixed(names.view(np.uint64) * np.uint64(2 * len(names) + 1) + c.mixed(task + np.arange(len(names), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(dtype=np.uint64) >> np.uint64(2))
+            bucket = occ.bucket_of(keys, buckets)
+            cuts = occ._cuts(bucket)
+            rows += [(int(bucket[a]), share, occ.planes(keys[a:b]), _numbers(owner[a:b]), None, None) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows.append((2 * buckets + share % buckets, share, None, None, occ.squeezed(names), occ.squeezed(sizes.astype(np.int64))))
+        if light:
+            rows += [(row[0], -1, *row[1:]) for row in packed(*(np.concatenate([x[i] for x in light]) for i in range(3)), buckets, buckets)]
+        return _as_table(rows, _SENT).to_batches()[0]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, light, held, turn = [], [], 0, 0
         for batch in batches:
             for _, _, data, offs in c.slices(batch.column(1)):
-                keys, at, rank = _sets(n, data, offs, weight)
+                keys, at = _sets(n, data, offs)
                 size, names = np.diff(at), _class_of(keys, at)
-                row = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((keys, rank + (level[_counter(keys, SHINGLES)].astype(np.int64) << 32), row))
-                kind = np.searchsorted(first, size, "right") - 1
-                listed = np.where((size > 0) & (den * size > num * bound) & (kind < long), prefix(size, num, den), 0)
-                pick = order[np.repeat(at[:-1], listed) + c.spread(listed)]
-                heavy.append((keys[pick] & ~np.uint64(3), names[row[pick]], size[row[pick]]))
-                held += len(pick)
-                for up in (0, 1):
-                    some = np.flatnonzero((size > 0) & (kind + up >= long))
-                    if len(some):
-                        part, owner = _part_keys(keys, at, some, kind[some] + up, first, num, den)
-                        heavy.append((part, names[owner], size[owner]))
-                        held += len(part)
+                large = (size > 0) & (den * size > num * bound)
+                if large.any():
+                    heavy.append((names[large], size[large], keys[np.repeat(large, size)] & _SEEN))
+                    held += len(heavy[-1][2])
                 for k in np.flatnonzero((size > 0) & (size <= bound)).tolist():
                     sub = np.fromiter(_subsets(keys[at[k] : at[k + 1]], bound, num, den), np.uint64)
                     light.append((sub, np.full(len(sub), names[k]), np.full(len(sub), size[k])))
                     held += len(sub)
-            if held >= occ.FLUSH:
-                yield send(heavy, light)
-                heavy, light, held = [], [], 0
+                if held >= occ.FLUSH:
+                    yield send(heavy, light, turn)
+                    heavy, light, held, turn = [], [], 0, turn + 1
         if held:
-            yield send(heavy, light)
-
-    return posted
+            yield send(heavy, light, turn)
+
+    return sent
+
+
+def _shared(buckets: int):
+    """Of a bucket's elements those that more than one set holds, back to their shares, with the number of sets; all else as it is."""
+
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, share = key[0].as_py(), table.column("share").to_pylist()
+        if bucket >= buckets:
+            back = share if bucket >= 2 * buckets else [-bucket] * len(share)
+            return _as_table([(*row, None) for row in zip(back, *(table.column(k).to_pylist() for k in ("keys", "which", "names", "sizes")))], _SHARED)
+        parts = [occ.unplanes(k, np.uint64) for k in table.column("keys").to_pylist()]
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        counts = np.diff(occ._cuts(keys[order]))
+        seen = np.empty(len(keys), np.int64)
+        seen[order] = np.repeat(counts, counts)
+        rows, lo = [], 0
+        for one, part, which in zip(share, parts, table.column("which").to_pylist()):
+            here = seen[lo : lo + len(part)]
+            lo += len(part)
+            some = np.flatnonzero(here > 1)
+            if len(some):
+                rows.append((one, occ.planes(part[some]), _numbers(_unnumbers(which)[some]), None, None, _numbers(here[some])))
+        return _as_table(rows, _SHARED)
+
+    return shared
+
+
+def _listed(num: int, den: int, buckets: int):
+    """List entries (key, class, size) of a share's sets, packed by bucket: elements of one set alone come first and need no list, then those of the fewest sets."""
+
+    def listed(key: tuple, table: pa.Table) -> pa.Table:
+        cols = [table.column(k).to_pylist() for k in ("keys", "which", "names", "sizes", "seen")]
+        if key[0].as_py() < 0:
+            return _as_table([(-key[0].as_py(), *row[:4]) for row in zip(*cols)], _POSTED)
+        heads = [(occ.unsqueezed(m, np.int64), occ.unsqueezed(s, np.int64)) for m, s in zip(cols[2], cols[3]) if m is not None]
+        if len(heads) != 1:
+            raise ValueError("a task was repeated with other rows: the documents must be read in one order")
+        names, sizes = heads[0]
+        found = [(occ.unplanes(k, np.uint64), _unnumbers(w), _unnumbers(s)) for k, w, s in zip(cols[0], cols[1], cols[4]) if s is not None]
+        if not found:
+            return _as_table([], _POSTED)
+        keys, which, seen = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.lexsort((keys, seen, which))
+        both = np.bincount(which, minlength=len(names))
+        few = np.maximum(0, prefix(sizes, num, den) - (sizes - both))
+        pick = order[np.repeat(np.cumsum(both) - both, few) + c.spread(few)]
+        owner = which[pick]
+        return _as_table(packed(keys[pick], names[owner], sizes[owner], buckets) if len(pick) else [], _POSTED)
+
+    return listed
 
 
 def _met(num: int, den: int, buckets: int):
@@ -304,15 +261,8 @@ def _met(num: int, den: int, buckets: int):
             names.append(occ.unplanes(m, np.int64)[which])
             sizes.append(occ.unsqueezed(s, np.int64)[which])
         keys, names, sizes = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
-        order = np.lexsort((names, sizes, keys if exact else keys >> np.uint64(2)))
+        order = np.lexsort((names, sizes, keys))
         keys, names, sizes = keys[order], names[order], sizes[order]
-        if not exact:
-            # lists of an empty group count only if a sparse set is among them
-            cuts = occ._cuts(keys >> np.uint64(2))
-            flag = (keys & np.uint64(3)).astype(np.int64)
-            most = np.maximum.reduceat(flag, cuts[:-1])
-            ok = np.repeat((most == 0) | (most == 3), np.diff(cuts))
-            keys, names, sizes = keys[ok] >> np.uint64(2), names[ok], sizes[ok]
         if exact:
             # a list's smallest set links with each that the shared subset is large enough for, or none does
             cuts = occ._cuts(keys)
@@ -476,7 +426,7 @@ def _elements(n: int, wanted):
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pick in passing(batches):
             for lo, hi, data, offs in c.slices(pick.column(1)):
-                keys, at, _ = _sets(n, data, offs)
+                keys, at = _sets(n, data, offs)
                 names, keys = _class_of(keys, at), keys >> np.uint64(16)
                 blobs = [occ.planes(keys[at[k] : at[k + 1]]) for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pick.column(0).slice(lo, hi - lo), pa.array(names), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], names=["_id", "cls", "size", "elements"])
@@ -500,16 +450,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = c.prepared(docs)
     rows = c.texts(docs, id_col, text_col)
     buckets = c.blocks_for(rows, bucket_bytes)
-    weight, level, histogram = frequencies(rows, n)
-    bound = boundary(histogram, num, den)
-    rarity = spark.sparkContext.broadcast((weight, level))
 
     named = rows.mapInArrow(_named(n), "_id long, size long, cls long").withColumn("slot", F.pmod(F.xxhash64("_id"), F.lit(64)).cast("int"))
     named = c.settled(named)
+    bound = boundary({r["size"]: r["count"] for r in named.where(F.col("size").between(1, 2 * LIGHT_MOST)).groupBy("size").count().collect()}, num, den)
     slots = named.where("size > 0").groupBy("cls", "slot").agg(F.min("_id").alias("rep"), F.first("size").alias("size"))
     classes = slots.groupBy("cls").agg(F.min("rep").alias("rep"), F.first("size").alias("size"))
 
-    edges = c.settled(rows.mapInArrow(_posted(n, num, den, bound, rarity, buckets), "bucket long, keys binary, which binary, names binary, sizes binary").groupBy("bucket").applyInArrow(_met(num, den, buckets), "a long, b long, exact boolean"))
+    shared = rows.mapInArrow(_sent(n, num, den, bound, buckets), _SENT).groupBy("bucket").applyInArrow(_shared(buckets), _SHARED)
+    lists = shared.groupBy("share").applyInArrow(_listed(num, den, buckets), _POSTED)
+    edges = c.settled(lists.groupBy("bucket").applyInArrow(_met(num, den, buckets), "a long, b long, exact boolean"))
     members = components(edges.where("NOT exact")).select(F.col("node").alias("cls"), F.col("root").alias("fam"))
     members = c.settled(members.join(classes, "cls").select("fam", "cls", "rep"))
     large = members.groupBy("fam").agg(F.count("*").alias("m")).where(F.col("m") > family)
@@ -545,7 +495,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _wide(keys: np.ndarray) -> np.ndarray:
     """The 48 bits of verification, spread over 64 again."""
-    return (keys << np.uint64(16)) & ~np.uint64(3)
+    return keys << np.uint64(16)
 
 
 def _refined(sets: DataFrame, bucket_bytes: int, num: int, den: int) -> DataFrame:
