@@ -1,13 +1,17 @@
 """Anchors are one row each: no exchange has a row for each of their branches' offsets, paths' steps or hops ahead."""
 
 import itertools
+import os
+import shutil
 
+import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from windfold.operators import search as se
 from windfold.operators import windows as w
+from tools.check import TABLES, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +88,27 @@ def test_rows_are_placed_by_whole_columns():
                 node = 2 * node + 1 + int(row[tree.feature[node]] > tree.bin[node])
             want.append(node)
         assert tree.place(x).tolist() == want
+
+
+@pytest.fixture(scope="module")
+def gaps(tmp_path_factory):
+    """The smallest tables, where some clips lack all samples of nine days or more, so that hops in their midst have no label."""
+    at = tmp_path_factory.mktemp("gaps")
+    for t in TABLES:
+        shutil.copy(f"{SF}/{t}.parquet", at)
+    os.remove(at / "events.parquet")
+    lost = "user_id = 0 AND d BETWEEN 8 AND 19 OR user_id = 1 AND d BETWEEN 3 AND 11 OR user_id = 2 AND d BETWEEN 16 AND 25 OR user_id = 3 AND (d BETWEEN 3 AND 12 OR d BETWEEN 18 AND 27)"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * EXCLUDE d FROM (SELECT *, day(ts) AS d FROM '{SF}/events.parquet') WHERE NOT ({lost})) TO '{at}/events.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    return str(at), con
+
+
+@pytest.mark.parametrize("name", ["k12_width_sensitivity", "v19_beam_accounting", "a15_anchor_regret", "j11_best_single_correction", "v19_branch_inventory"])
+def test_hops_without_a_label_end_a_search(spark, gaps, name):
+    sf, con = gaps
+    df = entry.queries()[name](spark, sf)
+    got = table(df.columns, [tuple(r) for r in df.collect()])
+    cur = con.execute(entry.oracle_sql()[name])
+    assert got == table([d[0] for d in cur.description], cur.fetchall()) and got[1]

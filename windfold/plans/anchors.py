@@ -62,7 +62,7 @@ def anchor_rows(spark, sf):
     flag = lambda text: F.expr(f"CAST({text} AS INT)")
     whole = lambda text: F.expr(f"CAST({text} AS BIGINT)")
     shared = {
-        "analysis_eligible": flag("eligible"), "exclusion_reason": F.expr("if(eligible, '', 'incomplete_single_coverage')"), "factual_mae": F.expr(f"ft / {W}"), "factual_endpoint": F.element_at("ferrors", W),
+        "analysis_eligible": flag("eligible"), "exclusion_reason": F.expr("if(eligible, '', 'incomplete_single_coverage')"), "factual_mae": F.expr(f"ft / {W}"), "factual_endpoint": F.get("ferrors", F.lit(W - 1)),
         "repeated_path_count": whole("coalesce(n, 0)"), "immediate_action": whole("i.branch_action"), "immediate_error": F.col("i.error"), "immediate_regret": F.expr("ferrors[0] - i.error"),
         "positive_immediate_regret": flag(f"ferrors[0] - i.error > {NEAR}D"), "same_action": whole("s.branch_action"), "same_immediate_error": F.col("s.immediate"), "same_mae": F.expr(f"s.total / {W}"),
         "same_endpoint": F.col("s.endpoint"), "same_step_reversal": flag(f"s.immediate - ferrors[0] > {NEAR}D AND (ft - s.total) / {W} > {NEAR}D"), "best_offset": whole("b.off"), "best_action": whole("b.branch_action"),
