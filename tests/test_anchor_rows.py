@@ -105,7 +105,7 @@ def gaps(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["k12_width_sensitivity", "v19_beam_accounting", "a15_anchor_regret", "j11_best_single_correction", "v19_branch_inventory", "a17_anchor_analysis", "a17_anchor_analysis", "a17_anchor_rows", "w08_recovery_class", "a18_measures"])
+@pytest.mark.parametrize("name", ["k12_width_sensitivity", "v19_beam_accounting", "a15_anchor_regret", "j11_best_single_correction", "v19_branch_inventory", "a17_anchor_analysis", "a17_anchor_rows", "w08_recovery_class", "a18_measures"])
 def test_hops_without_a_label_end_a_search(spark, gaps, name):
     sf, con = gaps
     df = entry.queries()[name](spark, sf)
