@@ -149,6 +149,20 @@ def test_boosting(spark):
         assert abs(regret(got[:, k]) - regret(want[:, k])) < 1e-9 and regret(got[:, k]) < regret(got[:, 3 + k])
 
 
+def test_levels_read_blocks_and_plan_no_query(spark):
+    x, _, _, targets = boosting_rows(200)
+    df = spark.createDataFrame([(k, a.tolist(), t.tolist()) for k, (a, t) in enumerate(zip(x, targets))], "id bigint, features array<double>, targets array<double>")
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    planned = []
+    for rounds in (1, 4):
+        sc.listenerBus().waitUntilEmpty(30_000)
+        before = store.executionsCount()
+        bo.boosted(df, ["id"], "features", "targets", 4, targets.shape[1], bo.Boosting(rounds=rounds, depth=2)).collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        planned.append(store.executionsCount() - before)
+    assert 0 < planned[0] == planned[1]
+
+
 def test_boosting_of_nothing_and_of_nulls(spark):
     empty = spark.createDataFrame([], "id bigint, features array<double>, targets array<double>")
     assert bo.boosted(empty, ["id"], "features", "targets", 2, 2, bo.Boosting(rounds=2, keep=1)).collect() == []
